@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    top = Path(__file__).parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="lodestone-py-"), "lodestone.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (local runs)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -81,6 +100,7 @@ def pack(df: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFr
     the other; ends: where each ends (little-endian int32); nulls: a byte for each row, 1 where the text is null.
     Later steps refer to (chunk, position), so repeated or null keys and clashing column names do no harm.
     """
+    ship(df.sparkSession)
     others = [f for f in df.schema.fields if f.name != text_col]
     slim = df.select(F.struct(*[F.col(f"`{f.name}`") for f in others]).alias("o") if others else F.struct(F.lit(0).alias("_")).alias("o"), F.col(f"`{text_col}`").cast("binary").alias("t"))
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("rows", T.ArrayType(slim.schema["o"].dataType)), T.StructField("texts", T.BinaryType()), T.StructField("ends", T.BinaryType()), T.StructField("nulls", T.BinaryType())])

@@ -27,7 +27,9 @@ def register(spark: SparkSession, name: str, cls: str, returns: str) -> str:
     if app not in _done:
         compiler = jvm.org.codehaus.janino.SimpleCompiler()
         compiler.setParentClassLoader(thread.getContextClassLoader())
-        compiler.cook("\n".join(p.read_text() for p in sorted(HERE.glob("*.java"))))
+        lines = [line for p in sorted(HERE.glob("*.java")) for line in p.read_text().splitlines()]
+        imports = sorted({x for x in lines if x.startswith("import ")})
+        compiler.cook("\n".join(["package lodestone.kernel;", *imports, *(x for x in lines if not x.startswith(("import ", "package ")))]))
         codes = compiler.getBytecodes()
         jar = os.path.join(tempfile.mkdtemp(prefix="lodestone-jar-"), "lodestone-kernels.jar")
         with zipfile.ZipFile(jar, "w") as z:

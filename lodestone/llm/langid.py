@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 LETTER = re.compile(r"[^\W\d_]")
 #: Buckets of hashed byte trigrams.
 DIMS = 1 << 13
@@ -88,6 +90,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order: Co
     not. slack scales the smallest cosine that a centroid accepts: the first percentile of its own training rows."""
     from pyspark.sql import Window
 
+    ship(df.sparkSession)
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.octet_length(text_col).between(3, TRAIN_TEXT_BYTES))
     key = F.xxhash64(F.col(text_col)) if order is None else order
     rank = F.row_number().over(Window.partitionBy("l").orderBy("k", "t"))
@@ -145,6 +148,7 @@ def classify(texts: list[str | None], m: Model) -> tuple[list[str], list[float],
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df and lang_pred, score, lang_rejected (columns of these names in df are replaced). Whole texts are read; every row
     stays, repeated ones included. A text too far from every centroid keeps its nearest language and is rejected."""
+    ship(df.sparkSession)
     names = ("lang_pred", "score", "lang_rejected")
     base = df.drop(*names)
     at = base.columns.index(text_col)

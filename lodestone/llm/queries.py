@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, quality, simhash
+from . import bpe, decontaminate, langid, quality, simhash, substring_dedup, suffix_dedup
 from .common import read
 
 
@@ -16,6 +16,28 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left", F.size("removed_lines").cast("bigint").alias("n_removed_lines"))
 
 
+def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[bytes, int], str]:
+    """Ranks and pattern of a public tokenizer."""
+    import public_tokenizers
+
+    return bpe.ranks_of(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", (F.octet_length("spans") / 8).cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -34,6 +56,9 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Name: query, DuckDB SQL or None.
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_quality": (op1_quality, None),
+    "op3_bpe": (op3_bpe, None),
+    "op4_suffix_dedup": (op4_suffix_dedup, None),
+    "op5_substring_dedup": (op5_substring_dedup, None),
     "op6_simhash": (op6_simhash, None),
     "op8_decontamination": (op8_decontamination, None),
     "op9_language": (op9_language, None),
