@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, simhash, substring_dedup, suffix_dedup
+from . import bpe, decontaminate, langid, lm, quality, simhash, substring_dedup, suffix_dedup, token_files, warc
 from .common import read
 
 
@@ -16,6 +16,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left", F.size("removed_lines").cast("bigint").alias("n_removed_lines"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents that labels call good (quality 1). Background: all documents."""
+    good = read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("good_")).distinct()
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").join(good, F.col("doc_id") == F.col("good_"), "left")
+    return lm.score(docs, F.col("good_").isNotNull()).select("doc_id", "n_tokens", "h_target", "h_background", "score")
+
+
 def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[dict[bytes, int], str]:
     """Ranks and pattern of a public tokenizer."""
     import public_tokenizers
@@ -42,6 +49,30 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replica b has the payload's first byte changed in every 97th page; the audit finds those records."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    harmed = pages.withColumn("html", F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+    out = warc.fixity(warc.layout(pages), warc.layout(harmed))
+    return out.select(F.col("id").alias("page_id"), F.col("file").alias("file_no"), "ordinal", "offset", "length", "digest", "status")
+
+
+OP7_SQL = """
+WITH r AS (
+  SELECT page_id, page_id // 512 AS file_no,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+           || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec,
+         page_id % 97 = 5 AND html NOT LIKE '~%' AS harmed
+  FROM pages)
+SELECT page_id, CAST(file_no AS BIGINT) AS file_no,
+       CAST(row_number() OVER w - 1 AS BIGINT) AS ordinal,
+       CAST(sum(strlen(rec)) OVER w - strlen(rec) AS BIGINT) AS "offset",
+       CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS digest,
+       CASE WHEN harmed THEN 'changed' ELSE 'ok' END AS status
+FROM r WINDOW w AS (PARTITION BY file_no ORDER BY page_id, sha256(rec))
+"""
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
@@ -53,13 +84,21 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "lang_rejected")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.count_documents(spark, docs, *vocabulary()).select("doc_id", "n_tokens")
+
+
 #: Name: query, DuckDB SQL or None.
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_quality": (op1_quality, None),
+    "op2_lm_scoring": (op2_lm_scoring, None),
     "op3_bpe": (op3_bpe, None),
     "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op5_substring_dedup": (op5_substring_dedup, None),
     "op6_simhash": (op6_simhash, None),
+    "op7_warc_fixity": (op7_warc_fixity, OP7_SQL),
     "op8_decontamination": (op8_decontamination, None),
     "op9_language": (op9_language, None),
+    "op10_token_counts": (op10_token_counts, None),
 }
