@@ -21,8 +21,9 @@ def words(text: Column) -> Column:
 
 
 def normalised(line: Column) -> Column:
-    """A line as it is compared: lower case, digits as one 0, runs of white space as one space, ends trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "0"), r"\s+", " "))
+    """A line as it is compared: lower case, runs of white space as one space, ends trimmed. Digits stay: lines that differ in
+    numbers only are not the same line."""
+    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
 
 
 def _let(value: Column, body) -> Column:
