@@ -74,7 +74,7 @@ def priority(states: tuple[str, ...] = ()) -> list[Column]:
     c = F.col("condition")
     reset = S.is_reset_condition(c)
     state = F.when(~reset, F.regexp_extract(c, r"state\s*(?:===|==)\s*(\w+)", 1))
-    rank = F.lit(len(states))
+    rank = F.coalesce(F.lit(None).cast("int"), F.lit(len(states)))  # a bare number would be taken for a column's place
     for i, s in enumerate(states):
         rank = F.when(state == s, len(states) - i).otherwise(rank)
     return [(~reset).alias("not_reset"), rank, F.length(c), c, F.col("edge_seq"), F.col("clock_domain")]
