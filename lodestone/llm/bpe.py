@@ -8,7 +8,7 @@ them together by position. Decoding joins the ids with the table of token bytes.
 from __future__ import annotations
 
 import base64
-import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +28,14 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _digest(word: str) -> bytes:
-    return hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+def by_bucket(words: list[str], n: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, numbers of its words in order) for every bucket that has one."""
+    from xxhash import xxh32_intdigest
+
+    bucket = np.fromiter(map(xxh32_intdigest, words), np.int64, len(words)) % n
+    order = np.argsort(bucket, kind="stable")
+    found, starts = np.unique(bucket[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, starts[1:]), strict=True)) if len(words) else []
 
 
 class Pretokens:
@@ -73,15 +79,11 @@ class Pretokens:
         return rows
 
 
-def gather(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """values holds lists one after the other, ends where each ends → the lists numbered `at`, joined, and their lengths."""
-    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    lens = (ends - starts)[at]
+def gather(values: np.ndarray, starts: np.ndarray, lens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values holds lists, of which starts and lens give the places → the lists numbered `at`, joined."""
+    starts, lens = starts[at], lens[at]
     total = int(lens.sum())
-    if not total:
-        return values[:0], lens
-    shift = np.repeat(starts[at] - (np.cumsum(lens) - lens), lens)
-    return values[np.arange(total) + shift], lens
+    return values[np.arange(total) + np.repeat(starts - (np.cumsum(lens) - lens), lens)] if total else values[:0]
 
 
 def _texts(batch: pa.RecordBatch, row: int, names: tuple[str, str, str]) -> list[str]:
@@ -119,19 +121,13 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
     n = buckets(spark, total, BUCKET_BYTES)
     table = spark.sparkContext.broadcast((ranks, pattern))  # the vocabulary: a fixed size, whatever the corpus
 
-    def split(words: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in range(n)]
-        for i, w in enumerate(words):
-            out[int.from_bytes(_digest(w), "little") % n].append(i)
-        return out
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 pre = Pretokens(table.value[1])
                 pre.number(_texts(batch, row, names))
                 words = list(pre.ids)
-                sent = [(b, _pack_words([words[i] for i in at])) for b, at in enumerate(split(words)) if at]
+                sent = [(b, _pack_words([words[i] for i in at.tolist()])) for b, at in by_bucket(words, n)]
                 chunk = batch.column(0)[row].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(sent), pa.int64()), pa.array([b for b, _ in sent], pa.int32()), pa.array([x for _, x in sent], pa.binary())], names=["chunk", "bucket", "words"])
 
@@ -141,15 +137,17 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
 
         ranks, pattern = table.value
         tokens = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        known: dict[str, np.ndarray] = {}
+        zip_ = zstandard.ZstdCompressor(level=1)
+        known: dict[str, bytes] = {}
         out = []
         for blob in got.column("words"):
             words = _unpack_words(blob.as_py())
             for w in words:
                 if w not in known:
-                    known[w] = np.array([ranks[w.encode()]] if w.encode() in ranks else tokens.encode_ordinary(w), "<u4")
+                    one = ranks.get(w.encode())
+                    known[w] = array("I", tokens.encode_ordinary(w) if one is None else (one,)).tobytes()
             ids = [known[w] for w in words]
-            out.append(zstandard.ZstdCompressor(level=1).compress(np.array([len(ids), *map(len, ids)], "<u4").tobytes() + b"".join(x.tobytes() for x in ids)))
+            out.append(zip_.compress((np.fromiter(map(len, ids), "<u4", len(ids)) // 4).astype("<u4").tobytes() + b"".join(ids)))
         return pa.table({"chunk": got.column("chunk"), "bucket": got.column("bucket"), "ids": pa.array(out, pa.binary())}).cast(pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())]))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +158,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
         for k, v in ranks.items():
             by_id[v] = k
         token_bytes = np.frombuffer(b"".join(by_id), np.uint8)
-        token_ends = np.cumsum([len(x) for x in by_id], dtype=np.int64)
+        token_lens = np.fromiter(map(len, by_id), np.int64, len(by_id))
+        token_starts = np.cumsum(token_lens) - token_lens
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             for row in range(batch.num_rows):
@@ -168,25 +167,27 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
                 pre = Pretokens(pattern)
                 rows = pre.number(texts)
                 words = list(pre.ids)
-                lists: list[np.ndarray] = [np.zeros(0, "<u4")] * len(words)
+                lens, starts, blobs, held = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
                 got = {x["bucket"]: x["ids"] for x in batch.column(batch.schema.get_field_index("got"))[row].as_py() or []}
-                for b, at in enumerate(split(words)):
-                    if at:
-                        raw = unzip.decompress(got[b])
-                        lens = np.frombuffer(raw, "<u4", len(at), 4).astype(np.int64)
-                        for i, x in zip(at, np.split(np.frombuffer(raw, "<u4", -1, 4 + 4 * len(at)), np.cumsum(lens)[:-1]), strict=True):
-                            lists[i] = x
-                ids = np.concatenate([*lists, np.zeros(0, "<u4")])
-                ends = np.cumsum([len(x) for x in lists], dtype=np.int64)
+                for b, at in by_bucket(words, n):
+                    raw = unzip.decompress(got[b])
+                    own = np.frombuffer(raw, "<u4", len(at)).astype(np.int64)
+                    lens[at] = own
+                    starts[at] = held + np.cumsum(own) - own
+                    blobs.append(np.frombuffer(raw, "<u4", -1, 4 * len(at)))
+                    held += int(own.sum())
+                # The ids of a unit: those of its pre-tokens, which stand one after the other.
                 parts = [p or [] for p in pre.parts]
-                unit_ids, lens = gather(ids, ends, np.array([x for p in parts for x in p], np.int64))
-                # From pre-tokens' lengths to units': the ids of a unit's pre-tokens stand one after the other.
-                unit_ends = np.concatenate(([0], np.cumsum(lens)))[np.cumsum([len(p) for p in parts], dtype=np.int64)] if parts else np.zeros(0, np.int64)
+                flat = np.array([x for p in parts for x in p], np.int64)
+                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+                unit_ids = gather(np.concatenate([*blobs, np.zeros(0, "<u4")]), starts, lens, flat)
+                ends = np.concatenate(([0], np.cumsum(lens[flat])))[np.concatenate(([0], np.cumsum(sizes)))]
+                unit_starts, unit_lens = ends[:-1], np.diff(ends)
                 made, decoded = [], []
                 for r in rows:
-                    x = gather(unit_ids, unit_ends, np.array(r, np.int64))[0] if r else unit_ids[:0]
+                    x = gather(unit_ids, unit_starts, unit_lens, np.array(r, np.int64))
                     made.append(x.astype("<u4").tobytes())
-                    decoded.append(gather(token_bytes, token_ends, x.astype(np.int64))[0].tobytes() if decode else None)
+                    decoded.append(gather(token_bytes, token_starts, token_lens, x.astype(np.int64)).tobytes() if decode else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([made], pa.list_(pa.binary())), pa.array([decoded], pa.list_(pa.binary()))], names=["chunk", "rows", "ids", "decoded"])
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
