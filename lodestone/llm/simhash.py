@@ -29,7 +29,9 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("radius: an even number of bits")
     masks = [0] + [sum(1 << b for b in c) for n in range(1, radius // 2 + 1) for c in combinations(range(64), n)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    variants = fps.select("fp", F.explode(F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: F.col("fp").bitwiseXOR(m))).alias("v"))
+    # By number, or few small partitions would each make 65 times their rows.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    variants = spread.select("fp", F.explode(F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: F.col("fp").bitwiseXOR(m))).alias("v"))
     met = variants.groupBy("v").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = variants.join(met, "v").where("fp != low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
