@@ -53,8 +53,14 @@ def vectors(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+#: White space as spaces; what else of ASCII is no letter says nothing about a language, and goes.
+BLANK = bytes(32 if i < 128 and chr(i).isspace() else i for i in range(256))
+NO_LETTER = bytes(i for i in range(128) if not chr(i).isalpha() and not chr(i).isspace())
+
+
 def prepared(text: str) -> bytes:
-    return text.lower().encode("utf-8", "replace")
+    """A text as n-grams are taken from it, between spaces, so that a single letter has one too."""
+    return b" " + text.lower().encode("utf-8", "replace").translate(BLANK, NO_LETTER) + b" "
 
 
 def _groups(texts: list[str | None], most: int = 1 << 21) -> Iterator[list[int]]:
@@ -85,14 +91,22 @@ def _kmeans(v: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order: Column | None = None, centroids: int = CENTROIDS, slack: float = 0.5) -> Model:
-    """A model of the labelled rows of df. At most TRAIN_PER_LANG rows of each label, the first by `order` (a hash of the
-    text if none), each of at most TRAIN_TEXT_BYTES bytes, are used; rows with a null label, no text or no letter are
+    """A model of the labelled rows of df. At most TRAIN_PER_LANG rows of each label, the first by a hash of `order` (of
+    the text if none), each of at most TRAIN_TEXT_BYTES bytes, are used; rows with a null label, no text or no letter are
     not. slack scales the smallest cosine that a centroid accepts: the first percentile of its own training rows."""
     from pyspark.sql import Window
 
     ship(df.sparkSession)
     usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.octet_length(text_col).between(3, TRAIN_TEXT_BYTES))
-    key = F.xxhash64(F.col(text_col)) if order is None else order
+    key = F.col(text_col) if order is None else order
+    # Rows far behind the first ones are left out before the shuffle, by a share of the hash range that each label's count
+    # gives: what is ranked is a few times the sample, however many rows and partitions there are.
+    usable = usable.withColumn("u_", F.pmod(F.xxhash64(key), F.lit(1 << 32)) / float(1 << 32))
+    many = {r["l"]: r["c"] for r in usable.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("c")).collect()}
+    near = F.lit(False)
+    for lang, c in many.items():
+        near = near | ((F.col(lang_col) == lang) & (F.col("u_") < 4 * TRAIN_PER_LANG / c))
+    usable, key = usable.where(near), F.col("u_")
     rank = F.row_number().over(Window.partitionBy("l").orderBy("k", "t"))
     sample = usable.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), key.alias("k")).withColumn("r", rank).where(F.col("r") <= TRAIN_PER_LANG)
 
