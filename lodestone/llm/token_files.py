@@ -98,4 +98,5 @@ def count_documents(spark: SparkSession, df: DataFrame, ranks: dict[bytes, int],
     """(id_col, n_tokens, path, ordinal) of every row of df: files are written, scanned, and named by their manifest."""
     files = write(df, ranks, pattern, id_col, text_col)
     named = files.select("path", F.posexplode("ids").alias("o", "id")).withColumn("ordinal", F.col("o").cast("bigint"))
-    return named.join(count(files.select("path", "tokens")), ["path", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens", "path", "ordinal")
+    # By a shuffle: the manifest's files are small, but it has a row for each document, so it must not be broadcast.
+    return named.hint("merge").join(count(files.select("path", "tokens")).hint("merge"), ["path", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens", "path", "ordinal")
