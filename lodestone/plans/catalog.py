@@ -111,7 +111,7 @@ EV = tables.SQL + """, walk AS (SELECT src AS cur, [src] AS path FROM ev WHERE s
 """
 graph_query("simple_paths", plain=EV.format(start="'view'") + "SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS BIGINT) AS hops FROM walk WHERE cur = 'purchase'", graph=tables.events)(lambda g: paths.simple_paths(g.edges, "view", "purchase", 4).select(F.array_join("path", ">").alias("path"), big("hops", F.size("path") - 1)))
 graph_query("shortest_path", """, walk AS (SELECT 'r.1' AS cur, ['r.1'] AS path UNION ALL SELECT e.dst, list_append(w.path, e.dst) FROM walk w JOIN (SELECT DISTINCT src, dst FROM e) e ON e.src = w.cur WHERE len(w.path) <= 4)
-SELECT array_to_string(path, '>') AS path FROM walk WHERE cur = 'p.9' ORDER BY len(path), path LIMIT 1""")(lambda g: paths.shortest_path(g.edges, "r.1", "p.9", 4).select(F.array_join("path", ">").alias("path")))
+SELECT array_to_string(w.path, '>') AS path FROM walk w WHERE w.cur = 'p.9' ORDER BY len(w.path), w.path LIMIT 1""")(lambda g: paths.shortest_path(g.edges, "r.1", "p.9", 4).select(F.array_join("path", ">").alias("path")))
 graph_query("elementary_cycles", plain=tables.SQL + """, walk AS (SELECT src AS root, src AS cur, [src] AS path FROM ev GROUP BY 1
  UNION ALL SELECT w.root, ev.dst, list_append(w.path, ev.dst) FROM walk w JOIN ev ON ev.src = w.cur WHERE ev.dst > w.root AND NOT list_contains(w.path, ev.dst))
 SELECT array_to_string(w.path, '>') AS path FROM walk w JOIN ev ON ev.src = w.cur AND ev.dst = w.root""", graph=tables.events)(lambda g: paths.elementary_cycles(g.edges, 5).select(F.array_join("path", ">").alias("path")))
