@@ -19,7 +19,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents that labels call good (quality 1). Background: all documents."""
     good = read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("good_")).distinct()
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").join(good, F.col("doc_id") == F.col("good_"), "left")
+    # Labels grow with the documents, so they are joined by a shuffle at every size, never broadcast while they are few.
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("good_"), "left")
     return lm.score(docs, F.col("good_").isNotNull()).select("doc_id", "n_tokens", "h_target", "h_background", "score")
 
 
