@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import buckets, pack, unpack, written
 
 MIN_COUNT, LAMBDA = 2, 0.5
-CHUNK, BUCKET_BYTES = 8 << 20, 4 << 20
+CHUNK, BUCKET_BYTES = 4 << 20, 4 << 20
 BEGIN, END = 0x1234567, 0x7654321
 
 
