@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, pack, ship, unpack, written
+from .common import answers_of, buckets, pack, places_of, ship, unpack, written
 
 #: Bytes of text in a chunk, and for each bucket.
 CHUNK, BUCKET_BYTES = 8 << 20, 8 << 20
@@ -116,7 +116,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
     """
     spark = df.sparkSession
     names = ("texts", "ends", "nulls")
-    chunks = pack(df, text_col, CHUNK)
+    places = places_of(df)
+    chunks = pack(df, text_col, CHUNK, places)
     total = chunks.agg(F.sum(F.octet_length("texts"))).first()[0] or 0
     n = buckets(spark, total, BUCKET_BYTES)
     table = spark.sparkContext.broadcast((ranks, pattern))  # the vocabulary: a fixed size, whatever the corpus
@@ -193,8 +194,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
     asked = chunks.select("chunk", *names).mapInArrow(ask, "chunk bigint, bucket int, words binary")
     ids = written(asked.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(answer, "chunk bigint, bucket int, ids binary"), "ids")
-    per = ids.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids")).alias("got")).withColumnRenamed("chunk", "c_")
-    whole = chunks.join(per, F.col("chunk") == F.col("c_"), "left").select("chunk", "rows", *names, "got")
+    whole = answers_of(chunks, ids, places).select("chunk", "rows", *names, "got")
     out = whole.mapInArrow(join, f"chunk bigint, rows {chunks.schema['rows'].dataType.simpleString()}, ids array<binary>, decoded array<binary>")
     out = unpack(out, text_col, {"ids": "ids", "decoded": "decoded"})
     keep = [c for c in out.columns if c not in ("ids", "decoded", "n_tokens")]

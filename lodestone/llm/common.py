@@ -8,11 +8,12 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +27,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+CLEANUP, WRITERS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.maxConcurrentOutputFileWriters"
+#: Text of a bucket of chunks that are joined where they lie, and the most buckets that Spark makes.
+PLACE_BYTES, MOST_PLACES = 64 << 20, 100_000
 _shipped: set[str] = set()
 
 
@@ -76,18 +79,37 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, by: tuple[int, str] | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: cuts lineage and survives lost executors.
+
+    by: (n, column) makes it a table of n buckets of that column, which a join on the column reads without a shuffle.
+    Tasks write where they are; a task whose rows have few values of the column makes few files and sorts nothing.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     # The shuffle files of this job serve no other: Spark may remove them when it ends.
-    old = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    with _set(spark, {CLEANUP: "true", WRITERS: "8"}):
+        if by is None:
+            df.write.option("compression", "zstd").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+        table = f"lodestone_{uuid.uuid4().hex}"
+        df.write.bucketBy(*by).option("compression", "zstd").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name only: the files lie outside the warehouse, and out is resolved
+    return out
+
+
+@contextmanager
+def _set(spark: SparkSession, confs: dict[str, str]) -> Iterator[None]:
+    """The session with these settings, which go back to what they were."""
+    old = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
-        spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
-    return spark.read.schema(df.schema).parquet(path)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -100,9 +122,11 @@ def buckets(spark: SparkSession, total_bytes: int, per_bucket: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // per_bucket))
 
 
-def pack(df: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def pack(df: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES, places: int | None = None) -> DataFrame:
     """Rows of df packed into chunks of about chunk_bytes of text, without a shuffle, and written to the shared folder.
 
+    places: the table has so many buckets of `part`, the task that made a chunk (its id's upper half); see answers_of().
+
     chunk: an id; rows: the other columns in order; ids of rows are positions in it; texts: the UTF-8 texts one after
     the other; ends: where each ends (little-endian int32); nulls: a byte for each row, 1 where the text is null.
     Later steps refer to (chunk, position), so repeated or null keys and clashing column names do no harm.
@@ -150,7 +174,30 @@ def pack(df: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFr
         if others_held:
             yield flush()
 
-    return written(slim.mapInArrow(run, schema), "chunks")
+    out = slim.mapInArrow(run, schema)
+    if places is None:
+        return written(out, "chunks")
+    return written(out.withColumn("part", part()), "chunks", (places, "part"))
+
+
+def part() -> Column:
+    """The task that made a chunk."""
+    return F.shiftright("chunk", 32).cast("int")
+
+
+def places_of(df: DataFrame) -> int:
+    """Buckets for the chunks of df, by Spark's estimate of its size: it changes how work is dealt out, never the result."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(MOST_PLACES, buckets(df.sparkSession, size, PLACE_BYTES))
+
+
+def answers_of(chunks: DataFrame, answers: DataFrame, places: int) -> DataFrame:
+    """chunks (packed with places) and `got`: the rows (bucket, ids) of answers for each chunk. Only answers are shuffled.
+
+    The buckets are of `part`, so that alone is a key of the join; the chunk is compared in a form that is no second key.
+    """
+    per = answers.withColumn("p_", part()).repartition(places, "p_").groupBy("p_", F.col("chunk").alias("c_")).agg(F.collect_list(F.struct("bucket", "ids")).alias("got"))
+    return chunks.join(per.hint("shuffle_hash"), (F.col("part") == F.col("p_")) & (F.col("chunk") - F.col("c_") == 0), "left").drop("p_", "c_", "part")
 
 
 def unpack(df: DataFrame, text_col: str | None, results: dict[str, str]) -> DataFrame:
