@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import answers_of, buckets, pack, places_of, ship, unpack, written
 
 #: Bytes of text in a chunk, and for each bucket.
-CHUNK, BUCKET_BYTES = 8 << 20, 8 << 20
+CHUNK, BUCKET_BYTES = 5 << 20, 8 << 20
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -86,6 +86,15 @@ def gather(values: np.ndarray, starts: np.ndarray, lens: np.ndarray, at: np.ndar
     return values[np.arange(total) + np.repeat(starts - (np.cumsum(lens) - lens), lens)] if total else values[:0]
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, their lowest bytes first, then the next: what is zero in all of them compresses to nothing."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _texts(batch: pa.RecordBatch, row: int, names: tuple[str, str, str]) -> list[str]:
     t, e, n = (batch.column(batch.schema.get_field_index(x))[row].as_py() for x in names)
     ends = np.frombuffer(e, "<i4").tolist()
@@ -148,7 +157,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
                     one = ranks.get(w.encode())
                     known[w] = array("I", tokens.encode_ordinary(w) if one is None else (one,)).tobytes()
             ids = [known[w] for w in words]
-            out.append(zip_.compress((np.fromiter(map(len, ids), "<u4", len(ids)) // 4).astype("<u4").tobytes() + b"".join(ids)))
+            lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            out.append(zip_.compress(planes(np.concatenate((lens, np.frombuffer(b"".join(ids), "<u4"))))))
         return pa.table({"chunk": got.column("chunk"), "bucket": got.column("bucket"), "ids": pa.array(out, pa.binary())}).cast(pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())]))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,21 +174,20 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             for row in range(batch.num_rows):
-                texts = _texts(batch, row, names)
                 pre = Pretokens(pattern)
-                rows = pre.number(texts)
-                words = list(pre.ids)
+                rows = [np.array(r, np.int32) for r in pre.number(_texts(batch, row, names))]
+                words, parts = list(pre.ids), [p or [] for p in pre.parts]
+                del pre  # its units are the largest thing here
                 lens, starts, blobs, held = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
                 got = {x["bucket"]: x["ids"] for x in batch.column(batch.schema.get_field_index("got"))[row].as_py() or []}
                 for b, at in by_bucket(words, n):
-                    raw = unzip.decompress(got[b])
-                    own = np.frombuffer(raw, "<u4", len(at)).astype(np.int64)
+                    numbers = unplanes(unzip.decompress(got[b]))
+                    own = numbers[: len(at)].astype(np.int64)
                     lens[at] = own
                     starts[at] = held + np.cumsum(own) - own
-                    blobs.append(np.frombuffer(raw, "<u4", -1, 4 * len(at)))
+                    blobs.append(numbers[len(at) :])
                     held += int(own.sum())
                 # The ids of a unit: those of its pre-tokens, which stand one after the other.
-                parts = [p or [] for p in pre.parts]
                 flat = np.array([x for p in parts for x in p], np.int64)
                 sizes = np.fromiter(map(len, parts), np.int64, len(parts))
                 unit_ids = gather(np.concatenate([*blobs, np.zeros(0, "<u4")]), starts, lens, flat)
@@ -186,7 +195,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
                 unit_starts, unit_lens = ends[:-1], np.diff(ends)
                 made, decoded = [], []
                 for r in rows:
-                    x = gather(unit_ids, unit_starts, unit_lens, np.array(r, np.int64))
+                    x = gather(unit_ids, unit_starts, unit_lens, r)
                     made.append(x.astype("<u4").tobytes())
                     decoded.append(gather(token_bytes, token_starts, token_lens, x.astype(np.int64)).tobytes() if decode else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([made], pa.list_(pa.binary())), pa.array([decoded], pa.list_(pa.binary()))], names=["chunk", "rows", "ids", "decoded"])
