@@ -125,9 +125,10 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
     """
     spark = df.sparkSession
     names = ("texts", "ends", "nulls")
-    places = places_of(df)
+    # Measured, not estimated: Spark takes a size it doesn't know for the largest there is.
+    total = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("bigint"))).first()[0] or 0
+    places = places_of(spark, total)
     chunks = pack(df, text_col, CHUNK, places)
-    total = chunks.agg(F.sum(F.octet_length("texts"))).first()[0] or 0
     n = buckets(spark, total, BUCKET_BYTES)
     table = spark.sparkContext.broadcast((ranks, pattern))  # the vocabulary: a fixed size, whatever the corpus
 

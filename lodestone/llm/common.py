@@ -185,10 +185,9 @@ def part() -> Column:
     return F.shiftright("chunk", 32).cast("int")
 
 
-def places_of(df: DataFrame) -> int:
-    """Buckets for the chunks of df, by Spark's estimate of its size: it changes how work is dealt out, never the result."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(MOST_PLACES, buckets(df.sparkSession, size, PLACE_BYTES))
+def places_of(spark: SparkSession, total_bytes: int) -> int:
+    """Buckets for chunks of so much text: they change how work is dealt out, never the result."""
+    return min(MOST_PLACES, buckets(spark, total_bytes, PLACE_BYTES))
 
 
 def answers_of(chunks: DataFrame, answers: DataFrame, places: int) -> DataFrame:
