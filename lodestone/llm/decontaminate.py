@@ -64,9 +64,14 @@ def hits(docs: DataFrame, table: DataFrame, sizes: list[int], broadcast: bool) -
     return found
 
 
+def _text_key(text: Column) -> dict[str, Column]:
+    return {"hash": F.xxhash64(text), "bytes": F.octet_length(F.coalesce(text, F.lit("")))}
+
+
 def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, one_in: int = 20) -> DataFrame:
-    """A row for each document: id_col, n_words, n_hit, n_items, items (sorted), spans (word positions [start, end) of what
-    is hit, merged), contaminated (n_hit > 0 and one_in * n_hit >= n_words).
+    """A row for each document: id_col, text_hash and text_bytes (which with the id name the row), n_words, n_hit, n_items,
+    items (sorted), spans (word positions [start, end) of what is hit, merged), contaminated (n_hit > 0 and
+    one_in * n_hit >= n_words).
 
     Every row of docs gives one row, repeated ids and null ids included, judged on its own text. Null, empty and wordless
     texts have no words and no hits; an empty benchmark hits nothing. Only the named columns are read, so others cannot
@@ -77,10 +82,10 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     table = members.groupBy("gram_id", "size", "gram").agg(F.count("*").alias("m")).drop("m")
     size_of = {r["size"]: r["c"] for r in table.groupBy("size").agg(F.count("*").alias("c")).collect()}  # at most n rows
     text = F.col(f"`{text_col}`")
-    key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), F.octet_length(F.coalesce(text, F.lit(""))).alias("bytes"))
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), *[c.alias(n) for n, c in _text_key(text).items()])
     all_words = docs.select(key.alias("key"), words(text).alias("w"))
     if not size_of:
-        return all_words.select("key", F.size("w").cast("bigint").alias("n_words")).select(F.col("key.id").alias(id_col), "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.lit(0).cast("bigint").alias("n_items"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(False).alias("contaminated"))
+        return all_words.select("key", F.size("w").cast("bigint").alias("n_words")).select(F.col("key.id").alias(id_col), F.col("key.hash").alias("text_hash"), F.col("key.bytes").alias("text_bytes"), "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.lit(0).cast("bigint").alias("n_items"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(False).alias("contaminated"))
     both = checkpointed(hits(all_words, table, sorted(size_of), sum(size_of.values()) <= BROADCAST_GRAMS))
     counted, found = both.where("pos < 0").select("key", "n_words"), both.where("pos >= 0")
     found = found.groupBy("key", "pos").agg(F.max("size").alias("size"), F.collect_set("gram_id").alias("gram_ids"))
@@ -96,16 +101,18 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     out = counted.alias("c").join(per.alias("p"), F.col("c.key") == F.col("p.key"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return out.select(
-        F.col("c.key.id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("bigint").alias("n_items"),
+        F.col("c.key.id").alias(id_col), F.col("c.key.hash").alias("text_hash"), F.col("c.key.bytes").alias("text_bytes"), "n_words", n_hit.alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("bigint").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
         ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"),
     )
 
 
-def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id scan() (found) doesn't call contaminated in any row; null ids stay unless a null id is."""
-    bad = found.where("contaminated").select(F.col(id_col).alias("bad_")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("bad_")), "left_anti")
+def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that scan() (found) doesn't call contaminated. A row goes by the verdict on its own text, so rows
+    that share its id, null or not, stay unless theirs is contaminated too."""
+    bad = found.where("contaminated").select(F.col(id_col).alias("bad_"), F.col("text_hash").alias("bad_hash_"), F.col("text_bytes").alias("bad_bytes_")).distinct()
+    own = _text_key(F.col(f"`{text_col}`"))
+    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("bad_")) & (own["hash"] == F.col("bad_hash_")) & (own["bytes"] == F.col("bad_bytes_")), "left_anti")
 
 
 def cut(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,6 +37,14 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
+def classes(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """fps (fp, distinct) → (fp, label, n_links): label is the least fingerprint that links of at most radius bits reach."""
+    edges = checkpointed(links(fps, radius))
+    degree = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
+    labels = components(edges).withColumnRenamed("node", "fp")
+    return fps.join(labels, "fp", "left").join(degree, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """(id_col, fingerprint as 16 hex digits, component_id, n_links): the near-duplicate classes of the rows of df.
 
@@ -47,20 +55,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     fps = checkpointed(fingerprints(df, id_col, text_col).withColumnRenamed(id_col, "id"))
     distinct = fps.groupBy("fp").agg(F.min("id").alias("id"))
-    edges = checkpointed(links(distinct.select("fp"), radius))
-    labels = components(edges)
-    degree = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
-    classes = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = classes.groupBy("label").agg(F.min("id").alias("component_id"))
-    of = classes.join(named, "label").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    found = distinct.join(classes(distinct.select("fp"), radius), "fp")
+    named = found.groupBy("label").agg(F.min("id").alias("component_id"))
+    of = found.join(named, "label").select("fp", "component_id", "n_links")
     return fps.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """The rows of df, one for each near-duplicate class: the one whose id is the class's smallest. Of repeated rows with
-    that id one stays. A class whose ids are all null keeps one row."""
-    found = checkpointed(near_duplicates(df, id_col, text_col, radius))
-    kept = found.select(F.col("component_id").alias("id_")).distinct()
-    out = df.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("id_")), "left_semi")
-    repeated = found.groupBy(id_col).count().where("count > 1").limit(1).count()
-    return out.dropDuplicates([id_col]) if repeated else out
+    """The rows of df, one for each near-duplicate class: the first by id (nulls last), then by the text's SHA-256 (null
+    texts first). Of rows that are equal in both one stays. Ids may be null or repeated: they never join classes."""
+    sha = F.coalesce(F.sha2(F.col(f"`{text_col}`").cast("binary"), 256), F.lit(""))
+    f = jvm.register(df.sparkSession, "lodestone_simhash", "SimHash", "bigint")
+    rows = checkpointed(df.select(F.col(f"`{id_col}`").alias("id_"), sha.alias("sha_"), F.call_function(f, F.col(f"`{text_col}`").cast("binary")).alias("fp")))
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("id_").isNull().alias("no"), "id_", "sha_")).alias("first"))
+    found = first.join(classes(first.select("fp"), radius), "fp")
+    kept = found.groupBy("label").agg(F.min("first").alias("first")).select("first.id_", "first.sha_")
+    # Id and text name a row's class: a text has one fingerprint, whatever other rows bear its id.
+    out = df.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("id_")) & (sha == F.col("sha_")), "left_semi")
+    repeated = rows.groupBy("id_", "sha_").count().where("count > 1").limit(1).count()
+    return out.withColumn("sha_", sha).dropDuplicates([id_col, "sha_"]).select(*[F.col(f"`{c}`") for c in df.columns]) if repeated else out

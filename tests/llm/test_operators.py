@@ -106,6 +106,15 @@ def test_simhash(docs, rows):
     assert ids == sorted({(c,) for _, _, c in brute.op6(plain(rows))})
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    r = random.Random(11)
+    text = [" ".join(str(r.getrandbits(40)) for _ in range(80)) for _ in range(9)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (5, text[2]), (5, text[3]), (5, text[3]), (7, text[4]), (None, text[4]), (8, text[5]), (8, text[6]), (9, text[6]), (3, text[7]), (None, text[8]), (5, text[8]), (None, None), (None, "")]
+    out = [tuple(x) for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()]
+    want = [(None, text[0]), (None, text[1]), (5, text[2]), (5, text[3]), (7, text[4]), (8, text[5]), (8, text[6]), (3, text[7]), (5, text[8])]
+    assert sorted(map(str, out)) == sorted(map(str, [*want, (None, None)]))
+
+
 def test_simhash_links(spark):
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(40)]
@@ -148,6 +157,13 @@ def test_decontamination(spark, docs, rows):
     assert 900 not in kept and 901 in kept and 1 in kept
 
 
+def test_remove_by_the_row(spark):
+    rows = [(None, "short item"), (None, "a clean text"), (None, "another"), (None, None), (5, "short item"), (5, "clean"), (6, "Short, item!"), (7, "clean")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = decontaminate.remove(df, decontaminate.scan(df, spark.createDataFrame(ITEMS, "item_id bigint, text string")))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(None, "a clean text"), (None, "another"), (None, None), (5, "clean"), (7, "clean")]))
+
+
 def test_decontamination_without_items(spark, docs, rows):
     out = decontaminate.scan(docs, spark.createDataFrame([(1, None)], "item_id bigint, text string"))
     assert {(r["n_hit"], r["contaminated"]) for r in out.collect()} == {(0, False)} and out.count() == len(rows)
