@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..graph import PropertyGraph
-from .traverse import reach
+from .traverse import checkpointed, reach
 
 
 def assign(g: PropertyGraph) -> DataFrame:
@@ -38,12 +38,13 @@ def crossing_counts(found: DataFrame) -> DataFrame:
     return found.rollup("src_domain", "dst_domain").agg(F.count("*").alias("n")).na.fill("", ["src_domain", "dst_domain"])
 
 
-def synchronisers(g: PropertyGraph, found: DataFrame, depth: int = 3) -> DataFrame:
+def synchronisers(g: PropertyGraph, found: DataFrame, depth: int | None = None) -> DataFrame:
     """(dst, n_regs, sync): registers of the target's own domain that follow a crossing's target over registers of that
-    domain only, the target included; 1 is NONE, n is n-FLOP. depth bounds the chain."""
+    domain only, the target included, to the end of the chain or within `depth` hops; 1 is NONE, n is n-FLOP."""
     d = assign(g)
     reg = g.edges.where(F.col("kind") == "DRIVER").join(d.select(F.col("id").alias("src"), F.col("domain").alias("x")), "src").join(d.select(F.col("id").alias("dst"), F.col("domain").alias("y")), "dst").where("x = y")
-    targets = found.select("dst").distinct()
+    reg = checkpointed(reg.select("src", "dst").distinct())
+    targets = checkpointed(found.select("dst").distinct())
     after = reach(reg, targets.select(F.col("dst").alias("root"), F.col("dst").alias("id")), depth).where("root != id").groupBy("root").agg(F.count("*").alias("k"))
     n = F.coalesce("k", F.lit(0)) + 1
     return targets.join(after, targets["dst"] == after["root"], "left").select("dst", n.cast("bigint").alias("n_regs"), F.when(n == 1, "NONE").otherwise(F.concat(n.cast("string"), F.lit("-FLOP"))).alias("sync"))

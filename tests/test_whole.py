@@ -5,7 +5,7 @@ import os
 import pytest
 import test_graph
 
-from lodestone.operators import paths
+from lodestone.operators import domains, paths
 from lodestone.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +36,26 @@ def test_reg_depth(spark):
         want[f"o.{o}"] = at[c]
     assert max(want.values()) > 4
     assert dict(map(tuple, catalog.QUERIES["reg_depth"][0](spark, SF).select("id", "depth").collect())) == want
+
+
+def test_synchronisers_to_the_end(spark):
+    regs = [f"s{i}" for i in range(10)]
+    v = [(x, "REG") for x in ["a", *regs]] + [("c1", "PORT_IN"), ("c2", "PORT_IN")]
+    g = test_graph.graph(spark, [("a", "s0"), *zip(regs, regs[1:]), ("s9", "s4"), ("c1", "a", "CLOCK", ""), *[("c2", x, "CLOCK", "") for x in regs]], v)
+    assert test_graph.got(domains.synchronisers(g, domains.crossings(g))) == [("s0", 10, "10-FLOP")]
+    assert test_graph.got(domains.synchronisers(g, domains.crossings(g), 3)) == [("s0", 4, "4-FLOP")]
+
+
+@needs
+def test_sync_chain(spark):
+    orders, want, of = rows(spark, "orders", "o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus"), {}, {}
+    for c, _, o, s in sorted(orders):
+        of.setdefault(c, []).append((f"o.{o}", s))
+    for chain in of.values():
+        for i in range(1, len(chain)):
+            if chain[i][1] != chain[i - 1][1]:
+                n = 1
+                while i + n < len(chain) and chain[i + n][1] == chain[i][1]:
+                    n += 1
+                want[chain[i][0]] = n
+    assert dict(map(tuple, catalog.QUERIES["sync_chain"][0](spark, SF).select("dst", "n_regs").collect())) == want
