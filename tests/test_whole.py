@@ -59,3 +59,10 @@ def test_sync_chain(spark):
                     n += 1
                 want[chain[i][0]] = n
     assert dict(map(tuple, catalog.QUERIES["sync_chain"][0](spark, SF).select("dst", "n_regs").collect())) == want
+
+
+@needs
+def test_handshake_pairs(spark):
+    names = {(m, f"b{c % 7}", "_valid" if o % 2 == 0 else "_ready") for m, c, o in rows(spark, "orders", "o_orderpriority", "o_custkey", "o_orderkey")}
+    want = sorted((m, b, b + "_valid", b + "_ready") for m, b, end in names if end == "_valid" and (m, b, "_ready") in names)
+    assert test_graph.got(catalog.QUERIES["handshake_pairs"][0](spark, SF), "module", "base", "valid", "ready") == want
