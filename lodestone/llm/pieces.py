@@ -3,8 +3,9 @@
 Texts are packed into chunks. Each chunk sends the minimizers of its windows to buckets; a bucket sends back those that are
 repeated. Each chunk then sends the distinct pieces of text under repeated minimizers, a bucket's kernel answers for every
 window of them, and the chunk applies the answers. What is shuffled is one blob for each chunk and bucket that has
-something; identical pieces are sent once by a chunk and kept once by a bucket, so a passage that any number of documents
-share is one piece. Every intermediate table is written to the shared folder.
+something; identical pieces are sent once by a chunk and kept once by a bucket, so the inside of a passage that any number
+of documents share is one piece. At its edges each document has its own: a minimizer with more than HOT_PIECES of them is
+split, and each of its windows goes to a bucket by its own hash. Every intermediate table is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from .common import buckets, pack, unpack, written
 
 #: Bytes of text for each bucket.
 BUCKET_BYTES = 8 << 20
+#: Distinct pieces of one minimizer, counted by chunk, beyond which its windows are dealt out one by one.
+HOT_PIECES = 8 << 10
 
 
 def removed(df: DataFrame, kernel: str, words: bool, span: int, gram: int, within: bool, id_col: str, text_col: str) -> DataFrame:
     """The rows of df, text_col replaced by: n_symbols, n_removed, kept_bytes (what is left), spans (removed runs, as pairs of int32)."""
     spark = df.sparkSession
-    how = F.lit(f"{int(words)},{span},{gram},{int(within)}")
+    how = F.lit(f"{int(words)},{span},{gram},{int(within)},{HOT_PIECES}")
     anchors = jvm.register(spark, "lodestone_anchors", "Anchors", "array<binary>")
     repeated = jvm.register(spark, "lodestone_repeated", "Repeated", "array<binary>")
     send = jvm.register(spark, "lodestone_send_pieces", "SendPieces", "array<binary>")
@@ -46,7 +49,7 @@ def removed(df: DataFrame, kernel: str, words: bool, span: int, gram: int, withi
         return written(out.where(F.octet_length("blob") > 0), name)
 
     first = spread(chunks.select("chunk", F.call_function(anchors, "texts", "ends", how, nb).alias("blobs")))
-    twice = answered(first, "repeated", lambda blobs: F.call_function(repeated, blobs))
+    twice = answered(first, "repeated", lambda blobs: F.call_function(repeated, blobs, how))
     per_chunk = twice.groupBy("chunk").agg(F.collect_list("blob").alias("twice")).withColumnRenamed("chunk", "c_")
     ids = F.transform("rows", lambda r: r[id_col].cast("bigint"))
     with_twice = chunks.join(per_chunk, F.col("chunk") == F.col("c_"), "left").drop("c_")

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, components, decontaminate, jvm, langid, lm, quality, queries, simhash, substring_dedup, suffix_dedup, token_files, warc
+from lodestone.llm import bpe, components, decontaminate, jvm, langid, lm, pieces, quality, queries, simhash, substring_dedup, suffix_dedup, token_files, warc
+from lodestone.llm.common import written
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -91,6 +92,27 @@ def test_empty_tables(spark, f):
     assert f(spark.createDataFrame([], EMPTY)).collect() == []
 
 
+@pytest.mark.parametrize("f, check", [(suffix_dedup.deduplicate, brute.op4), (substring_dedup.remove_repeated, brute.op5)])
+def test_edges_of_a_shared_passage(spark, monkeypatch, f, check):
+    """Windows over the edges of a passage have minimizers inside it and contexts of their own: they don't share a bucket."""
+    r = random.Random(17)
+    own = lambda: " ".join(f"{r.getrandbits(32):x}" for _ in range(60))
+    passage = " ".join(f"pass{j}" for j in range(80))
+    rows = [(i, f"{own()} {passage} {own()}") for i in range(300)] + [(i, t) for i, t, *_ in made(3) if t]
+    monkeypatch.setattr(pieces, "BUCKET_BYTES", 4 << 10)
+    sizes = {}
+    for hot in (1 << 30, 16):
+        monkeypatch.setattr(pieces, "HOT_PIECES", hot, raising=False)
+        seen = []
+        monkeypatch.setattr(pieces, "written", lambda df, name, seen=seen: seen.append((name, written(df, name))) or seen[-1][1])
+        out = f(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+        got = listed(out, "doc_id", "n_symbols", "n_removed", F.sha2("kept_bytes", 256))
+        assert got == sorted((w[0], w[1], w[2], w[-1]) for w in check(rows))
+        per = [x["n"] for x in dict(seen)["answers"].groupBy("bucket").agg(F.sum(F.octet_length("blob")).alias("n")).collect()]
+        sizes[hot] = max(per) / sum(per)
+    assert sizes[16] < 0.5 * sizes[1 << 30]
+
+
 def test_linear_grouping(spark):
     """Kernels' suffix arrays by their use: windows of bytes of texts that repeat themselves in every way."""
     r = random.Random(7)
