@@ -1,13 +1,14 @@
 """Byte-level BPE: each distinct pre-token of the corpus is encoded once, in a global shuffle of distinct words.
 
-Texts are packed into chunks. A chunk splits its texts into pre-tokens with their positions, and sends its distinct ones,
-by hash, to buckets; a bucket encodes each word that it got from any chunk once and sends the ids back; the chunk puts
-them together by position. Decoding joins the ids with the table of token bytes.
+Texts are packed into chunks. A chunk splits its texts into pre-tokens once, keeps their numbers in order of position, and
+sends its distinct ones, by hash, to buckets; a bucket encodes each word that it got from any chunk once and sends the ids
+back; the chunk puts them together by position. Decoding joins the ids with the table of token bytes.
 """
 
 from __future__ import annotations
 
 import base64
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -16,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import answers_of, buckets, pack, places_of, ship, unpack, written
+from . import common
+from .common import answered, answers_of, back, buckets, met, pack, places_of, sent_array, ship, unpack
 
 #: Bytes of text in a chunk, and for each bucket.
 CHUNK, BUCKET_BYTES = 5 << 20, 8 << 20
@@ -38,24 +40,40 @@ def by_bucket(words: list[str], n: int) -> list[tuple[int, np.ndarray]]:
     return list(zip(found.tolist(), np.split(order, starts[1:]), strict=True)) if len(words) else []
 
 
+#: Texts on whose every pair, joined by a space, a pattern is tried for a lone space that always begins a match.
+PROBES = ("", "a", "Zz", "é", "漢", "5", "'", "'s", "!", "...", "_", "a!", "7s", "\n", "\t", "x\n", "\u00a0", "\u3000")
+
+
 class Pretokens:
-    """Splits texts by a pattern of which a lone space between two other characters always begins a match.
+    """Splits texts as the library that encodes them would.
 
-    Such a text is cut at single spaces first, and only its distinct units are matched against the pattern. A unit that
-    is empty or begins with white space, but for the first, may be part of a longer run: then the whole text is matched.
+    Where a lone space between two other characters always begins a match, a text is cut at single spaces first, and only
+    its distinct units are matched against the pattern. A unit that is empty or begins with white space, but for the first,
+    may be part of a longer run: then the whole text is matched, as it always is under other patterns. Libraries know
+    different versions of Unicode: a text with a code point that has no meaning yet here is a single pre-token, and left
+    to the library.
     """
 
     def __init__(self, pattern: str) -> None:
         import regex
 
-        self.find = regex.compile(pattern).findall
+        self.find = find = regex.compile(pattern).findall
+        self.cut = all(find(f"{a} {b}") == find(a) + find(f" {b}") for a in PROBES for b in PROBES if b and not b[0].isspace())
         self.ids: dict[str, int] = {}  # pre-token: number
         self.units: dict[str, int] = {}  # unit: number
         self.parts: list[list[int] | None] = []  # of a unit: numbers of its pre-tokens; None: not safe to cut here
-        self.seen = 0
+
+    def _whole(self, text: str, found: list[str], mark: str) -> list[int]:
+        """The text as a unit of its own; with the mark no unit of a cut text is equal to it."""
+        j = self.units.setdefault(mark + text, len(self.units))
+        if j == len(self.parts):
+            self.parts.append([self.ids.setdefault(x, len(self.ids)) for x in found])
+        return [j]
 
     def number(self, texts: list[str]) -> list[list[int]]:
         units, rows = self.units, []
+        if not self.cut:
+            return [self._whole(t, self.find(t), " \0") if t else [] for t in texts]
         for text in texts:
             cut = text.split(" ")
             cut[1:] = [" " + u for u in cut[1:]]
@@ -68,14 +86,12 @@ class Pretokens:
             else:
                 self.parts.append([ids.setdefault(x, len(ids)) for x in find(u)])
         unsafe = {i for i in range(len(self.parts)) if self.parts[i] is None}
-        if unsafe:
-            for i, (text, row) in enumerate(zip(texts, rows, strict=True)):
-                if not unsafe.isdisjoint(row):
-                    whole = "\0" + text  # a unit of its own: no unit of a cut text can hold what follows
-                    j = units.setdefault(whole, len(units))
-                    if j == len(self.parts):
-                        self.parts.append([ids.setdefault(x, len(ids)) for x in find(text)])
-                    rows[i] = [j]
+        unknown = "".join(c for c in set().union(*map(set, texts)) if c > "\x7f" and unicodedata.category(c) == "Cn")
+        for i, (text, row) in enumerate(zip(texts, rows, strict=True)) if unsafe or unknown else ():
+            if unknown and not set(unknown).isdisjoint(text):
+                rows[i] = self._whole(text, [text], " \1")
+            elif not unsafe.isdisjoint(row):
+                rows[i] = self._whole(text, find(text), " \0")
         return rows
 
 
@@ -95,12 +111,6 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _texts(batch: pa.RecordBatch, row: int, names: tuple[str, str, str]) -> list[str]:
-    t, e, n = (batch.column(batch.schema.get_field_index(x))[row].as_py() for x in names)
-    ends = np.frombuffer(e, "<i4").tolist()
-    return ["" if gone else t[a:b].decode("utf-8", "replace") for a, b, gone in zip([0, *ends[:-1]], ends, n, strict=True)]
-
-
 def _pack_words(words: list[str]) -> bytes:
     import zstandard
 
@@ -120,52 +130,61 @@ def _unpack_words(blob: bytes) -> list[str]:
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", decode: bool = True) -> DataFrame:
     """df without text_col, and: n_tokens, ids (binary: little-endian unsigned 32-bit), and, if decode, decoded (binary: the
-    bytes of the ids' tokens). Special tokens' strings are ordinary text. Null and empty texts have no ids. Every row
-    comes out once, repeated ones included; columns with clashing names are replaced.
+    bytes of the ids' tokens). Special tokens' strings are ordinary text. Null and empty texts have no ids; bytes that are no
+    UTF-8 are U+FFFD, as the library takes strings only. Every row comes out once, repeated ones included; columns with
+    clashing names are replaced.
     """
     spark = df.sparkSession
-    names = ("texts", "ends", "nulls")
     # Measured, not estimated: Spark takes a size it doesn't know for the largest there is.
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("bigint"))).first()[0] or 0
-    places = places_of(spark, total)
-    chunks = pack(df, text_col, CHUNK, places)
-    n = buckets(spark, total, BUCKET_BYTES)
+    places, n = places_of(spark, total), buckets(spark, total, BUCKET_BYTES)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
     table = spark.sparkContext.broadcast((ranks, pattern))  # the vocabulary: a fixed size, whatever the corpus
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                pre = Pretokens(table.value[1])
-                pre.number(_texts(batch, row, names))
-                words = list(pre.ids)
-                sent = [(b, _pack_words([words[i] for i in at.tolist()])) for b, at in by_bucket(words, n)]
-                chunk = batch.column(0)[row].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(sent), pa.int64()), pa.array([b for b, _ in sent], pa.int32()), pa.array([x for _, x in sent], pa.binary())], names=["chunk", "bucket", "words"])
-
-    def answer(got: pa.Table) -> pa.Table:
+    def split(texts: list[bytes | None], _: pa.StructArray) -> dict[str, pa.Array]:
+        """Units of every text in order, pre-tokens of every unit, and what is sent: the distinct pre-tokens by bucket."""
+        import zstandard
+
+        pre = Pretokens(table.value[1])
+        rows = pre.number(["" if t is None else t.decode("utf-8", "replace") for t in texts])
+        words, parts = list(pre.ids), [p or [] for p in pre.parts]
+        del pre
+        order = by_bucket(words, n)
+        sent = [(b, _pack_words([words[i] for i in at.tolist()])) for b, at in order]
+        numbers = {
+            "units": [x for r in rows for x in r], "lens": list(map(len, rows)), "parts": [x for p in parts for x in p], "sizes": list(map(len, parts)),
+            "order": np.concatenate([at for _, at in order]) if order else [], "found": [x for b, at in order for x in (b, len(at))],
+        }
+        zip_ = zstandard.ZstdCompressor(level=1)
+        return {k: pa.array([zip_.compress(planes(np.asarray(v, np.int64)))], pa.binary()) for k, v in numbers.items()} | {"sent": sent_array(sent, n)}
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
         import zstandard
 
         ranks, pattern = table.value
         tokens = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         zip_ = zstandard.ZstdCompressor(level=1)
-        known: dict[str, bytes] = {}
-        out = []
-        for blob in got.column("words"):
-            words = _unpack_words(blob.as_py())
-            for w in words:
-                if w not in known:
-                    one = ranks.get(w.encode())
-                    known[w] = array("I", tokens.encode_ordinary(w) if one is None else (one,)).tobytes()
-            ids = [known[w] for w in words]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            out.append(zip_.compress(planes(np.concatenate((lens, np.frombuffer(b"".join(ids), "<u4"))))))
-        return pa.table({"chunk": got.column("chunk"), "bucket": got.column("bucket"), "ids": pa.array(out, pa.binary())}).cast(pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())]))
+        for batch in batches:
+            for row in range(batch.num_rows):
+                known: dict[str, bytes] = {}
+                chunks, out = [], []
+                for x in batch.column(1)[row]:
+                    words = _unpack_words(x["blob"].as_py())
+                    for w in words:
+                        if w not in known:
+                            one = ranks.get(w.encode()) if w.isascii() else None
+                            known[w] = array("I", tokens.encode_ordinary(w) if one is None else (one,)).tobytes()
+                    ids = [known[w] for w in words]
+                    lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                    chunks.append(x["chunk"].as_py())
+                    out.append(zip_.compress(planes(np.concatenate((lens, np.frombuffer(b"".join(ids), "<u4"))))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([chunks], pa.list_(pa.int64())), pa.array([out], pa.list_(pa.binary()))], names=["bucket", "chunks", "answers"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        ranks, pattern = table.value
+        ranks = table.value[0]
         by_id = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             by_id[v] = k
@@ -175,39 +194,38 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             for row in range(batch.num_rows):
-                pre = Pretokens(pattern)
-                rows = [np.array(r, np.int32) for r in pre.number(_texts(batch, row, names))]
-                words, parts = list(pre.ids), [p or [] for p in pre.parts]
-                del pre  # its units are the largest thing here
-                lens, starts, blobs, held = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
-                got = {x["bucket"]: x["ids"] for x in batch.column(batch.schema.get_field_index("got"))[row].as_py() or []}
-                for b, at in by_bucket(words, n):
+                cell = lambda name: batch.column(batch.schema.get_field_index(name))[row].as_py()  # noqa: B023, E731
+                units, per_row, flat, sizes, order, found = (unplanes(unzip.decompress(cell(c))).astype(np.int64) for c in ("units", "lens", "parts", "sizes", "order", "found"))
+                lens, starts, blobs, held, at = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), [], 0, 0
+                got = {x["bucket"]: x["blob"] for x in cell("got") or []}
+                for b, k in found.reshape(-1, 2).tolist():
                     numbers = unplanes(unzip.decompress(got[b]))
-                    own = numbers[: len(at)].astype(np.int64)
-                    lens[at] = own
-                    starts[at] = held + np.cumsum(own) - own
-                    blobs.append(numbers[len(at) :])
+                    own = numbers[:k].astype(np.int64)
+                    lens[order[at : at + k]] = own
+                    starts[order[at : at + k]] = held + np.cumsum(own) - own
+                    blobs.append(numbers[k:])
                     held += int(own.sum())
+                    at += k
                 # The ids of a unit: those of its pre-tokens, which stand one after the other.
-                flat = np.array([x for p in parts for x in p], np.int64)
-                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
                 unit_ids = gather(np.concatenate([*blobs, np.zeros(0, "<u4")]), starts, lens, flat)
                 ends = np.concatenate(([0], np.cumsum(lens[flat])))[np.concatenate(([0], np.cumsum(sizes)))]
                 unit_starts, unit_lens = ends[:-1], np.diff(ends)
                 made, decoded = [], []
-                for r in rows:
+                for r in np.split(units, np.cumsum(per_row)[:-1]):
                     x = gather(unit_ids, unit_starts, unit_lens, r)
                     made.append(x.astype("<u4").tobytes())
                     decoded.append(gather(token_bytes, token_starts, token_lens, x.astype(np.int64)).tobytes() if decode else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([made], pa.list_(pa.binary())), pa.array([decoded], pa.list_(pa.binary()))], names=["chunk", "rows", "ids", "decoded"])
-
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
-    asked = chunks.select("chunk", *names).mapInArrow(ask, "chunk bigint, bucket int, words binary")
-    ids = written(asked.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(answer, "chunk bigint, bucket int, ids binary"), "ids")
-    whole = answers_of(chunks, ids, places).select("chunk", "rows", *names, "got")
-    out = whole.mapInArrow(join, f"chunk bigint, rows {chunks.schema['rows'].dataType.simpleString()}, ids array<binary>, decoded array<binary>")
-    out = unpack(out, text_col, {"ids": "ids", "decoded": "decoded"})
-    keep = [c for c in out.columns if c not in ("ids", "decoded", "n_tokens")]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([made], pa.list_(pa.binary())), pa.array([decoded], pa.list_(pa.binary()))], names=["rows", "ids", "decoded"])
+
+    stored = ("units", "lens", "parts", "sizes", "order", "found")
+    chunks = pack(df, text_col, CHUNK, places, (split, ", ".join(f"{c} binary" for c in stored) + f", sent {common.SENT}"))
+    count = chunks.count()
+    asked = met(chunks.select("chunk", "sent"), n, count, tasks).mapInArrow(answer, "bucket int, chunks array<bigint>, answers array<binary>")
+    ids = answered(asked, n, count, "ids")
+    whole = answers_of(chunks.drop("sent"), back(ids, n, tasks, places)).select("rows", *stored, "got")
+    out = whole.mapInArrow(join, f"rows {chunks.schema['rows'].dataType.simpleString()}, ids array<binary>, decoded array<binary>")
+    out = unpack(out, [c for c in df.columns if c != text_col], {"ids": "ids", "decoded": "decoded"})
+    keep = [F.col(f"`{c}`") for c in out.columns if c not in ("ids", "decoded", "n_tokens")]
     return out.select(*keep, (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", *(["decoded"] if decode else []))
 
 

@@ -1,9 +1,15 @@
-"""Cross-entropy difference: two n-gram models with one vocabulary, order and smoothing score every document.
-
-Both are interpolated bigram models over the words of whole texts, each text between a begin and an end mark. Words found
-fewer than MIN_COUNT times in the background are one unknown word. Counts of all documents are gathered by a shuffle of
-hashed n-grams: a chunk sends its distinct ones with their counts, a bucket adds them up and sends the sums back, and the
-chunk scores its documents with them, so nothing but a few totals reaches the driver.
+"""Cross-entropy difference: two matched n-gram models with one vocabulary score every document.
+
+Both are bigram models over the words of whole texts, each text between a begin and an end mark, with the same smoothing:
+a bigram's count is backed by MU pseudo-counts of the word's unigram probability, which is add-one over the vocabulary, so
+that the probabilities of the vocabulary, the unknown word and the end mark sum to 1 after every context. The vocabulary is
+the words found MIN_COUNT times or more in all rows; the others are one unknown word, in contexts too. The target model
+counts the target rows and the background model all others; its counts are scaled to the target's number of tokens, so
+that the two are matched in weight and no row is left out. A document is scored without its own counts.
+
+Counts of all documents are gathered by shuffles of hashed n-grams, words first and then bigrams: a chunk sends its
+distinct ones with their counts, a bucket adds them up and sends the sums back, and the chunk scores its documents with
+them, so nothing but a few totals reaches the driver. Texts are split once, and kept as numbers.
 """
 
 from __future__ import annotations
@@ -15,149 +21,216 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, pack, unpack, written
+from . import common
+from .common import answered, back, buckets, met, pack, sent_array, unpack
 
-MIN_COUNT, LAMBDA = 2, 0.5
+MIN_COUNT, MU = 2, 2.0
 CHUNK, BUCKET_BYTES = 4 << 20, 4 << 20
-BEGIN, END = 0x1234567, 0x7654321
+#: Numbers of the begin mark, the end mark and the unknown word in a chunk, and what stands for their hashes.
+BEGIN, END, UNKNOWN = 0, 1, 2
+MARKS = (0x1234567, 0x7654321, 0x2BADBAD)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0x9E3779B97F4A7C15)
     h = h ^ (h >> np.uint64(29))
     return h * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class Grams:
-    """The n-grams of a chunk. Unigrams are numbered by word, 0 and 1 being the marks; bigrams as pairs of numbers."""
+def by_bucket(keys: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, places of its keys, in an order that only the keys decide) for every bucket that has one."""
+    order = np.argsort(keys, kind="stable")
+    bucket = ((keys[order] >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    found, starts = np.unique(bucket[by], return_index=True)
+    return list(zip(found.tolist(), np.split(order[by], starts[1:]), strict=True)) if len(keys) else []
 
-    def __init__(self, texts: list[bytes | None], target: np.ndarray) -> None:
-        import xxhash
 
-        number: dict[bytes, int] = {}
-        words = [[number.setdefault(w, len(number) + 2) for w in (t or b"").split()] for t in texts]
-        self.lens = np.array([len(w) for w in words], np.int64)
-        # Every text as begin, words, end: what is predicted is all but the begin mark.
-        self.ends = np.cumsum(self.lens + 1)
-        self.token = np.array([x for w in words for x in (*w, 1)], np.int64)
-        self.before = np.concatenate(([0], self.token[:-1])) if len(self.token) else self.token
-        if len(self.token):
-            self.before[self.ends[:-1]] = 0
-        weight = np.repeat(target.astype(np.int64), self.lens + 1)
-        size = len(number) + 2
-        hashes = np.array([BEGIN, END, *map(xxhash.xxh64_intdigest, number)], np.uint64)
-        one = np.bincount(self.token, minlength=size)
-        one_t = np.bincount(self.token, weights=weight, minlength=size).astype(np.int64)
-        one[0], one_t[0] = len(texts), int(target.sum())  # the begin mark as a context
-        pairs, self.pair = np.unique(self.before * size + self.token, return_inverse=True)
-        two = np.bincount(self.pair, minlength=len(pairs))
-        two_t = np.bincount(self.pair, weights=weight, minlength=len(pairs)).astype(np.int64)
+def sent(keys: np.ndarray, counts: np.ndarray, n: int) -> pa.Array:
+    """Keys and their counts (a row for each model), by bucket."""
+    import zstandard
+
+    zip_ = zstandard.ZstdCompressor(level=1)
+    return sent_array([(b, zip_.compress(keys[at].astype("<u8").tobytes() + counts[:, at].astype("<u4").tobytes())) for b, at in by_bucket(keys, n)], n)
+
+
+def sums_of(got: list[dict], keys: np.ndarray, n: int) -> np.ndarray:
+    """The buckets' answers → sums of the keys, a row for each model."""
+    import zstandard
+
+    unzip, blobs, out = zstandard.ZstdDecompressor(), {x["bucket"]: x["blob"] for x in got}, np.zeros((2, len(keys)), np.int64)
+    for b, at in by_bucket(keys, n):
+        out[:, at] = np.frombuffer(unzip.decompress(blobs[b]), "<i8").reshape(2, -1)
+    return out
+
+
+class Tokens:
+    """The texts of a chunk as numbers of its distinct words, the marks and the unknown word being the first numbers."""
+
+    def __init__(self, token: np.ndarray, lens: np.ndarray, target: np.ndarray, keys: np.ndarray) -> None:
+        self.token, self.lens, self.target, self.keys = token, lens, target, keys  # of every text its words and the end mark
+        self.row = np.repeat(np.arange(len(lens)), lens)
+        self.weight = target[self.row]
+        self.ends = np.cumsum(lens)
+
+    def counts(self) -> np.ndarray:
+        """Of words by number, the begin mark counted as a context: in all rows, in target rows."""
+        out = np.stack([np.bincount(self.token, w, len(self.keys)) for w in (None, self.weight)]).astype(np.int64)
+        out[:, BEGIN] = len(self.lens), self.target.sum()
+        return out
+
+    def bigrams(self, known: np.ndarray) -> None:
+        """Numbers of the tokens and of what stands before them, with unknown words as one, and the distinct pairs."""
+        number = np.where(known, np.arange(len(self.keys)), UNKNOWN)
+        self.now = number[self.token]
+        self.before = np.concatenate(([BEGIN], self.now[:-1])) if len(self.now) else self.now
+        self.before[self.ends[:-1]] = BEGIN
+        self.pairs, self.pair = np.unique(self.before * len(self.keys) + self.now, return_inverse=True)
         with np.errstate(over="ignore"):
-            two_key = _mix(hashes[pairs // size] * np.uint64(3) + _mix(hashes[pairs % size])) | np.uint64(1)
-            one_key = _mix(hashes) & ~np.uint64(1)
-        self.size = size
-        self.keys = np.concatenate((one_key, two_key))
-        self.counts = np.stack((np.concatenate((one, two)), np.concatenate((one_t, two_t)))).astype("<u4")
+            self.pair_keys = mix(self.keys[self.pairs // len(self.keys)] * np.uint64(3) + mix(self.keys[self.pairs % len(self.keys)]))
 
-    def split(self, n: int) -> list[np.ndarray]:
-        """Numbers of the keys in each bucket, in an order that only the keys decide."""
-        order = np.argsort(self.keys, kind="stable")
-        bucket = (self.keys[order] >> np.uint64(20)) % np.uint64(n)
-        by = np.argsort(bucket, kind="stable")
-        return np.split(order[by], np.searchsorted(bucket[by], np.arange(1, n, dtype=np.uint64)))
+    def pair_counts(self) -> np.ndarray:
+        return np.stack([np.bincount(self.pair, w, len(self.pairs)) for w in (None, self.weight)]).astype(np.int64)
 
+    def own(self, numbers: np.ndarray) -> np.ndarray:
+        """How often the number at each place stands in its own row."""
+        _, at, n = np.unique(self.row * (int(numbers.max(initial=0)) + 1) + numbers, return_inverse=True, return_counts=True)
+        return n[at]
 
-def score(df: DataFrame, target: Column, text_col: str = "text", min_count: int = MIN_COUNT, weight: float = LAMBDA) -> DataFrame:
-    """df without text_col, and: n_tokens (words and the end mark), h_target, h_background (nats for each of them under the
-    model of the rows where `target` is true, and under that of all rows) and score, the difference: lower is more like the
-    target. All three are null for a text without words (null, empty or blank), which counts in the models as an empty
-    sequence. Without target rows the target model is uniform over the vocabulary. Every row comes out once.
+
+def losses(t: Tokens, one: np.ndarray, two: np.ndarray, size: int, tokens: int, scale: float, mine: np.ndarray, mu: float) -> np.ndarray:
+    """-log of the probability of every token, without its own row's counts where the row is the model's (mine).
+
+    one, two: the model's sums by word (unknown: of all that are) and by pair; size: words of the vocabulary, the end mark
+    and the unknown word; tokens: the model's, end marks included.
     """
-    import zstandard  # noqa: F401  needed on the executors too
+    left = mine[t.row]
+    word = one[t.now] - left * t.own(t.now)
+    single = (scale * word + 1) / (scale * (tokens - left * t.lens[t.row]) + size)
+    pair = two[t.pair] - left * t.own(t.pair)
+    # A row has its begin mark once; any other word stands before another as often as it is found.
+    context = one[t.before] - left * np.where(t.before == BEGIN, 1, t.own(t.before))
+    return -np.log((scale * pair + mu * single) / (scale * context + mu))
+
 
+def score(df: DataFrame, target: Column, text_col: str = "text", min_count: int = MIN_COUNT, mu: float = MU) -> DataFrame:
+    """df without text_col, and: n_tokens (words and the end mark), h_target, h_background (nats for each of them under the
+    model of the rows where `target` is true, and under that of the others, both without the row's own counts) and score,
+    the difference: lower is more like the target. All three are null for a text without words (null, empty or blank),
+    which counts in the models as an empty sequence. A null `target` is false. A model without rows is uniform over the
+    vocabulary, and then counts are not scaled. Every row comes out once; columns with clashing names are replaced.
+    """
     spark = df.sparkSession
-    flag = "target_of_score"
-    chunks = pack(df.withColumn(flag, F.coalesce(target, F.lit(False))), text_col, CHUNK)
-    total = chunks.agg(F.sum(F.octet_length("texts"))).first()[0] or 0
+    others = [c for c in df.columns if c != text_col]
+    flagged = df.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(others)], F.coalesce(target, F.lit(False)).alias("target"), F.col(f"`{text_col}`").alias("text"))
+    total = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("bigint"))).first()[0] or 0
     n = buckets(spark, total, BUCKET_BYTES)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
-    cols = ("texts", "ends", F.transform("rows", lambda r: r[flag]).alias("flags"))
+    place = len(others)
 
-    def grams(batch: pa.RecordBatch, row: int) -> Grams:
-        t, e, flags = (batch.column(batch.schema.get_field_index(x))[row].as_py() for x in ("texts", "ends", "flags"))
-        ends = np.frombuffer(e, "<i4").tolist()
-        return Grams([t[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.array(flags, bool))
+    def split(texts: list[bytes | None], rows: pa.StructArray) -> dict[str, pa.Array]:
+        import xxhash
+        import zstandard
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[bytes, int] = {}
+        words = [[number.setdefault(w, len(number) + 3) for w in (t or b"").split()] for t in texts]
+        flags = np.array(rows.field(place).to_pylist(), bool)
+        keys = np.concatenate((np.array(MARKS, np.uint64), np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))))
+        with np.errstate(over="ignore"):
+            keys = mix(keys)
+        t = Tokens(np.array([x for w in words for x in (*w, END)], np.int64), np.array([len(w) + 1 for w in words], np.int64), flags, keys)
+        z = zstandard.ZstdCompressor(level=1).compress
+        cells = {"token": z(planes(t.token)), "lens": z(planes(t.lens)), "flags": flags.tobytes(), "keys": keys.astype("<u8").tobytes()}
+        return {k: pa.array([v], pa.binary()) for k, v in cells.items()} | {"sent": sent(keys, t.counts(), n)}
+
+    def chunk_of(batch: pa.RecordBatch, row: int) -> tuple[Tokens, dict]:
         import zstandard
 
-        for batch in batches:
-            for row in range(batch.num_rows):
-                g = grams(batch, row)
-                zip_ = zstandard.ZstdCompressor(level=1)
-                sent = [(b, zip_.compress(g.keys[at].astype("<u8").tobytes() + g.counts[:, at].astype("<u4").tobytes())) for b, at in enumerate(g.split(n)) if len(at)]
-                chunk = batch.column(0)[row].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(sent), pa.int64()), pa.array([b for b, _ in sent], pa.int32()), pa.array([x for _, x in sent], pa.binary())], names=["chunk", "bucket", "blob"])
+        cells = {c: batch.column(i)[row].as_py() for i, c in enumerate(batch.schema.names) if c != "rows"}
+        unzip = zstandard.ZstdDecompressor().decompress
+        return Tokens(unplanes(unzip(cells["token"])), unplanes(unzip(cells["lens"])), np.frombuffer(cells["flags"], bool), np.frombuffer(cells["keys"], "<u8")), cells
 
-    def answer(got: pa.Table) -> pa.Table:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unzip, zip_ = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        raw = [unzip.decompress(x.as_py()) for x in got.column("blob")]
-        sizes = [len(x) // 16 for x in raw]
-        keys = np.concatenate([np.frombuffer(x, "<u8", k) for x, k in zip(raw, sizes, strict=True)])
-        all_keys, at = np.unique(keys, return_inverse=True)
-        sums = [np.bincount(at, weights=np.concatenate([np.frombuffer(x, "<u4", k, 8 * k + 4 * k * j) for x, k in zip(raw, sizes, strict=True)]), minlength=len(all_keys)).astype(np.int64) for j in (0, 1)]
-        ends = np.cumsum(sizes)
-        out = [zip_.compress(np.stack([s[at[b - k : b]] for s in sums]).astype("<i8").tobytes()) for b, k in zip(ends.tolist(), sizes, strict=True)]
-        # Totals over the vocabulary: unigrams have an even key.
-        one = (all_keys & np.uint64(1)) == 0
-        begin = all_keys == (_mix(np.array([BEGIN], np.uint64)) & ~np.uint64(1))[0]
-        known = one & ~begin & (sums[0] >= min_count)
-        rare = one & ~begin & (sums[0] < min_count)
-        facts = [int(known.sum()), *(int(s[m].sum()) for m in (known, rare) for s in sums)]
-        first = [i == 0 for i in range(len(out))]
-        return pa.table({"chunk": got.column("chunk"), "bucket": got.column("bucket"), "blob": pa.array(out, pa.binary()), "facts": pa.array([facts if f else None for f in first], pa.list_(pa.int64()))}).cast(pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("facts", pa.list_(pa.int64()))]))
-
-    asked = chunks.select("chunk", *cols).mapInArrow(ask, "chunk bigint, bucket int, blob binary")
-    sums = written(asked.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(answer, "chunk bigint, bucket int, blob binary, facts array<bigint>"), "sums")
-    facts = sums.where("facts is not null").agg(*[F.sum(F.col("facts")[i]) for i in range(5)]).first()
-    size, known_b, known_t, rare_b, rare_t = (int(x or 0) for x in facts)
-
-    def model(j: int, sums: np.ndarray, g: Grams) -> np.ndarray:
-        """Probability of every token under model j (0: background, 1: target)."""
-        one, two = sums[j, : g.size].astype(float), sums[j, g.size :].astype(float)
-        total = (known_b + rare_b, known_t + rare_t)[j]
-        single = np.where(sums[0, : g.size] >= min_count, one, (rare_b, rare_t)[j])
-        single = (single + 1) / (total + size + 1)  # the unknown word is one of size + 1
-        context = one[g.before]
-        inside = (sums[0, g.before] >= min_count) & (sums[0, g.token] >= min_count) & (context > 0)
-        inside |= (g.before == 0) & (sums[0, g.token] >= min_count) & (context > 0)
-        return np.where(inside, weight * two[g.pair] / np.maximum(context, 1) + (1 - weight) * single[g.token], single[g.token])
+        with np.errstate(over="ignore"):
+            marks = mix(np.array(MARKS, np.uint64))
+        for batch in batches:
+            for row in range(batch.num_rows):
+                got = batch.column(1)[row].as_py()
+                raw = [unzip.decompress(x["blob"]) for x in got]
+                sizes = [len(x) // 16 for x in raw]
+                all_keys, at = np.unique(np.concatenate([np.frombuffer(x, "<u8", k) for x, k in zip(raw, sizes, strict=True)]), return_inverse=True)
+                sums = np.stack([np.bincount(at, np.concatenate([np.frombuffer(x, "<u4", k, 8 * k + 4 * k * j) for x, k in zip(raw, sizes, strict=True)]), len(all_keys)).astype(np.int64) for j in (0, 1)])
+                ends = np.cumsum(sizes)
+                out = [zip_.compress(sums[:, at[b - k : b]].astype("<i8").tobytes()) for b, k in zip(ends.tolist(), sizes, strict=True)]
+                # Totals, of use in the pass over words: known words, their tokens, those of rare ones, begin marks.
+                mark = np.isin(all_keys, marks)
+                known, rare = ~mark & (sums[0] >= min_count), ~mark & (sums[0] < min_count)
+                facts = [int(known.sum())] + [int(x) for m in (known, rare, all_keys == marks[BEGIN]) for x in sums[:, m].sum(axis=1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([[x["chunk"] for x in got]], pa.list_(pa.int64())), pa.array([out], pa.list_(pa.binary())), pa.array([facts], pa.list_(pa.int64()))], names=["bucket", "chunks", "answers", "facts"])
+
+    def summed(chunks: DataFrame, name: str) -> DataFrame:
+        out = met(chunks.select("chunk", "sent"), n, count, tasks).mapInArrow(add, "bucket int, chunks array<bigint>, answers array<binary>, facts array<bigint>")
+        return answered(out, n, count, name, extra=("facts",))
+
+    cols = ("token", "lens", "flags", "keys")
+    chunks = pack(flagged, "text", CHUNK, made=(split, ", ".join(f"{c} binary" for c in cols) + f", sent {common.SENT}"))
+    count = chunks.count()
+    ones = summed(chunks, "words")
+    facts = [int(x or 0) for x in ones.where("facts is not null").agg(*[F.sum(F.col("facts")[i]) for i in range(7)]).first()]
+    rare = np.array(facts[3:5])
+    # In all rows, in target rows: tokens, end marks included, of which each row has one.
+    tokens = np.array(facts[1:3]) + rare + np.array(facts[5:7])
+    size = facts[0] + 2
+    scale = tokens[1] / (tokens[0] - tokens[1]) if 0 < tokens[1] < tokens[0] else 1.0
+    per = back(ones, n, tasks).withColumnRenamed("chunk", "c_").withColumnRenamed("got", "words")
+    whole = chunks.drop("sent").join(per, F.col("chunk") == F.col("c_"), "left").drop("c_")
+
+    def with_words(batch: pa.RecordBatch, row: int) -> tuple[Tokens, np.ndarray, dict]:
+        t, cells = chunk_of(batch, row)
+        one = sums_of(cells["words"] or [], t.keys, n)
+        known = one[0] >= min_count
+        known[[BEGIN, END, UNKNOWN]] = True
+        one[:, UNKNOWN] = rare
+        t.bigrams(known)
+        return t, one, cells
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                t, _, _ = with_words(batch, row)
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("chunk")).slice(row, 1), sent(t.pair_keys, t.pair_counts(), n)], names=["chunk", "sent"])
 
-        unzip = zstandard.ZstdDecompressor()
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                g = grams(batch, row)
-                all_sums = np.zeros((2, len(g.keys)), np.int64)
-                got = {x["bucket"]: x["blob"] for x in batch.column(batch.schema.get_field_index("got"))[row].as_py() or []}
-                for b, at in enumerate(g.split(n)):
-                    if len(at):
-                        all_sums[:, at] = np.frombuffer(unzip.decompress(got[b]), "<i8").reshape(2, -1)
+                t, one, cells = with_words(batch, row)
+                two = sums_of(cells["pairs"] or [], t.pair_keys, n)
                 loss = []
-                for j in (1, 0):
-                    per = np.concatenate(([0.0], np.cumsum(-np.log(model(j, all_sums, g)))))
-                    loss.append((per[g.ends] - per[g.ends - g.lens - 1]) / (g.lens + 1))
-                empty = g.lens == 0
-                cells = [pa.array([(g.lens + 1).tolist()], pa.list_(pa.int64()))]
-                cells += [pa.array([[None if x else float(v) for v, x in zip(col, empty, strict=True)]], pa.list_(pa.float64())) for col in (loss[0], loss[1], loss[0] - loss[1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), *cells], names=["chunk", "rows", "n", "t", "b", "s"])
-
-    per = sums.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("got")).withColumnRenamed("chunk", "c_")
-    whole = chunks.join(per, F.col("chunk") == F.col("c_"), "left").select("chunk", "rows", *cols, "got")
-    out = whole.mapInArrow(join, f"chunk bigint, rows {chunks.schema['rows'].dataType.simpleString()}, n array<bigint>, t array<double>, b array<double>, s array<double>")
-    return unpack(out, text_col, {"n_tokens": "n", "h_target": "t", "h_background": "b", "score": "s"}).drop(flag)
+                for j, s in ((1, 1.0), (0, scale)):
+                    sums = (one[1], two[1], tokens[1]) if j else (one[0] - one[1], two[0] - two[1], tokens[0] - tokens[1])
+                    per = np.concatenate(([0.0], np.cumsum(losses(t, sums[0], sums[1], size, int(sums[2]), s, t.target == bool(j), mu))))
+                    loss.append((per[t.ends] - per[t.ends - t.lens]) / t.lens)
+                empty = t.lens == 1
+                made = [pa.array([t.lens.tolist()], pa.list_(pa.int64()))]
+                made += [pa.array([[None if x else float(v) for v, x in zip(col, empty, strict=True)]], pa.list_(pa.float64())) for col in (loss[0], loss[1], loss[0] - loss[1])]
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("rows")).slice(row, 1), *made], names=["rows", "n", "t", "b", "s"])
+
+    slim = whole.select("chunk", *cols, "words").where("words is not null")
+    twos = summed(slim.mapInArrow(ask, f"chunk bigint, sent {common.SENT}"), "pairs")
+    per = back(twos, n, tasks).withColumnRenamed("chunk", "p_").withColumnRenamed("got", "pairs")
+    out = whole.join(per, F.col("chunk") == F.col("p_"), "left").select("rows", *cols, "words", "pairs")
+    out = out.mapInArrow(join, f"rows {chunks.schema['rows'].dataType.simpleString()}, n array<bigint>, t array<double>, b array<double>, s array<double>")
+    return unpack(out, others, {"n_tokens": "n", "h_target": "t", "h_background": "b", "score": "s"})
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers below 2^32 by byte, the lowest first: what is zero in all of them compresses to nothing."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)

@@ -115,30 +115,33 @@ def op8(docs, items):
     return sorted(out)
 
 
-def op2(docs, good):
-    """doc_id → (loss under the target model, under the background model) of each text's words and end."""
-    rows = {d: ["<s>", *SPLIT.findall(t or ""), "</s>"] for d, t in docs}
-
-    def counts(ids):
-        one, two = Counter(), Counter()
-        for i in ids:
-            one.update(rows[i])
-            two.update(zip(rows[i], rows[i][1:]))
-        return one, two
-
-    back, target = counts(rows), counts(good)
-    vocabulary = {w for w, c in back[0].items() if c >= 2 and w != "<s>"}
-
-    def loss(model, row):
-        one, two = model
-        total = sum(c for w, c in one.items() if w != "<s>")
-        rare = sum(c for w, c in one.items() if w != "<s>" and w not in vocabulary)
-        out = 0.0
-        for v, w in zip(row, row[1:]):
-            p = ((one[w] if w in vocabulary else rare) + 1) / (total + len(vocabulary) + 1)
-            if w in vocabulary and (v in vocabulary or v == "<s>") and one[v]:
-                p = 0.5 * two[v, w] / one[v] + 0.5 * p
-            out -= math.log(p)
-        return out / (len(row) - 1)
-
-    return {d: (loss(target, r), loss(back, r)) for d, r in rows.items()}
+def op2(docs, good, mu=2.0):
+    """Place of a row → (loss under the target model, under the background model) of its words and end, both without the row."""
+    rows = [SPLIT.findall(t or "") for _, t in docs]
+    seen = Counter(w for r in rows for w in r)
+    vocabulary = {w for w, c in seen.items() if c >= 2} | {"</s>", "<unk>"}
+    rows = [["<s>", *(w if w in vocabulary else "<unk>" for w in r), "</s>"] for r in rows]
+    target = [d in good for d, _ in docs]
+    sizes = [sum(len(r) - 1 for r, t in zip(rows, target) if t == side) for side in (False, True)]
+    scale = sizes[1] / sizes[0] if all(sizes) else 1.0
+    count = {side: Counter() for side in (False, True)}
+    for r, t in zip(rows, target):
+        count[t].update(r[1:])
+        count[t].update(zip(r, r[1:]))
+        count[t]["<s>"] += 1
+
+    def model(side, without):
+        """P(w after v) of a model that hasn't counted the row `without`."""
+        own = Counter()
+        if without is not None and target[without] == side:
+            own.update([*rows[without], *zip(rows[without], rows[without][1:])])
+        c = lambda x: (scale if not side else 1.0) * (count[side][x] - own[x])
+        total = sum(c(w) for w in vocabulary)
+        p1 = lambda w: (c(w) + 1) / (total + len(vocabulary))
+        return lambda v, w: (c((v, w)) + mu * p1(w)) / (c(v) + mu)
+
+    def loss(i, side):
+        p = model(side, i)
+        return -sum(math.log(p(v, w)) for v, w in zip(rows[i], rows[i][1:])) / (len(rows[i]) - 1)
+
+    return [(loss(i, True), loss(i, False)) for i in range(len(rows))], model, vocabulary

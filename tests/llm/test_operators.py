@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, components, decontaminate, jvm, langid, lm, pieces, quality, queries, simhash, substring_dedup, suffix_dedup, token_files, warc
+from lodestone.llm import bpe, common, components, decontaminate, jvm, langid, lm, pieces, quality, queries, simhash, substring_dedup, suffix_dedup, token_files, warc
 from lodestone.llm.common import written
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -40,6 +40,11 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).repartition(5)
 
 
+@pytest.fixture(scope="module")
+def vocabulary():
+    return queries.vocabulary()
+
+
 def plain(rows):
     return [(r[0], r[1]) for r in rows]
 
@@ -122,6 +127,38 @@ def test_linear_grouping(spark):
     assert listed(out, "doc_id", "n_symbols", "n_removed", (F.octet_length("spans") / 8).cast("int"), F.sha2("kept_bytes", 256)) == brute.op4(rows)
 
 
+@pytest.mark.parametrize("ranges, group", [(2048, 4096), (3, 2)])
+def test_borders_of_chunks_and_buckets(spark, monkeypatch, vocabulary, docs, rows, ranges, group):
+    """Chunks of 700 bytes and buckets of 2,000, in one step or two: every border that large tables have is crossed."""
+    monkeypatch.setattr(common, "RANGES", ranges)
+    monkeypatch.setattr(common, "GROUP", group)
+    for m in (pieces, bpe, lm):
+        monkeypatch.setattr(m, "CHUNK", 700)
+        monkeypatch.setattr(m, "BUCKET_BYTES", 2000)
+    few = docs.repartition(2)
+    assert listed(suffix_dedup.deduplicate(few), "doc_id", "n_symbols", "n_removed", (F.octet_length("spans") / 8).cast("int"), F.sha2("kept_bytes", 256)) == brute.op4(plain(rows))
+    assert listed(substring_dedup.remove_repeated(few), "doc_id", "n_symbols", "n_removed", F.sha2("kept_bytes", 256)) == brute.op5(plain(rows))
+    assert listed(bpe.encode(few, *vocabulary), "doc_id", F.sha2("decoded", 256)) == sorted((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t in plain(rows))
+    want, _, _ = brute.op2(plain(rows), {7})
+    got = {r["doc_id"]: r for r in lm.score(few, F.col("doc_id") == 7).collect()}
+    assert all(got[d]["score"] is None or got[d]["h_background"] == pytest.approx(x[1]) and got[d]["h_target"] == pytest.approx(x[0]) for (d, _), x in zip(plain(rows), want, strict=True))
+
+
+def test_rows_that_chunks_send_grow_with_the_text(spark, monkeypatch):
+    """Chunks and buckets grow with the text; what is sent grows with the chunks, not with the product."""
+    monkeypatch.setattr(common, "RANGES", 8)
+    monkeypatch.setattr(pieces, "CHUNK", 4000)
+    monkeypatch.setattr(pieces, "BUCKET_BYTES", 4000)
+    for n in (16, 64):
+        sent = []
+        monkeypatch.setattr(pieces, "met", lambda rows, *a, sent=sent: sent.append((rows.select(F.sum(F.size("sent"))).first()[0], a[0], a[1])) or common.met(rows, *a))
+        r = random.Random(n)
+        df = spark.createDataFrame([(i, " ".join(f"{r.getrandbits(24):x}" for _ in range(600))) for i in range(n)], "doc_id bigint, text string").repartition(2)
+        substring_dedup.remove_repeated(df).count()
+        rows, buckets, chunks = sent[0]
+        assert buckets >= n / 2 and chunks >= n / 2 and rows <= 8 * chunks
+
+
 def test_simhash(docs, rows):
     assert listed(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == brute.op6(plain(rows))
     ids = listed(simhash.keep_one(docs), "doc_id")
@@ -197,11 +234,6 @@ def test_cut(spark):
     assert listed(decontaminate.cut(df.drop("spans"), found), "doc_id", "text") == [(1, "pre post"), (2, "clean")]
 
 
-@pytest.fixture(scope="module")
-def vocabulary():
-    return queries.vocabulary()
-
-
 def test_bpe(spark, docs, rows, vocabulary):
     import tiktoken
 
@@ -229,17 +261,44 @@ def test_pretokens(vocabulary):
         assert [names[i] for u in row for i in pre.parts[u]] == whole.findall(t), repr(t)
 
 
+def test_bpe_of_unknown_code_points(spark, vocabulary):
+    """Code points that one library knows and another doesn't: the ids are tiktoken's."""
+    import tiktoken
+
+    r, t = random.Random(9), tiktoken.Encoding("own", pat_str=vocabulary[1], mergeable_ranks=vocabulary[0], special_tokens={})
+    rows = [(i, "".join(r.choice(["7", "\U00010940", "'s", "\u088f", " ", "  ", "x", "\n", "é", "\u0378"]) for _ in range(r.randrange(1, 14)))) for i in range(3000)]
+    out = bpe.encode(spark.createDataFrame(rows, "doc_id bigint, text string"), *vocabulary)
+    assert listed(out, "doc_id", F.hex("ids")) == [(i, np.array(t.encode_ordinary(x), "<u4").tobytes().hex().upper()) for i, x in rows]
+
+
+def test_pretokens_of_other_patterns():
+    import regex
+
+    r = random.Random(6)
+    texts = ["".join(r.choice([" ", "  ", "\n", "a", "B", "7", "!", "_"]) for _ in range(r.randrange(20))) for _ in range(500)]
+    for pattern in (r"\S+\s?", r"\w+|[^\w]+", r".|\n"):
+        pre = bpe.Pretokens(pattern)
+        numbered = pre.number(texts)
+        names = list(pre.ids)
+        assert [[names[i] for u in row for i in pre.parts[u]] for row in numbered] == [regex.findall(pattern, t) for t in texts]
+
+
 def test_rank_file(tmp_path):
     p = tmp_path / "ranks"
     p.write_bytes(base64.b64encode(b"ab") + b" 0\n\n" + base64.b64encode(b"c") + b" 1\n")
     assert bpe.ranks_of(str(p)) == {b"ab": 0, b"c": 1}
 
 
-def test_lm(spark, docs, rows):
-    good = {r[0] for r in rows if r[0] % 4 == 1}
-    out = lm.score(docs.withColumn("score", F.lit("clash")), F.col("doc_id").isin(*good))
-    want = brute.op2(plain(rows), good)
-    for r in out.collect():
+@pytest.mark.parametrize("good", [{r[0] for r in made() if r[0] % 4 == 1}, set(), {r[0] for r in made()}])
+def test_lm(spark, docs, rows, good):
+    out = lm.score(docs.withColumn("score", F.lit("clash")).withColumn("target", F.col("doc_id") + 1).withColumn("_", F.lit(7)), F.col("doc_id").isin(*good) if good else F.lit(None).cast("boolean"))
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "target", "_", "n_tokens", "h_target", "h_background", "score"]
+    losses, _, _ = brute.op2(plain(rows), good)
+    want = {r[0]: x for r, x in zip(rows, losses, strict=True)}
+    seen = out.collect()
+    assert len(seen) == len(rows)
+    for r in seen:
+        assert r["target"] == r["doc_id"] + 1 and r["_"] == 7
         if r["n_tokens"] == 1:
             assert r["score"] is None
         else:
@@ -247,6 +306,16 @@ def test_lm(spark, docs, rows):
             assert r["score"] == pytest.approx(r["h_target"] - r["h_background"])
 
 
+def test_lm_probabilities_sum_to_one(rows):
+    """The definition itself, which test_lm holds the operator against: after every context, with a row left out or not."""
+    _, model, vocabulary = brute.op2(plain(rows), {r[0] for r in rows if r[0] % 4 == 1})
+    for side in (True, False):
+        for without in (None, 0, 3):
+            p = model(side, without)
+            for v in ("<s>", "<unk>", "the", "lake"):
+                assert sum(p(v, w) for w in vocabulary) == pytest.approx(1)
+
+
 def test_language(spark):
     r = random.Random(2)
     words = {"en": "the of and that with this from".split(), "de": "der die und nicht mit für über".split(), "fr": "le la et dans avec être où".split()}
