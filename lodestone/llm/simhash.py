@@ -23,14 +23,15 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
     Each fingerprint emits every variant within half the radius; two within the radius meet in one at least. All that
     meet in a variant are compared with the least of them, which for an even radius is within it of every other, so
-    no pairs within a group are formed; a variant meets a bounded number of distinct fingerprints.
+    no pairs within a group are formed; a variant meets a bounded number of distinct fingerprints. A null fp links to none.
     """
     if radius < 0 or radius % 2:
         raise ValueError("radius: an even number of bits")
     masks = [0] + [sum(1 << b for b in c) for n in range(1, radius // 2 + 1) for c in combinations(range(64), n)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    # By number, or few small partitions would each make 65 times their rows.
-    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # Dealt out by number, or few small partitions would each make 65 times their rows; and by another expression than fp, by
+    # which fps may be dealt out already, or the planner would take this exchange for needless.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     variants = spread.select("fp", F.explode(F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: F.col("fp").bitwiseXOR(m))).alias("v"))
     met = variants.groupBy("v").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = variants.join(met, "v").where("fp != low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
@@ -63,14 +64,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """The rows of df, one for each near-duplicate class: the first by id (nulls last), then by the text's SHA-256 (null
-    texts first). Of rows that are equal in both one stays. Ids may be null or repeated: they never join classes."""
+    texts first), then by the other columns as JSON; of rows that are equal in all one stays. Ids may be null or repeated:
+    they never join classes. An empty df gives no rows."""
+    from pyspark.sql import Window
+
     sha = F.coalesce(F.sha2(F.col(f"`{text_col}`").cast("binary"), 256), F.lit(""))
     f = jvm.register(df.sparkSession, "lodestone_simhash", "SimHash", "bigint")
-    rows = checkpointed(df.select(F.col(f"`{id_col}`").alias("id_"), sha.alias("sha_"), F.call_function(f, F.col(f"`{text_col}`").cast("binary")).alias("fp")))
-    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("id_").isNull().alias("no"), "id_", "sha_")).alias("first"))
+    rows = checkpointed(df.select(F.col(f"`{id_col}`").alias("id"), sha.alias("sha"), F.call_function(f, F.col(f"`{text_col}`").cast("binary")).alias("fp")))
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "sha")).alias("first"))
     found = first.join(classes(first.select("fp"), radius), "fp")
-    kept = found.groupBy("label").agg(F.min("first").alias("first")).select("first.id_", "first.sha_")
+    kept = found.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias("id"), F.col("first.sha").alias("sha"))
     # Id and text name a row's class: a text has one fingerprint, whatever other rows bear its id.
-    out = df.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("id_")) & (sha == F.col("sha_")), "left_semi")
-    repeated = rows.groupBy("id_", "sha_").count().where("count > 1").limit(1).count()
-    return out.withColumn("sha_", sha).dropDuplicates([id_col, "sha_"]).select(*[F.col(f"`{c}`") for c in df.columns]) if repeated else out
+    place = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    named = df.select(*[F.col(f"`{c}`").alias(n) for c, n in place.items()], sha.alias("own"))
+    out = named.join(kept, named[place[id_col]].eqNullSafe(kept["id"]) & (F.col("own") == F.col("sha")), "left_semi")
+    # Texts are shuffled once more only if there are rows that are equal in both.
+    if rows.groupBy("id", "sha").count().where("count > 1").limit(1).count():
+        order = Window.partitionBy(place[id_col], "own").orderBy(F.to_json(F.struct(*place.values())))
+        out = out.withColumn("rank", F.row_number().over(order)).where("rank = 1")
+    return out.select(*[F.col(n).alias(c) for c, n in place.items()])
