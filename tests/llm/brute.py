@@ -33,6 +33,28 @@ def op1(text):
     return len(w), sum(map(len, w)), sum(t.count(x) for x in "#*$%&|<>"), len(lines) - len(set(lines)), len(inside), len(w) < 50 or 100 * len(inside) > 50 * len(w)
 
 
+def op1_verdict(rows, min_docs=10, min_share=0.005, least_left=0.5, fold=True):
+    """rows (doc, text, host) → (doc, words in lines that stay, hashes of lines removed as a number, kept) of each."""
+    def norm(x):
+        x = re.sub(r"[ \t\n\x0b\f\r]+", " ", x.lower()).strip(" ")
+        return re.sub("[0-9]+", "0", x) if fold else x
+
+    has, hosts = defaultdict(set), defaultdict(set)
+    lines = lambda t: [x for x in (t or "").split("\n") if SPLIT.search(x)]
+    for d, t, h in rows:
+        hosts[h].add(d)
+        for x in lines(t):
+            has[h, norm(x)].add(d)
+    bad = {k for k, v in has.items() if len(v) >= min_docs and len(v) > min_share * len(hosts[k[0]])}
+    out = []
+    for d, t, h in rows:
+        gone = {norm(x) for x in lines(t) if (h, norm(x)) in bad}
+        left = sum(len(SPLIT.findall(x)) for x in lines(t) if norm(x) not in gone)
+        n, *_, failed = op1(t)
+        out.append((d, left, len(gone), not failed and left >= least_left * n))
+    return out
+
+
 def op4(docs):
     least = {}
     for d, t in docs:

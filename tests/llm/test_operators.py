@@ -61,17 +61,36 @@ def test_quality_base(docs, rows):
     assert out == sorted((d, *brute.op1(t)) for d, t in plain(rows))
 
 
+@pytest.mark.parametrize("fold", [True, False])
+def test_quality_verdict(spark, docs, rows, fold):
+    """The whole verdict against plain Python, with hosts that share lines, lines that differ in digits, and clashing names."""
+    r = random.Random(4)
+    body = lambda n: "\n".join(" ".join("".join(r.choices("abcdeé", k=4)) for _ in range(9)) for _ in range(n))
+    menu = [" Home | About\t| 3 items ", "Page {} of 12", "Kontakt ÜBER uns {}", "\x1c odd"]
+    more = [(1000 + i, body(r.randrange(5, 12)) + "\n" + "\n".join(m.format(i % 7) for m in menu * r.randrange(1, 4)), f"h{i % 3}" if i % 9 else None) for i in range(90)]
+    more += [more[0], (None, more[1][1], "h0"), (None, None, None), (2000, "", "h0")]
+    df = spark.createDataFrame(more, "doc_id bigint, text string, source string").repartition(4)
+    df = df.withColumn("r_", F.lit(1)).withColumn("doc_", F.lit(2)).withColumn("row", F.lit(3)).withColumn("kept", F.lit("x")).withColumn("f", F.lit(5)).withColumn("c0", F.lit(6))
+    out = quality.clean(df, fold_digits=fold)
+    assert out.columns == ["doc_id", "text", "source", "r_", "doc_", "row", "f", "c0", *quality.MADE]
+    got = sorted(((-1 if d is None else d, *rest) for d, *rest in out.select("doc_id", "n_left", F.size("removed_lines"), "kept").collect()))
+    assert got == sorted((-1 if d is None else d, *rest) for d, *rest in brute.op1_verdict(more, fold=fold))
+    assert {a[3] for a in got if a[1]} == {True, False} and any(a[2] for a in got)
+
+
 def test_quality_lines(spark):
+    """Lines that differ in digits, as these bodies do, are told apart where digits are not folded."""
+    clean = lambda df: quality.clean(df, fold_digits=False)
     body = lambda i: " ".join(f"w{i}x{j}" for j in range(80))
     menu = " ".join(f"menu{j}" for j in range(120))
     rows = [(i, f"{menu}\n{body(i)}" if i < 12 else f"{body(i)}\nown {i}", "en", "h", 0) for i in range(60)]
     rows += [(100, f"{menu}\n{body(100)}", "en", "other", 0), (101, None, None, None, None)]
-    out = {r["doc_id"]: r for r in quality.clean(spark.createDataFrame(rows, SCHEMA)).collect()}
+    out = {r["doc_id"]: r for r in clean(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [out[i]["kept"] for i in (0, 11, 12, 59, 100, 101)] == [False, False, True, True, True, False]
     assert out[0]["clean_text"] == body(0) and out[100]["clean_text"].startswith("menu0") and out[101]["clean_text"] is None
     # A row that is repeated is one document: eight ids stay under the limit of ten.
     few = [(i % 8, f"{menu}\n{body(i % 8)}", "en", "h", 0) for i in range(24)]
-    assert all(r["kept"] for r in quality.clean(spark.createDataFrame(few, SCHEMA)).collect())
+    assert all(r["kept"] for r in clean(spark.createDataFrame(few, SCHEMA)).collect())
 
 
 def test_suffix_dedup(docs, rows):
@@ -174,6 +193,21 @@ def test_keep_one_of_null_and_repeated_ids(spark):
     assert sorted(map(str, out)) == sorted(map(str, [*want, (None, None)]))
 
 
+def test_variants_are_dealt_out(spark):
+    """The exchange in front of the variants is in the plan that runs, though fingerprints are dealt out already."""
+    fps = spark.range(1000).select(F.xxhash64("id").alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).select("fp")
+    edges = simhash.links(fps)
+    edges.collect()
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64(fp" in plan.split("Generate")[1] and "REPARTITION_BY_NUM" in plan
+
+
+def test_keep_one_of_equal_rows(spark):
+    t = " ".join(str(i * 7919) for i in range(90))
+    df = spark.createDataFrame([(1, t, "b", 1), (1, t, "a", 2), (None, "x", "q", 3), (None, "x", "p", 4), (None, "x", "p", 4)], "doc_id bigint, text string, own string, id int").repartition(3)
+    assert sorted(tuple(r)[2:] for r in simhash.keep_one(df).collect()) == [("a", 2), ("p", 4)]
+
+
 def test_simhash_links(spark):
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(40)]
@@ -205,15 +239,37 @@ def test_components_of_a_long_chain(spark):
 ITEMS = [(7, "One two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (12, "Short item"), (3, None), (9, ""), (10, "été ÜBER"), (11, "short ITEM!")]
 
 
-def test_decontamination(spark, docs, rows):
+@pytest.mark.parametrize("most", [200_000, 3, 0])
+def test_decontamination(spark, docs, rows, monkeypatch, most):
+    """With all n-grams broadcast, with those of some sizes, and with none: the same rows."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_GRAMS", most)
     long = "x " * 10 + "one TWO, three four five six seven eight nine ten eleven twelve thirteen. fourteen " * 2
-    more = [*rows, (900, long, None, None, None), (901, long + "pad " * 900, None, None, None), (902, "a short item here", None, None, None), (903, "ÉTÉ über été Über été ÜBER", None, None, None), (903, "ÉTÉ über été Über été ÜBER", None, None, None), (None, "short item", None, None, None)]
-    out = decontaminate.scan(spark.createDataFrame(more, SCHEMA), spark.createDataFrame(ITEMS, "item_id bigint, text string"))
+    more = [*rows, (900, long, None, None, None), (901, long + "pad " * 900, None, None, None), (902, "a short item here", None, None, None), (903, "ÉTÉ über été Über été ÜBER", None, None, None), (903, "ÉTÉ über été Über été ÜBER", None, None, None), (None, "short item", None, None, None), (904, "an unnamed item", None, None, None)]
+    items = [*ITEMS, (None, "unnamed ITEM")]
+    out = decontaminate.scan(spark.createDataFrame(more, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string"))
     cols = ["doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256), "contaminated"]
     got = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in out.select(*cols).collect())
-    assert got == brute.op8([(-1 if r[0] is None else r[0], r[1]) for r in more], ITEMS)
+    assert got == brute.op8([(-1 if r[0] is None else r[0], r[1]) for r in more], [("" if i is None else i, t) for i, t in items])
     kept = {r["doc_id"] for r in decontaminate.remove(spark.createDataFrame(more, SCHEMA), out).collect()}
-    assert 900 not in kept and 901 in kept and 1 in kept
+    assert 900 not in kept and 901 in kept and 1 in kept and 904 not in kept
+
+
+def test_decontamination_by_many_items(spark):
+    """More n-grams than are broadcast; some items are passages of documents, one of them in very many."""
+    r = random.Random(21)
+    text = lambda n: " ".join(f"{r.getrandbits(30):x}" for _ in range(n))
+    shared = text(20)
+    docs = [(i, f"{text(60)} {shared if i % 3 == 0 else text(5)} {text(30)}") for i in range(400)]
+    items = [(i, text(1015)) for i in range(230)] + [(1000, shared.upper())] + [(2000 + i, " ".join(docs[i][1].split()[5:25])) for i in range(40)]
+    out = decontaminate.scan(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    want = brute.op8(docs, items)
+    assert listed(out, "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256), "contaminated") == want
+    assert sum(w[2] > 0 for w in want) > 150
+
+
+def test_decontamination_of_no_documents(spark):
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    assert decontaminate.scan(spark.createDataFrame([], SCHEMA), items).collect() == []
 
 
 def test_remove_by_the_row(spark):
@@ -229,9 +285,10 @@ def test_decontamination_without_items(spark, docs, rows):
 
 
 def test_cut(spark):
-    df = spark.createDataFrame([(1, "pre short item post", 5), (2, "clean", 6)], "doc_id bigint, text string, spans int")
+    df = spark.createDataFrame([(1, "pre short item post", 5, 1), (2, "clean", 6, 1), (None, "SHORT Item, and", 7, 1), (1, "Pre Short", 8, 1)], "doc_id bigint, text string, spans int, hit_ int")
     found = decontaminate.scan(df, spark.createDataFrame(ITEMS, "item_id bigint, text string"))
-    assert listed(decontaminate.cut(df.drop("spans"), found), "doc_id", "text") == [(1, "pre post"), (2, "clean")]
+    got = [tuple(r) for r in decontaminate.cut(df, found).collect()]
+    assert sorted(got, key=lambda r: r[2]) == [(1, "pre post", 5, 1), (2, "clean", 6, 1), (None, "and", 7, 1), (1, "Pre Short", 8, 1)]
 
 
 def test_bpe(spark, docs, rows, vocabulary):
