@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, written
 
 LETTER = re.compile(r"[^\W\d_]")
 #: Buckets of hashed byte trigrams.
 DIMS = 1 << 13
-#: Bounds of the sample that a model is fitted on: rows of each language, and bytes of a row's text.
+#: Bound of the sample that a model is fitted on: distinct texts of each language. Longer texts than so many bytes are taken
+#: only where a language has too few others.
 TRAIN_PER_LANG, TRAIN_TEXT_BYTES = 600, 20_000
 CENTROIDS, ROUNDS = 4, 12
 
@@ -90,63 +91,62 @@ def _kmeans(v: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order: Column | None = None, centroids: int = CENTROIDS, slack: float = 0.5) -> Model:
-    """A model of the labelled rows of df. At most TRAIN_PER_LANG rows of each label, the first by a hash of `order` (of
-    the text if none), each of at most TRAIN_TEXT_BYTES bytes, are used; rows with a null label, no text or no letter are
-    not. slack scales the smallest cosine that a centroid accepts: the first percentile of its own training rows."""
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", centroids: int = CENTROIDS, slack: float = 0.5) -> Model:
+    """A model of the labelled rows of df. Of each label at most TRAIN_PER_LANG distinct texts are used, the first by a hash
+    of the text, those of over TRAIN_TEXT_BYTES bytes behind all others, so every label that has a text with a letter is
+    learned, however often it is copied or however long it is. Rows with a null label, no text or no letter are not used;
+    other columns are not read. slack scales the smallest cosine that a centroid accepts: the first percentile of its own
+    training texts. Each label's centroids are found in a task of its own, which holds its sample as vectors; the driver gets
+    them, DIMS floats each, and the document frequencies.
+    """
     from pyspark.sql import Window
 
-    ship(df.sparkSession)
-    usable = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.octet_length(text_col).between(3, TRAIN_TEXT_BYTES))
-    key = F.col(text_col) if order is None else order
-    # Rows far behind the first ones are left out before the shuffle, by a share of the hash range that each label's count
-    # gives: what is ranked is a few times the sample, however many rows and partitions there are.
-    usable = usable.withColumn("u_", F.pmod(F.xxhash64(key), F.lit(1 << 32)) / float(1 << 32))
-    many = {r["l"]: r["c"] for r in usable.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("c")).collect()}
-    near = F.lit(False)
-    for lang, c in many.items():
-        near = near | ((F.col(lang_col) == lang) & (F.col("u_") < 4 * TRAIN_PER_LANG / c))
-    usable, key = usable.where(near), F.col("u_")
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("k", "t"))
-    sample = usable.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), key.alias("k")).withColumn("r", rank).where(F.col("r") <= TRAIN_PER_LANG)
+    spark = df.sparkSession
+    ship(spark)
+    text = F.col(f"`{text_col}`")
+    usable = df.select(F.col(f"`{lang_col}`").cast("string").alias("l"), text.alias("t")).where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    named = usable.select("l", "t", F.xxhash64("t").alias("h"))
+    # Distinct texts are ranked by their hashes; texts themselves are only read again for those that are chosen.
+    distinct = named.select("l", "h", (F.octet_length("t") > TRAIN_TEXT_BYTES).alias("long")).distinct()
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("long", "h"))
+    chosen = distinct.withColumn("r", rank).where(F.col("r") <= TRAIN_PER_LANG).select("l", "h")
+    sample = named.join(chosen, ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
 
     def run(batches):
         for b in batches:
             labels, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for g in _groups(texts):
-                g = [i for i in g if LETTER.search(texts[i])]
                 rows = counts([prepared(texts[i]) for i in g])
                 sparse = [(np.flatnonzero(r), r) for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([labels[i] for i in g], pa.string()), pa.array([i.astype("<i4").tobytes() for i, _ in sparse], pa.binary()), pa.array([r[i].astype("<f4").tobytes() for i, r in sparse], pa.binary())], names=["l", "i", "v"])
-
-    got = sample.select("l", "t").mapInArrow(run, "l string, i binary, v binary").toArrow().to_pydict()
-    at = sorted(range(len(got["l"])), key=lambda i: (got["l"][i], got["i"][i], got["v"][i]))
-    rows = np.zeros((len(at), DIMS), np.float32)
-    for n, i in enumerate(at):
-        rows[n, np.frombuffer(got["i"][i], "<i4")] = np.frombuffer(got["v"][i], "<f4")
-    labels = np.array([got["l"][i] for i in at], dtype=object)
-    idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    if not len(rows):
-        return Model(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0, np.float32))
-    v = vectors(rows, idf)
-    made, langs, least = [], [], []
-    for lang in sorted(set(labels)):
-        own = v[labels == lang]
+                yield pa.RecordBatch.from_arrays([pa.array([labels[i] for i in g], pa.string()), pa.array([i.tolist() for i, _ in sparse], pa.list_(pa.int32())), pa.array([r[i].astype("<f4").tobytes() for i, r in sparse], pa.binary())], names=["l", "i", "v"])
+
+    rows = written(sample.select("l", "t").mapInArrow(run, "l string, i array<int>, v binary"), "trigrams")
+    n, held = rows.count(), np.zeros(DIMS)
+    for r in rows.select(F.explode("i").alias("i")).groupBy("i").agg(F.count("*").alias("c")).collect():  # DIMS rows at most
+        held[r["i"]] = r["c"]
+    idf = np.log((1 + n) / (1 + held)).astype(np.float32) + np.float32(0.1)
+
+    def cluster(got: pa.Table) -> pa.Table:
+        i, v = got.column("i").to_pylist(), got.column("v").to_pylist()
+        m = np.zeros((len(i), DIMS), np.float32)
+        for n, k in enumerate(sorted(range(len(i)), key=lambda k: (i[k], v[k]))):
+            m[n, i[k]] = np.frombuffer(v[k], "<f4")
+        own = vectors(m, idf)
         c = _kmeans(own, centroids)
         near = own @ c.T
         nearest = near.argmax(axis=1)
         low = np.quantile(near.max(axis=1), 0.01)
-        for j in range(len(c)):
-            mine = near[nearest == j, j]
-            made.append(c[j])
-            langs.append(lang)
-            least.append(slack * min(low, np.quantile(mine, 0.01) if len(mine) else low))
-    return Model(idf, np.stack(made).astype(np.float32), langs, np.array(least, np.float32))
+        least = [slack * min(low, np.quantile(near[nearest == j, j], 0.01) if (nearest == j).any() else low) for j in range(len(c))]
+        lang = got.column("l")[0].as_py()
+        return pa.table({"l": [lang] * len(c), "j": pa.array(range(len(c)), pa.int32()), "c": [x.astype("<f4").tobytes() for x in c], "least": [float(x) for x in least]})
+
+    made = sorted(map(tuple, rows.groupBy("l").applyInArrow(cluster, "l string, j int, c binary, least double").collect()))
+    return Model(idf, np.array([np.frombuffer(c, "<f4") for _, _, c, _ in made], np.float32).reshape(-1, DIMS), [x[0] for x in made], np.array([x[3] for x in made], np.float32))
 
 
 def classify(texts: list[str | None], m: Model) -> tuple[list[str], list[float], list[bool]]:
     """Language, cosine to its nearest centroid (0 to 1), and whether that is too far: `und`, 0 and True for null texts,
-    for texts without a letter, and for a model without languages."""
+    for texts without a letter, and for a model without languages. Of equal cosines the first label counts."""
     langs, scores, far = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
     for g in _groups(texts):
         g = [i for i in g if m.langs and texts[i] is not None and LETTER.search(texts[i])]
@@ -178,4 +178,5 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """Whether a document is kept from training; one without an id isn't."""
+    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3 == 1, F.lit(False))

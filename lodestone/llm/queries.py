@@ -51,26 +51,31 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replica b has the payload's first byte changed in every 97th page; the audit finds those records."""
+    """The catalogue of all pages against a replica in WARC files, written and read again, which has lost every 389th page and
+    has a payload's first byte changed in every 97th."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
-    harmed = pages.withColumn("html", F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
-    out = warc.fixity(warc.layout(pages), warc.layout(harmed))
+    harmed = pages.where("page_id is null or page_id % 389 != 7").withColumn("html", F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("~"), F.expr("substring(coalesce(html, ''), 2)"))).otherwise(F.col("html")))
+    out = warc.fixity(warc.layout(pages), warc.read(warc.write(harmed)))
     return out.select(F.col("id").alias("page_id"), F.col("file").alias("file_no"), "ordinal", "offset", "length", "digest", "status")
 
 
+#: Both replicas as they are laid out, and every record met by its id: no rule says which pages were harmed but the damage itself.
 OP7_SQL = """
-WITH r AS (
-  SELECT page_id, page_id // 512 AS file_no,
-         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
-           || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec,
-         page_id % 97 = 5 AND html NOT LIKE '~%' AS harmed
-  FROM pages)
-SELECT page_id, CAST(file_no AS BIGINT) AS file_no,
-       CAST(row_number() OVER w - 1 AS BIGINT) AS ordinal,
-       CAST(sum(strlen(rec)) OVER w - strlen(rec) AS BIGINT) AS "offset",
-       CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS digest,
-       CASE WHEN harmed THEN 'changed' ELSE 'ok' END AS status
-FROM r WINDOW w AS (PARTITION BY file_no ORDER BY page_id, sha256(rec))
+WITH p AS (SELECT 'a' AS side, page_id, url, coalesce(html, '') AS html FROM pages
+  UNION ALL SELECT 'b', page_id, url, CASE WHEN page_id % 97 = 5 THEN '~' || substring(coalesce(html, ''), 2) ELSE coalesce(html, '') END FROM pages WHERE page_id % 389 <> 7),
+r AS (
+  SELECT side, page_id, page_id // 512 AS file_no,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+           || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+           || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS rec
+  FROM p),
+l AS (
+  SELECT side, page_id, CAST(file_no AS BIGINT) AS file_no, CAST(row_number() OVER w - 1 AS BIGINT) AS ordinal,
+         CAST(sum(strlen(rec)) OVER w - strlen(rec) AS BIGINT) AS "offset", CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS digest
+  FROM r WINDOW w AS (PARTITION BY side, file_no ORDER BY page_id, sha256(rec)))
+SELECT a.page_id, a.file_no, a.ordinal, a."offset", a.length, a.digest,
+       CASE WHEN b.page_id IS NULL THEN 'missing' WHEN b.digest <> a.digest THEN 'changed' WHEN b.ordinal <> a.ordinal OR b."offset" <> a."offset" THEN 'moved' ELSE 'ok' END AS status
+FROM l a LEFT JOIN l b ON b.side = 'b' AND b.page_id = a.page_id WHERE a.side = 'a'
 """
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
 
 import brute
@@ -137,6 +138,12 @@ def test_edges_of_a_shared_passage(spark, monkeypatch, f, check):
     assert sizes[16] < 0.5 * sizes[1 << 30]
 
 
+def test_as_text(spark):
+    kept = [b"ab\xc3", "é�x".encode(), b"\xa9z", b"", None, "😀".encode()[1:] + b"k"]
+    df = spark.createDataFrame([(i, bytearray(x) if x is not None else None) for i, x in enumerate(kept)], "i int, kept binary")
+    assert [r[0] for r in df.orderBy("i").select(suffix_dedup.as_text(spark, F.col("kept"))).collect()] == ["ab", "é�x", "z", "", None, "k"]
+
+
 def test_linear_grouping(spark):
     """Kernels' suffix arrays by their use: windows of bytes of texts that repeat themselves in every way."""
     r = random.Random(7)
@@ -388,18 +395,92 @@ def test_language(spark):
     assert far["lang_rejected"]
 
 
+def test_language_of_long_and_copied_texts(spark):
+    """A label whose texts are all long is learned; copies of one text don't take the places of a label's other texts."""
+    r = random.Random(8)
+    one = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    de, en, fr = "der die und nicht mit für".split(), "the of and that with".split(), "le la et dans avec être".split()
+    rows = [(i, one(de, 6000), "de") for i in range(8)] + [(100 + i, one(en, 50), "en") for i in range(30)]
+    rows += [(1000 + i, "le la le la et", "fr") for i in range(900)] + [(3000 + i, one(fr, 40), "fr") for i in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "u_ bigint, text string, lang string"))
+    assert sorted(set(model.langs)) == ["de", "en", "fr"]
+    out = langid.predict(spark.createDataFrame([(1, one(de, 30)), (2, one(en, 30)), (3, one(fr, 30))], "doc_id bigint, text string"), model)
+    assert listed(out, "lang_pred", "lang_rejected") == [("de", False), ("en", False), ("fr", False)]
+    ids = spark.createDataFrame([(None,), (1,), (2,), (3,)], "doc_id bigint").select(langid.held_out().alias("h")).collect()
+    assert ids[0]["h"] is False and None not in [x["h"] for x in ids]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = queries.op9_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang", "text"), "doc_id").where("held_out and lang is not null and lang_pred != 'und'")
+    right, n = out.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert n > 200 and right / n >= 0.95
+
+
+PAGES = "page_id bigint, url string, html string, offset string"
+
+
+def pages(n=2000):
+    return [(i, f"http://h/{i}", "x" * (i % 50), "extra") for i in range(n)] + [(5, "http://dup", "y", ""), (5, "http://dup", "y", ""), (None, None, None, None), (None, "http://u", "zé", None)]
+
+
 def test_warc(spark):
-    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (i % 50), "extra") for i in range(2000)] + [(5, "http://dup", "y", ""), (None, None, None, None)], "page_id bigint, url string, html string, offset string")
-    harmed = pages.where("page_id is null or page_id != 1999").withColumn("html", F.when(F.col("page_id").isin(0, 600, 1999), "changed").otherwise(F.col("html")))
-    a, b = warc.layout(pages), warc.layout(harmed)
-    assert sorted((r["file"], r["status"]) for r in warc.audit(a, b).collect())[0] == (0, "changed")
-    bad = {(r["id"], r["status"]) for r in warc.fixity(a, b).where("status != 'ok'").collect()}
-    # A record that grows moves those behind it in its file: their offsets differ, and so do they.
-    assert {(0, "changed"), (600, "changed"), (1999, "missing")} <= bad and not any(i in range(512) and s == "missing" for i, s in bad)
+    df = spark.createDataFrame(pages(), PAGES)
+    a = warc.layout(df)
     assert warc.audit(a, a).count() == 0
-    same = pages.withColumn("html", F.when((F.col("page_id") == 77), F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
-    assert listed(warc.fixity(a, warc.layout(same)).where("status != 'ok'"), "id", "status") == [(77, "changed")]
-    assert warc.audit(a.limit(0), a).groupBy("status").count().collect()[0]["status"] == "extra"
+    first = df.withColumn("html", F.when(F.col("page_id") == 77, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+    assert listed(warc.audit(a, warc.layout(first)), "id", "status") == [(77, "changed")]
+    for x, y, status in ((a, a.limit(0), "missing"), (a.limit(0), a, "extra")):
+        assert {tuple(r) for r in warc.audit(x, y).groupBy("status").count().collect()} == {(status, 2004)}
+    assert warc.audit(a.limit(0), a.limit(0)).count() == 0
+
+
+def test_warc_finds_the_record(spark):
+    """A record that is lost, grows or is new moves those behind it in its file; none of those is called changed."""
+    df = spark.createDataFrame(pages(), PAGES)
+    harmed = df.where("page_id is null or page_id not in (0, 1999)").withColumn("html", F.when(F.col("page_id").isin(0, 600, 1050), F.lit("changed")).otherwise(F.col("html")))
+    harmed = harmed.union(spark.createDataFrame([(1500, "http://new", "new", "")], PAGES))
+    bad = listed(warc.audit(warc.layout(df), warc.layout(harmed)), "id", "status")
+    assert [x for x in bad if x[1] != "moved"] == [(0, "missing"), (600, "changed"), (1050, "changed"), (1500, "extra"), (1999, "missing")]
+    moved = {i for i, s in bad if s == "moved"}
+    assert set(range(1, 512)) <= moved and moved <= {i for i in range(2000) if i < 512 or 600 < i < 1024 or i > 1050}
+
+
+def test_warc_files(spark, tmp_path):
+    """What is written is read again as it was laid out; files that are harmed on the disk are found out."""
+    df = spark.createDataFrame(pages(1200), PAGES)
+    files = warc.write(df)
+    a, cols = warc.layout(df), ["file", "ordinal", "offset", "length", "id", "digest"]
+    text = lambda rows: sorted(map(str, rows))
+    assert text(listed_null(warc.read(files), *cols)) == text(listed_null(a, *cols))
+    path = files.where("file = 1").first()["path"].removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    at = data.find(b"\x1f\x8b\x08", len(data) // 2)
+    data[at + 30] ^= 0x55
+    (tmp_path / "harmed.warc.gz").write_bytes(data)
+    other = files.where("file != 1").union(spark.createDataFrame([(1, f"file://{tmp_path}/harmed.warc.gz")], files.schema))
+    found = warc.audit(a, warc.read(other)).where("status in ('missing', 'changed', 'extra')").collect()
+    assert 1 <= len(found) <= 4 and {r["file"] for r in found} == {1}
+    assert warc.read(warc.write(df.limit(0))).collect() == [] and warc.layout(df.limit(0)).collect() == []
+
+
+def listed_null(df, *cols):
+    return [tuple(r) for r in df.select(*cols).collect()]
+
+
+def test_warc_query_and_sql(spark, tmp_path):
+    """The query and its SQL on a table with empty pages, of which some are harmed and some lost."""
+    import oracle
+
+    rows = [(i, f"http://h/{i}", "" if i % 3 == 0 else None if i % 7 == 0 else "é" * (i % 11)) for i in range(1400)]
+    for t in oracle.TABLES:
+        path = f"{tmp_path}/{t}.parquet"
+        (spark.createDataFrame(rows, "page_id bigint, url string, html string") if t == "pages" else spark.range(0)).coalesce(1).write.parquet(path)
+    query, sql = queries.QUERIES["op7_warc_fixity"]
+    out = query(spark, str(tmp_path))
+    assert oracle.compare(out, oracle.connect(str(tmp_path)), sql) == ""
+    assert {r["status"] for r in out.select("status").distinct().collect()} == {"ok", "changed", "missing", "moved"}
 
 
 def test_token_files(spark, docs, rows, vocabulary):
@@ -414,6 +495,17 @@ def test_token_files(spark, docs, rows, vocabulary):
         assert listed(out, "doc_id", "n_tokens") == sorted((d, len(t.encode_ordinary(x or ""))) for d, x in plain(rows))
 
 
+def test_token_files_of_wide_ids(spark):
+    ranks = {bytes([i]): i * 300 for i in range(256)}
+    df = spark.createDataFrame([("a", "héllo"), ("a", None), (None, "xy")], "doc_id string, text string").coalesce(1)
+    out = token_files.count_documents(spark, df, ranks, r"[\s\S]", id_col="doc_id")
+    assert sorted(((r["doc_id"] or ""), r["n_tokens"]) for r in out.collect()) == [("", 2), ("a", 0), ("a", 6)]
+    assert out.first()["path"].endswith(".u32")
+    with pytest.raises(ValueError, match="end"):
+        token_files.write(df, ranks, r"\S+", end=300)
+    assert token_files.count_documents(spark, df.limit(0), ranks, r"\S+").collect() == []
+
+
 def test_token_file_without_last_separator(spark, tmp_path):
     (tmp_path / "a.u16").write_bytes(np.array([1, 2, 50256, 50256, 3, 4, 5], "<u2").tobytes())
     (tmp_path / "b.u16").write_bytes(np.array([9] * 20, "<u2").tobytes())
