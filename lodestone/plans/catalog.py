@@ -111,7 +111,7 @@ EV = tables.SQL + """, walk AS (SELECT src AS cur, [src] AS path FROM ev WHERE s
 """
 graph_query("simple_paths", plain=EV.format(start="'view'") + "SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS BIGINT) AS hops FROM walk WHERE cur = 'purchase'", graph=tables.events)(lambda g: paths.simple_paths(g.edges, "view", "purchase", 4).select(F.array_join("path", ">").alias("path"), big("hops", F.size("path") - 1)))
 graph_query("shortest_path", """, walk AS (SELECT 'r.1' AS cur, ['r.1'] AS path UNION ALL SELECT e.dst, list_append(w.path, e.dst) FROM walk w JOIN (SELECT DISTINCT src, dst FROM e) e ON e.src = w.cur WHERE len(w.path) <= 4)
-SELECT array_to_string(w.path, '>') AS path FROM walk w WHERE w.cur = 'p.9' ORDER BY len(w.path), w.path LIMIT 1""")(lambda g: paths.shortest_path(g.edges, "r.1", "p.9", 4).select(F.array_join("path", ">").alias("path")))
+SELECT array_to_string(w.path, '>') AS path FROM walk w WHERE w.cur = 'p.9' ORDER BY len(w.path), w.path LIMIT 1""")(lambda g: paths.shortest_path(g.edges, "r.1", "p.9").select(F.array_join("path", ">").alias("path")))
 graph_query("elementary_cycles", plain=tables.SQL + """, walk AS (SELECT src AS root, src AS cur, [src] AS path FROM ev GROUP BY 1
  UNION ALL SELECT w.root, ev.dst, list_append(w.path, ev.dst) FROM walk w JOIN ev ON ev.src = w.cur WHERE ev.dst > w.root AND NOT list_contains(w.path, ev.dst))
 SELECT array_to_string(w.path, '>') AS path FROM walk w JOIN ev ON ev.src = w.cur AND ev.dst = w.root""", graph=tables.events)(lambda g: paths.elementary_cycles(g.edges, 5).select(F.array_join("path", ">").alias("path")))
@@ -192,8 +192,8 @@ def versions(g: PropertyGraph) -> tuple[PropertyGraph, PropertyGraph]:
 graph_query("graph_diff_nodes", DIFF + "SELECT id, change FROM nd")(lambda g: diff.nodes(*versions(g)))
 graph_query("graph_diff_pairs", DIFF + "SELECT * FROM ch UNION ALL SELECT * FROM ch2")(lambda g: diff.pairs(*versions(g)))
 graph_query("stable_core", DIFF + "SELECT id FROM core")(lambda g: diff.stable_core(*versions(g)))
-graph_query("graph_health", DIFF + """SELECT nodes, stable, added, removed, changed, CAST(floor(stable * 10000 / nodes) AS BIGINT) AS score FROM (SELECT (SELECT count(*) FROM v2) AS nodes, (SELECT count(*) FROM core) AS stable,
- (SELECT count(*) FROM nd WHERE change = 'added') AS added, (SELECT count(*) FROM nd WHERE change = 'removed') AS removed, (SELECT count(*) FROM nd) AS changed)""")(lambda g: diff.health(*versions(g)).drop("coupling"))
+graph_query("graph_health", DIFF + """SELECT nodes, stable, added, removed, changed, CAST(floor(stable * 10000 / nodes) AS BIGINT) AS score, CASE WHEN changed < 0.05 * nodes AND nodes - stable > 0.3 * nodes THEN CASE WHEN nodes - stable > 0.5 * nodes THEN 'critical' ELSE 'warning' END ELSE '' END AS coupling FROM (SELECT (SELECT count(*) FROM v2) AS nodes, (SELECT count(*) FROM core) AS stable,
+ (SELECT count(*) FROM nd WHERE change = 'added') AS added, (SELECT count(*) FROM nd WHERE change = 'removed') AS removed, (SELECT count(*) FROM nd) AS changed)""")(lambda g: diff.health(*versions(g)))
 graph_query("reach_diff", DIFF + """, w1 AS (SELECT dst AS id, 1 AS level FROM g1 WHERE src = 'c.30' UNION SELECT e.dst, level + 1 FROM w1 JOIN g1 e ON e.src = w1.id WHERE level < 3),
 w2 AS (SELECT dst AS id, 1 AS level FROM g2 WHERE src = 'c.30' UNION SELECT e.dst, level + 1 FROM w2 JOIN g2 e ON e.src = w2.id WHERE level < 3)
 SELECT 'c.30' AS root, coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'newly' WHEN b.id IS NULL THEN 'no_longer' ELSE 'still' END AS change FROM (SELECT DISTINCT id FROM w1) a FULL JOIN (SELECT DISTINCT id FROM w2) b ON a.id = b.id""")(lambda g: diff.reachability(*versions(g), starts(g, "id = 'c.30'"), 3))
@@ -207,9 +207,9 @@ SELECT id, domain FROM dom UNION ALL SELECT id, min(domain) FROM w GROUP BY id""
 graph_query("cdc_paths", DOM + "SELECT * FROM cdc")(domains.crossings)
 graph_query("cdc_pairs", DOM + "SELECT coalesce(src_domain, '') AS src_domain, coalesce(dst_domain, '') AS dst_domain, count(*) AS n FROM cdc GROUP BY ROLLUP (src_domain, dst_domain)")(lambda g: domains.crossing_counts(domains.crossings(g)))
 graph_query("sync_chain", DOM + """, same AS (SELECT DISTINCT e.src, e.dst FROM e JOIN dom a ON a.id = e.src JOIN dom b ON b.id = e.dst WHERE kind = 'DRIVER' AND a.domain = b.domain),
-w AS (SELECT DISTINCT dst AS root, dst AS id, 0 AS level FROM cdc UNION SELECT w.root, s.dst, level + 1 FROM w JOIN same s ON s.src = w.id WHERE level < 3)
+w AS (SELECT DISTINCT dst AS root, dst AS id FROM cdc UNION SELECT w.root, s.dst FROM w JOIN same s ON s.src = w.id)
 SELECT root AS dst, count(DISTINCT id) AS n_regs, CASE WHEN count(DISTINCT id) = 1 THEN 'NONE' ELSE count(DISTINCT id) || '-FLOP' END AS sync FROM w GROUP BY root""")(lambda g: domains.synchronisers(g, domains.crossings(g)))
-graph_query("reg_depth", """, w AS (SELECT 'c.'||c_custkey AS id, 0 AS depth FROM customer WHERE c_custkey < 40 UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = w.id JOIN v ON v.id = e.dst AND v.kind = 'REG' WHERE e.kind = 'DRIVER' AND depth < 4)
+graph_query("reg_depth", """, w AS (SELECT 'c.'||c_custkey AS id, 0 AS depth FROM customer UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = w.id JOIN v ON v.id = e.dst AND v.kind = 'REG' WHERE e.kind = 'DRIVER')
 SELECT id, CAST(max(depth) AS BIGINT) AS depth FROM w GROUP BY id""")(lambda g: paths.longest_depth(domains.register_steps(g).where("src not like 'r.%' and src not like 'n.%'"), g.vertices.where("id like 'c.%'"), g.vertices.select("id", F.when(F.col("kind") == "REG", 1).otherwise(0).cast("bigint").alias("w"))))
 graph_query("critical_paths", """, d AS (SELECT id, fan_in * 10 + (CASE WHEN kind = 'REG' THEN 15 ELSE 0 END) AS score FROM deg JOIN v USING (id))
 SELECT id, score, CASE WHEN score >= 60 THEN 'high' WHEN score >= 40 THEN 'medium' WHEN score >= 20 THEN 'low' ELSE 'safe' END AS risk FROM d ORDER BY score DESC, id LIMIT 25""")(lambda g: critical(g))
@@ -232,11 +232,11 @@ def role_transitions(spark, sf_dir):
 graph_query("conditioned_signals", "SELECT dst AS id, count(DISTINCT condition) AS n_conditions, count(DISTINCT src) AS n_sources FROM e WHERE condition <> '' GROUP BY dst")(domains.conditioned)
 
 
-@table_query("mutex_pairs", "WITH c AS (SELECT DISTINCT o_custkey AS k, o_orderstatus AS s FROM orders) SELECT CAST(a.k AS VARCHAR) AS id, '!en_' || a.s AS a, 'en_' || b.s AS b FROM c a JOIN c b ON a.k = b.k AND a.s = b.s WHERE a.k % 2 = 0")
+@table_query("mutex_pairs", "WITH c AS (SELECT o_custkey AS k, o_orderstatus AS s, bool_or(o_orderpriority = '1-URGENT') AS u FROM orders GROUP BY 1, 2) SELECT CAST(a.k AS VARCHAR) AS id, '!en_' || a.s AS a, 'en_' || b.s AS b FROM c a JOIN c b ON a.k = b.k AND a.s = b.s WHERE a.u")
 def mutex_pairs(spark, sf_dir):
     o = tables.table(spark, sf_dir, "orders")
     e = o.select(F.concat(F.lit("x"), "o_orderkey").alias("src"), F.col("o_custkey").cast("string").alias("dst"), F.concat(F.lit("en_"), "o_orderstatus").alias("condition"))
-    n = o.where("o_custkey % 2 = 0").select(F.concat(F.lit("y"), "o_orderkey").alias("src"), F.col("o_custkey").cast("string").alias("dst"), F.concat(F.lit("!en_"), "o_orderstatus").alias("condition"))
+    n = o.where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("y"), "o_orderkey").alias("src"), F.col("o_custkey").cast("string").alias("dst"), F.concat(F.lit("!en_"), "o_orderstatus").alias("condition"))
     return domains.opposed(PropertyGraph.of(spark.createDataFrame([], "id string"), e.union(n), placeholders=False))
 
 
@@ -250,9 +250,9 @@ cls AS (SELECT id, CASE WHEN is_clock THEN 'CLOCK' WHEN ctl AND dat THEN 'DATA'
 """
 graph_query("node_classes", CLASS + "SELECT id, class, confidence FROM cls")(classify.nodes)
 EDGE_CLASS = CLASS + """, ec AS (SELECT e.src, e.dst, e.kind, e.condition, a.class AS s, b.class AS d FROM e LEFT JOIN cls a ON a.id = e.src LEFT JOIN cls b ON b.id = e.dst)
-SELECT class, kind, key_control, count(*) AS n FROM (SELECT kind, CASE WHEN kind = 'CLOCK' OR s = 'CLOCK' OR d = 'CLOCK' THEN 'CLOCK' WHEN kind = 'CONNECTION' THEN 'DATA' WHEN s = 'CONTROL' AND d = 'DATA' THEN 'CONTROL' WHEN s = 'DATA' OR d = 'DATA' THEN 'DATA' WHEN condition <> '' THEN 'DATA' ELSE 'UNKNOWN' END AS class,
- CASE WHEN kind = 'CLOCK' OR s = 'CLOCK' OR d = 'CLOCK' THEN true WHEN kind = 'CONNECTION' THEN false WHEN s = 'CONTROL' AND d = 'DATA' THEN true WHEN s = 'DATA' OR d = 'DATA' THEN false WHEN condition <> '' THEN true ELSE false END AS key_control FROM ec) GROUP BY 1, 2, 3"""
-graph_query("edge_classes", EDGE_CLASS)(lambda g: classify.edges(g).groupBy("class", "kind", "key_control").agg(F.count("*").alias("n")))
+SELECT class, kind, key_control, confidence, count(*) AS n FROM (SELECT kind, CAST(CASE WHEN kind = 'CLOCK' THEN 100 WHEN s = 'CLOCK' OR d = 'CLOCK' THEN 90 WHEN kind = 'CONNECTION' THEN 0 WHEN s = 'CONTROL' AND d = 'DATA' THEN 80 WHEN s = 'DATA' OR d = 'DATA' THEN 70 WHEN condition <> '' THEN 50 ELSE 0 END AS BIGINT) AS confidence, CASE WHEN kind = 'CLOCK' OR s = 'CLOCK' OR d = 'CLOCK' THEN 'CLOCK' WHEN kind = 'CONNECTION' THEN 'DATA' WHEN s = 'CONTROL' AND d = 'DATA' THEN 'CONTROL' WHEN s = 'DATA' OR d = 'DATA' THEN 'DATA' WHEN condition <> '' THEN 'DATA' ELSE 'UNKNOWN' END AS class,
+ CASE WHEN kind = 'CLOCK' OR s = 'CLOCK' OR d = 'CLOCK' THEN true WHEN kind = 'CONNECTION' THEN false WHEN s = 'CONTROL' AND d = 'DATA' THEN true WHEN s = 'DATA' OR d = 'DATA' THEN false WHEN condition <> '' THEN true ELSE false END AS key_control FROM ec) GROUP BY 1, 2, 3, 4"""
+graph_query("edge_classes", EDGE_CLASS)(lambda g: classify.edges(g).groupBy("class", "kind", "key_control", "confidence").agg(F.count("*").alias("n")))
 graph_query("pattern_convergence", "SELECT DISTINCT src, dst, 'CONVERGENCE' AS rule FROM e WHERE kind = 'DRIVER' AND dst IN (SELECT dst FROM e WHERE kind = 'DRIVER' GROUP BY dst HAVING count(*) FILTER (condition <> '') >= 2 AND count(*) FILTER (condition = '') >= 1)")(lambda g: classify.matches(g, [classify.convergence(), classify.truncation(), classify.widening()]))
 
 # Names, roles, protocols
@@ -280,7 +280,7 @@ def role_scores(spark, sf_dir):
     return classify.roles(s).select("name", "role")
 
 
-@table_query("handshake_pairs", """WITH p AS (SELECT DISTINCT o_orderpriority AS module, 'b' || (o_custkey % 7) || CASE WHEN o_orderkey % 2 = 0 THEN '_valid' ELSE '_ready' END AS name FROM orders WHERE o_orderkey < 300)
+@table_query("handshake_pairs", """WITH p AS (SELECT DISTINCT o_orderpriority AS module, 'b' || (o_custkey % 7) || CASE WHEN o_orderkey % 2 = 0 THEN '_valid' ELSE '_ready' END AS name FROM orders)
 SELECT a.module, replace(a.name, '_valid', '') AS base, a.name AS valid, b.name AS ready FROM p a JOIN p b ON a.module = b.module AND a.name LIKE '%_valid' AND b.name = replace(a.name, '_valid', '_ready')""")
 def handshake_pairs(spark, sf_dir):
     o = tables.table(spark, sf_dir, "orders")
@@ -288,11 +288,11 @@ def handshake_pairs(spark, sf_dir):
     return classify.valid_ready_pairs(o.select(F.col("o_orderpriority").alias("module"), name.alias("name"), F.lit(1).alias("width")).distinct())
 
 
-@table_query("protocol_scores", """WITH s AS (SELECT DISTINCT p_type AS module, CASE p_size % 4 WHEN 0 THEN 'awvalid' WHEN 1 THEN 'awready' WHEN 2 THEN 'wdata' ELSE 'wlast' END AS signal FROM part WHERE p_size > 40),
+@table_query("protocol_scores", """WITH s AS (SELECT DISTINCT p_type AS module, CASE p_size % 4 WHEN 0 THEN 'awvalid' WHEN 1 THEN 'awready' WHEN 2 THEN 'wdata' ELSE 'wlast' END AS signal FROM part),
 c(protocol, channel, signal, required) AS (VALUES ('axi', 'AW', 'awvalid', true), ('axi', 'AW', 'awready', true), ('axi', 'W', 'wdata', true), ('axi', 'W', 'wlast', false), ('stream', 'T', 'tvalid', true), ('stream', 'T', 'wlast', false))
 SELECT module, protocol, channel, count(*) FILTER (required) AS required_hits, count(*) FILTER (NOT required) AS optional_hits FROM s JOIN c USING (signal) GROUP BY 1, 2, 3""")
 def protocol_scores(spark, sf_dir):
-    p = tables.table(spark, sf_dir, "part").where("p_size > 40")
+    p = tables.table(spark, sf_dir, "part")
     k = F.col("p_size") % 4
     s = p.select(F.col("p_type").alias("module"), F.when(k == 0, "m_axi_aw_valid").when(k == 1, "m_axi_aw_ready").when(k == 2, "m_axi_w_data").otherwise("m_axi_w_last").alias("name"))
     c = spark.createDataFrame([("axi", "AW", "awvalid", True), ("axi", "AW", "awready", True), ("axi", "W", "wdata", True), ("axi", "W", "wlast", False), ("stream", "T", "tvalid", True), ("stream", "T", "wlast", False)], "protocol string, channel string, signal string, required boolean")
@@ -317,13 +317,13 @@ def uncovered(spark, sf_dir):
     return coverage.uncovered(tables.table(spark, sf_dir, "documents").select("doc_id", "lang"), tables.table(spark, sf_dir, "labels"), "doc_id")
 
 
-@table_query("missing_cross", """WITH p AS (SELECT DISTINCT least(c_mktsegment, o_orderpriority) AS a, greatest(c_mktsegment, o_orderpriority) AS b FROM orders JOIN customer ON c_custkey = o_custkey), x AS (SELECT DISTINCT least(c_mktsegment, o_orderpriority) AS a, greatest(c_mktsegment, o_orderpriority) AS b FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' AND o_orderkey % 50 = 0)
+@table_query("missing_cross", """WITH p AS (SELECT DISTINCT least(c_mktsegment, o_orderpriority) AS a, greatest(c_mktsegment, o_orderpriority) AS b FROM orders JOIN customer ON c_custkey = o_custkey), x AS (SELECT DISTINCT least(c_mktsegment, o_orderpriority) AS a, greatest(c_mktsegment, o_orderpriority) AS b FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' AND c_nationkey = 7)
 SELECT a, b FROM p EXCEPT SELECT a, b FROM x""")
 def missing_cross(spark, sf_dir):
     o = tables.table(spark, sf_dir, "orders").join(tables.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    pairs = o.select(F.col("c_mktsegment").alias("a"), F.col("o_orderpriority").alias("b"), "o_orderstatus", "o_orderkey")
+    pairs = o.select(F.col("c_mktsegment").alias("a"), F.col("o_orderpriority").alias("b"), "o_orderstatus", "c_nationkey")
     points = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    return coverage.missing_crosses(pairs.select("a", "b").distinct(), points, pairs.where("o_orderstatus = 'P' and o_orderkey % 50 = 0").select("a", "b"))
+    return coverage.missing_crosses(pairs.select("a", "b").distinct(), points, pairs.where("o_orderstatus = 'P' and c_nationkey = 7").select("a", "b"))
 
 
 @table_query("search_context", """WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
