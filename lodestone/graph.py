@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import schema
+from .storage import stored
 from .functions import scalars as S
 
 DEDUP = ("src", "dst", "kind", "condition", "assign_type", "expression")
@@ -19,6 +21,17 @@ class PropertyGraph:
 
     vertices: DataFrame
     edges: DataFrame
+    memo: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that is derived from the whole graph, written when it is first asked for."""
+        if name not in self.memo:
+            self.memo[name] = stored(make())
+        return self.memo[name]
+
+    def materialised(self) -> PropertyGraph:
+        """The graph with its tables written once: edges by kind and sorted by source."""
+        return PropertyGraph(stored(self.vertices, order="id"), stored(self.edges, by="kind", order="src"))
 
     @staticmethod
     def of(vertices: DataFrame, edges: DataFrame, placeholders: bool = True) -> PropertyGraph:
@@ -27,11 +40,13 @@ class PropertyGraph:
         return PropertyGraph(g.vertices.unionByName(g.placeholders()), g.edges) if placeholders else g
 
     def placeholders(self) -> DataFrame:
-        """Vertices for ends that have none: CONST for literals, else SIGNAL, in the module of the id's first segment."""
+        """Vertices for ends that have none: CONST for literals, else SIGNAL, in the module of the id's first segment and
+        named by all that follows it."""
         ends = self.edges.select(F.col("src").alias("id")).union(self.edges.select("dst")).distinct()
         new = ends.join(self.vertices.select("id"), "id", "left_anti")
-        literal = F.col("id").rlike(r"^\d|'")
-        return schema.conform(new.select("id", F.substring_index("id", ".", -1).alias("name"), F.when(literal, "").otherwise(F.substring_index("id", ".", 1)).alias("module"), F.when(literal, "CONST").otherwise("SIGNAL").alias("kind")), schema.VERTICES)
+        literal = S.is_literal(F.col("id"))
+        name = F.when(literal | ~F.col("id").contains("."), F.col("id")).otherwise(F.regexp_replace("id", r"^[^.]*\.", ""))
+        return schema.conform(new.select("id", name.alias("name"), F.when(literal, "").otherwise(F.substring_index("id", ".", 1)).alias("module"), F.when(literal, "CONST").otherwise("SIGNAL").alias("kind")), schema.VERTICES)
 
     def upsert(self, vertices: DataFrame) -> PropertyGraph:
         """Adds vertices; where an id is there already the new row replaces it. Ids in `vertices` must be unique."""
@@ -49,13 +64,23 @@ class PropertyGraph:
 
     def top_edges(self, states: tuple[str, ...] = ()) -> DataFrame:
         """The edge of highest priority of each pair, by one combined aggregate rather than a sort of each pair."""
+        return self.kept(f"top {states}", lambda: self._top(states))
+
+    def _top(self, states: tuple[str, ...]) -> DataFrame:
         cols = [c for c in self.edges.columns if c not in ("src", "dst")]
         key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(priority(states))], *[F.col(c) for c in cols])
         return self.edges.groupBy("src", "dst").agg(F.min(key).alias("e")).select("src", "dst", *[F.col(f"e.{c}").alias(c) for c in cols])
 
     def degrees(self) -> DataFrame:
         """(id, fan_in, fan_out) over distinct pairs, for every vertex."""
-        pairs = self.edges.select("src", "dst").distinct()
+        return self.kept("degrees", self._degrees)
+
+    def pairs(self) -> DataFrame:
+        """(src, dst), each once."""
+        return self.top_edges().select("src", "dst")
+
+    def _degrees(self) -> DataFrame:
+        pairs = self.pairs()
         ends = pairs.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(pairs.select("dst", F.lit(1), F.lit(0)))
         sums = ends.groupBy("id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
         return self.vertices.select("id").join(sums, "id", "left").na.fill(0, ["fan_in", "fan_out"])

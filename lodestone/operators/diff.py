@@ -19,9 +19,10 @@ def nodes(a: PropertyGraph, b: PropertyGraph) -> DataFrame:
 
 
 def pairs(a: PropertyGraph, b: PropertyGraph) -> DataFrame:
-    x, y = (g.edges.select("src", "dst").distinct() for g in (a, b))
-    both = x.withColumn("old", F.lit(True)).join(y.withColumn("new", F.lit(True)), ["src", "dst"], "full")
-    return both.where("old is null or new is null").select("src", "dst", F.when(F.col("old").isNull(), "added").otherwise("removed").alias("change"))
+    """(src, dst, change) of pairs that only one graph has: one aggregate over both, with a mark for each."""
+    marked = a.edges.select("src", "dst", F.lit(1).alias("old"), F.lit(0).alias("new")).union(b.edges.select("src", "dst", F.lit(0), F.lit(1)))
+    both = marked.groupBy("src", "dst").agg(F.max("old").alias("old"), F.max("new").alias("new"))
+    return both.where("old != new").select("src", "dst", F.when(F.col("old") == 0, "added").otherwise("removed").alias("change"))
 
 
 def stable_core(a: PropertyGraph, b: PropertyGraph) -> DataFrame:

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..graph import PropertyGraph
-from .traverse import checkpointed, reach
+from ..storage import stored
+from .traverse import reach
 
 
 def assign(g: PropertyGraph) -> DataFrame:
     """(id, domain): registers by the clock that drives them, ties by the smallest."""
+    return g.kept("domains", lambda: _assign(g))
+
+
+def _assign(g: PropertyGraph) -> DataFrame:
     clocked = g.edges.where(F.col("kind") == "CLOCK").join(g.vertices.where(F.col("kind") == "REG").select(F.col("id").alias("dst")), "dst", "left_semi")
     return clocked.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("domain"))
 
@@ -43,8 +48,8 @@ def synchronisers(g: PropertyGraph, found: DataFrame, depth: int | None = None)
     domain only, the target included, to the end of the chain or within `depth` hops; 1 is NONE, n is n-FLOP."""
     d = assign(g)
     reg = g.edges.where(F.col("kind") == "DRIVER").join(d.select(F.col("id").alias("src"), F.col("domain").alias("x")), "src").join(d.select(F.col("id").alias("dst"), F.col("domain").alias("y")), "dst").where("x = y")
-    reg = checkpointed(reg.select("src", "dst").distinct())
-    targets = checkpointed(found.select("dst").distinct())
+    reg = stored(reg.select("src", "dst").distinct())
+    targets = stored(found.select("dst").distinct())
     after = reach(reg, targets.select(F.col("dst").alias("root"), F.col("dst").alias("id")), depth).where("root != id").groupBy("root").agg(F.count("*").alias("k"))
     n = F.coalesce("k", F.lit(0)) + 1
     return targets.join(after, targets["dst"] == after["root"], "left").select("dst", n.cast("bigint").alias("n_regs"), F.when(n == 1, "NONE").otherwise(F.concat(n.cast("string"), F.lit("-FLOP"))).alias("sync"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,8 +62,8 @@ def shared_net_pairs(ports: DataFrame, per_net: int = 4) -> DataFrame:
 
 
 def filtered(df: DataFrame, kinds: tuple[str, ...] = (), module: str | None = None, width_min: int | None = None, width_max: int | None = None, exclude: str | None = None) -> DataFrame:
-    """Vertices by kind, module glob (constants pass), width and excluded id glob."""
-    glob = lambda p: "^" + p.replace(".", r"\.").replace("*", ".*").replace("?", ".") + "$"
+    """Vertices by kind, module glob (constants pass), width and excluded id glob: * is any text, ? any character, all else itself."""
+    glob = lambda p: "^" + "".join({"*": ".*", "?": "."}.get(c) or re.escape(c) for c in p) + "$"
     width = F.greatest(F.lit(0), F.col("width_msb") - F.col("width_lsb") + 1)
     if kinds:
         df = df.where(F.col("kind").isin(*kinds))

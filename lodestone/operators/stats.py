@@ -10,7 +10,7 @@ from ..functions.scalars import contains_any
 
 
 def totals(g: PropertyGraph) -> DataFrame:
-    return g.vertices.agg(F.count("*").alias("nodes")).join(g.edges.select("src", "dst").distinct().agg(F.count("*").alias("pairs"))).join(g.edges.agg(F.count("*").alias("edges")))
+    return g.vertices.agg(F.count("*").alias("nodes")).join(g.pairs().agg(F.count("*").alias("pairs"))).join(g.edges.agg(F.count("*").alias("edges")))
 
 
 def kind_histogram(g: PropertyGraph) -> DataFrame:

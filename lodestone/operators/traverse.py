@@ -5,50 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..graph import PropertyGraph
+from ..storage import counted, stored
 
 DATA_KINDS = ("DRIVER", "CONNECTION")
-#: Levels that are planned as one job; a deeper search runs a job for each level and cuts lineage with checkpoints.
-PLANNED = 4
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder of the session (a local one only where none is set, as in tests)."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            import tempfile
-
-            root = "file://" + tempfile.mkdtemp(prefix="lodestone-graph-")
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint()
 
 
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, reverse: bool = False, descend: Column | None = None) -> DataFrame:
     """starts (root, id) → (root, id, level): every vertex that a root reaches over edges (src, dst), at its least level,
     1 or more; a start is in the result only if it is reached again. Every root is followed in one loop.
 
-    descend: a condition on the column id; vertices that fail it are reached but not left. Each level joins the frontier
-    with the edges, so what is shuffled is the frontier's neighbourhood; visited vertices leave by an anti join.
+    descend: a condition on the column id; vertices that fail it are reached but not left. Each level is written, so no
+    level's plan holds another's, and is joined with the edges: a small frontier is broadcast by its known size and
+    nothing else is shuffled, a large one is shuffled; visited vertices leave by an anti join.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    steps = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
-    frontier, seen, level = starts.select("root", "id").distinct(), None, 0
+    steps = edges.select(F.col(a).alias("id"), F.col(b).alias("next"))
+    frontier = stored(starts.select("root", "id").distinct())
+    seen, level = frontier.select("root", "id", F.lit(0).cast("bigint").alias("level")).limit(0), 0
     while max_depth is None or level < max_depth:
         level += 1
         found = frontier.join(steps, "id").select("root", F.col("next").alias("id")).distinct()
-        if seen is not None:
+        if level > 1:
             found = found.join(seen.select("root", "id"), ["root", "id"], "left_anti")
-        if max_depth is None or max_depth > PLANNED:
-            found = checkpointed(found)
-            if found.isEmpty():
-                break
+        found, n = counted(found)
+        if not n:
+            break
         new = found.withColumn("level", F.lit(level).cast("bigint"))
-        seen = new if seen is None else seen.unionByName(new)
+        seen = new if level == 1 else seen.unionByName(new)
         frontier = found if descend is None else found.where(descend)
-    if seen is None:
-        return starts.select("root", "id", F.lit(0).cast("bigint").alias("level")).limit(0)
     return seen
 
 
@@ -67,7 +53,7 @@ def fan_in(g: PropertyGraph, starts: DataFrame, depth: int | None = None) -> Dat
     """Drivers of each start: direct predecessors over any kind at depth 1, else over data edges; constants are leaves."""
     if depth == 1:
         return reach(g.edges, starts, 1, reverse=True)
-    return reach(g.edges.where(F.col("kind").isin(*DATA_KINDS)), starts, depth, reverse=True, descend=~F.col("id").rlike(r"^\d|'"))
+    return reach(g.edges.where(F.col("kind").isin(*DATA_KINDS)), starts, depth, reverse=True, descend=~S.is_literal(F.col("id")))
 
 
 def closure(g: PropertyGraph, starts: DataFrame, kind: str, reverse: bool = False) -> DataFrame:

@@ -6,6 +6,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
+from ..storage import signature
+
+_graphs: dict[tuple, PropertyGraph] = {}
+
+
+def once(tables: tuple[str, ...]):
+    """A graph of tables, made and written once for an application: as long as the tables' files are the same, later calls
+    get the same graph, with what was derived from it."""
+
+    def keep(make):
+        def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+            app = spark.sparkContext.applicationId
+            key = (app, make.__name__, sf_dir, *(signature(spark, f"{sf_dir}/{t}.parquet") for t in tables))
+            for old in [k for k in _graphs if k[0] != app]:
+                del _graphs[old]
+            if key not in _graphs:
+                _graphs[key] = make(spark, sf_dir).materialised()
+            return _graphs[key]
+
+        graph.__doc__ = make.__doc__
+        return graph
+
+    return keep
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +39,7 @@ def _id(prefix: str, col: str):
     return F.concat(F.lit(prefix + "."), F.col(col).cast("string"))
 
 
+@once(("region", "nation", "customer", "orders", "lineitem", "supplier", "part"))
 def trade(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Regions, nations, customers, orders, suppliers, parts and a clock for each order status."""
     t = lambda n: table(spark, sf_dir, n)
@@ -63,6 +87,7 @@ def transitions(df: DataFrame, group: str, order: list[str], state: str) -> Data
     return df.select(F.col(state).alias("src"), nxt.alias("dst")).where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+@once(("events",))
 def events(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Event types and which follows which for a user."""
     e = transitions(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")

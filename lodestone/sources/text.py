@@ -44,15 +44,29 @@ def whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def macros(files: DataFrame, text_col: str = "text") -> DataFrame:
-    """(name, body) of `define lines of all files; of several definitions the last as text. Bodies that name other macros are
-    resolved to a fixed depth."""
+    """(name, body) of `define lines of all files; of several definitions the last as text. What a body names is put in until
+    nothing changes; a name that leads back to itself stays as it is, and so does one that nothing defines."""
     found = files.select(F.explode(F.regexp_extract_all(text_col, F.lit(r"(?m)^[ \t]*`define[ \t]+(\w+[ \t]+[^\n]*)$"))).alias("d"))
-    out = found.select(F.regexp_extract("d", r"^(\w+)", 1).alias("name"), F.trim(F.regexp_extract("d", r"^\w+\s+(.*)$", 1)).alias("body")).groupBy("name").agg(F.max("body").alias("body"))
-    for _ in range(4):
-        ref = out.withColumn("ref", F.regexp_extract("body", r"`(\w+)", 1))
-        other = out.select(F.col("name").alias("ref"), F.col("body").alias("value"))
-        out = ref.join(other, "ref", "left").select("name", F.when(F.col("value").isNull() | (F.col("ref") == F.col("name")), F.col("body")).otherwise(F.replace("body", F.concat(F.lit("`"), "ref"), "value")).alias("body"))
-    return out
+    found = found.select(F.regexp_extract("d", r"^(\w+)", 1).alias("name"), F.trim(F.regexp_extract("d", r"^\w+\s+(.*)$", 1)).alias("body")).groupBy("name").agg(F.max("body").alias("body"))
+    table = dict(map(tuple, found.collect()))  # the names of a design, which substitute() sends to every file
+
+    def whole(body: str, inside: frozenset[str]) -> str:
+        return re.sub(r"`(\w+)", lambda m: whole(table[m[1]], inside | {m[1]}) if m[1] in table and m[1] not in inside else m[0], body)
+
+    return files.sparkSession.createDataFrame([(n, whole(b, frozenset([n]))) for n, b in sorted(table.items())], "name string, body string")
+
+
+def substitute(files: DataFrame, table: DataFrame, text_col: str = "text") -> DataFrame:
+    """files with the macros of a table (name, body) put in where their names stand, but for the lines that define them."""
+    names = dict(map(tuple, table.collect()))
+
+    def put(line: Column) -> Column:
+        out = line
+        for name, body in names.items():
+            out = F.regexp_replace(out, F.lit(rf"`{name}\b"), F.lit(body.replace("\\", "\\\\").replace("$", "\\$")))
+        return F.when(line.rlike(r"^\s*`define\s"), line).otherwise(out)
+
+    return files.withColumn(text_col, F.array_join(F.transform(F.split(text_col, "\n"), put), "\n")) if names else files
 
 
 def with_timescale(text: Column, default: str = "`timescale 1ns/1ps") -> Column:
