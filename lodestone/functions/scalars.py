@@ -129,3 +129,86 @@ def statement(dst: Column, expression: Column, condition: Column, clock: Column)
 
 def clean_name(name: Column) -> Column:
     return F.regexp_replace(F.trim(name), r"[^A-Za-z0-9_$]", "_")
+
+
+def condition_names(condition: Column) -> Column:
+    """The first name of each term of a condition, each once, in order: state == READY gives state."""
+    first = F.transform(split_condition(condition), lambda t: F.trim(F.get(F.split(t, r"\s*(?:==|!=|<=|>=|<|>|\+|-|\*|/|\(|\)|\[|\])\s*"), F.lit(0))))
+    return F.array_distinct(F.filter(first, lambda x: x != ""))
+
+
+def bare_base(name: Column) -> Column:
+    """A signal's name in lower case without its direction, version and role: a_valid_i and a_ready_o are one."""
+    x = F.regexp_replace(F.lower(name), "(_i|_o|_io)$", "")
+    for part in ("next", "reg", "int", "early", "valid", "ready"):
+        x = F.regexp_replace(x, f"_?{part}$", "")
+    return x
+
+
+# What the end of a name says about a signal's role; the first that fits.
+ROLE_ENDS = (("valid", ("valid", "vld", "req")), ("ready", ("ready", "rdy", "ack", "stall", "wait")), ("data", ("data", "payload")), ("addr", ("addr", "address")), ("resp", ("resp", "response")), ("strb", ("strb", "strobe", "be")), ("last", ("last", "eop")), ("ctrl", ("len", "size", "burst", "id", "cache", "prot", "qos", "region", "lock", "user")))
+
+
+def role_of_name(name: Column) -> Column:
+    n = F.lower(name)
+    out = F.when(F.lit(False), "")
+    for role, ends in ROLE_ENDS:
+        out = out.when(n.rlike(f"(?:{'|'.join(ends)})$"), role)
+    return out.otherwise("unknown")
+
+
+def layer(name: Column, keywords: dict[str, tuple[str, ...]]) -> Column:
+    """The first layer of which the name has a keyword, else OTHER."""
+    out = F.when(F.lit(False), "")
+    for k, parts in keywords.items():
+        out = out.when(contains_any(F.lower(name), parts), k)
+    return out.otherwise("OTHER")
+
+
+def qualified(name: Column, module: Column) -> Column:
+    """A name with its module in front, unless that is there."""
+    return F.when(module.isNull() | (module == "") | name.startswith(F.concat(module, F.lit("."))), name).otherwise(F.concat_ws(".", module, name))
+
+
+def operand(signal: Column, msb: Column, lsb: Column, casts: Column, op: Column, side: Column) -> Column:
+    """An operand as it is shown: its bits, the casts around it, and the operator that it goes into."""
+    name = F.aggregate(F.coalesce(casts, F.array().cast("array<string>")), F.concat(signal, bit_slice(msb, lsb)), lambda acc, c: F.concat(c, F.lit("("), acc, F.lit(")")))
+    to = F.when(F.coalesce(op, F.lit("")) == "", "").otherwise(F.concat(F.lit(" → op: "), op, F.when(F.coalesce(side, F.lit("")) == "", "").otherwise(F.concat(F.lit(" ("), side, F.lit(")")))))
+    return F.concat(name, to)
+
+
+# Words that are no signals.
+KEYWORDS = ("logic", "wire", "reg", "input", "output", "inout", "module", "always", "assign", "if", "else", "case", "begin", "end", "posedge", "negedge", "or", "and")
+
+
+def atomics(expression: Column) -> Column:
+    """The signals of an expression with their bits, each once, in order; numbers and keywords are none."""
+    clean = F.regexp_replace(expression, r"\b\d+'s?[dhbHoO][0-9a-fA-FxXzZ?]+\b", " ")
+    found = F.regexp_extract_all(clean, F.lit(r"([A-Za-z_$][\w$.]*(?:\[\s*\d+(?:\s*:\s*\d+)?\s*\])?)"))
+    return F.array_distinct(F.filter(found, lambda x: ~x.isin(*KEYWORDS)))
+
+
+def colour(name: Column) -> Column:
+    """A colour for a name, by its MD5: dark ones are lifted to 80 in every part."""
+    h = F.md5(name.cast("binary"))
+    part = [F.conv(F.substring(h, i, 2), 16, 10).cast("int") for i in (1, 3, 5)]
+    dark = part[0] + part[1] + part[2] < 350
+    return F.concat(F.lit("#"), *[F.lower(F.lpad(F.hex(F.when(dark, F.greatest(p, F.lit(80))).otherwise(p)), 2, "0")) for p in part])
+
+
+# How operators are written.
+OPERATORS = {"Add": "+", "Subtract": "-", "Multiply": "*", "Divide": "/", "ArithmeticShiftRight": ">>>", "GreaterThan": ">", "GreaterThanEqual": ">=", "LessThan": "<", "LessThanEqual": "<="}
+
+
+def operator_label(op: Column, msb: Column, lsb: Column, casts: Column) -> Column:
+    """An edge's casts, operator and bits, those that it has, between spaces."""
+    sign = F.when(F.lit(False), "")
+    for k, v in OPERATORS.items():
+        sign = sign.when(op == k, v)
+    last_first = F.reverse(F.coalesce(casts, F.array().cast("array<string>")))
+    return F.concat_ws(" ", F.filter(F.concat(last_first, F.array(sign.otherwise(F.coalesce(op, F.lit(""))), bit_slice(msb, lsb))), lambda x: x != ""))
+
+
+def credibility(has_snippet: Column, matches_expression: Column, matches_name: Column) -> Column:
+    """How far a piece of evidence is to be believed, in tenths."""
+    return F.when(has_snippet, 2).otherwise(0) + F.when(matches_expression, 4).otherwise(0) + F.when(matches_name, 2).otherwise(0) + F.when(matches_expression & matches_name, 2).otherwise(0)

@@ -67,6 +67,35 @@ def convergence(least: int = 2) -> Rule:
     return Rule("CONVERGENCE", 10, match)
 
 
+def clamp(compare: tuple[str, ...] = ("GreaterThan", "GreaterThanEqual", "LessThan", "LessThanEqual"), distinct: int = 2) -> Rule:
+    """Convergence whose conditional sources are fed by `distinct` different comparisons or more (1: a saturation). Edges have the
+    operator that they come out of as assign_type."""
+
+    def match(g: PropertyGraph) -> DataFrame:
+        e = g.edges.where(F.col("kind") == "DRIVER")
+        into = convergence().match(g)
+        ops = e.where(F.col("assign_type").isin(*compare)).select(F.col("dst").alias("src"), F.col("assign_type").alias("op"))
+        seen = e.where(F.col("condition") != "").select("src", "dst").join(ops, "src").groupBy("dst").agg(F.count_distinct("op").alias("n")).where(F.col("n") >= distinct)
+        cond = e.where(F.col("condition") != "").select("src", "dst").distinct()
+        return into.join(cond, ["src", "dst"], "left_semi").join(seen, "dst", "left_semi").select("src", "dst")
+
+    return Rule("CLAMP" if distinct > 1 else "SATURATION", 30 if distinct > 1 else 10, match)
+
+
+def rounding() -> Rule:
+    """An arithmetic shift right of what an addition feeds (half up), or an addition of parts of at most two vectors (to even)."""
+
+    def match(g: PropertyGraph) -> DataFrame:
+        e = g.edges.select("src", "dst", F.col("assign_type").alias("op"))
+        added = e.where("op = 'Add'").select(F.col("dst").alias("src")).distinct()
+        half = e.where("op = 'ArithmeticShiftRight'").join(added, "src", "left_semi").select("src", "dst")
+        parts = e.select(F.col("dst").alias("src"), F.col("src").alias("part")).where(F.col("part").contains("["))
+        bases = e.where("op = 'Add'").select("src", "dst").join(parts, "src").groupBy("dst").agg(F.count_distinct(F.regexp_replace("part", r"\[.*$", "")).alias("n")).where("n <= 2")
+        return half.union(e.where("op = 'Add'").join(bases, "dst", "left_semi").select("src", "dst")).distinct()
+
+    return Rule("ROUNDING", 20, match)
+
+
 def truncation() -> Rule:
     return Rule("TRUNCATION", 15, lambda g: g.edges.where(F.col("expression").rlike(r"\[\s*\d+(\s*:\s*\d+)?\s*\]")).select("src", "dst").distinct())
 
@@ -80,7 +109,17 @@ def widening() -> Rule:
         e = e.join(w.select(F.col("id").alias("src"), F.col("w").alias("sw")), "src").join(w.select(F.col("id").alias("dst"), F.col("w").alias("dw")), "dst")
         return e.where("dw > sw").select("src", "dst").distinct()
 
-    return Rule("SIGN_EXTEND", 20, match)
+    return Rule("SIGN_EXTEND", 25, match)
+
+
+def default_rules() -> list[Rule]:
+    """The rules that are tried unless others are given, by priority: 10, 15, 20, 25, 30."""
+    return [clamp(distinct=1), truncation(), rounding(), widening(), clamp()]
+
+
+def annotated(g: PropertyGraph, rules: list[Rule]) -> DataFrame:
+    """Top edges with the rule of their pair, '' where none matches."""
+    return g.top_edges().join(matches(g, rules), ["src", "dst"], "left").na.fill("", ["rule"])
 
 
 def matches(g: PropertyGraph, rules: list[Rule]) -> DataFrame:
@@ -92,28 +131,60 @@ def matches(g: PropertyGraph, rules: list[Rule]) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.min("m").alias("m")).select("src", "dst", F.col("m.rule").alias("rule"))
 
 
-def roles(signals: DataFrame) -> DataFrame:
-    """signals (name, width, direction, driver_kind) → scores of each role in hundredths, and the best one (30 at least; ties by
-    the order of the roles)."""
+# Roles in the order that decides ties, hundredths that speak for them, and the least that counts.
+ROLES, LEAST_ROLE = ("valid", "ready", "data", "addr", "resp", "ctrl", "strb", "last"), 30
+
+
+def roles(signals: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """signals (name, width, direction, driver_kind; a key of names may be `module` too) → scores of each role in hundredths, 0
+    to 100, and the best one (30 at least; ties by the order of the roles).
+
+    pairs (name, other, and module if signals have it): signals that belong together, by which each speaks for the other: one
+    bit out with one bit in for valid and ready; one bit out with a wide one out, but without a one-bit input, for last; a few
+    bits out with a wide one out for strb; a wide one with a narrow one of its own direction for data.
+    """
+    key = [c for c in ("module", "name") if c in signals.columns]
     w, d = S.width_class(F.col("width")), F.col("direction")
-    one, out, inp = w == "1bit", d == "output", d == "input"
+    one, small, wide, out, inp, both = w == "1bit", w == "small", w == "wide", d == "output", d == "input", d == "inout"
+    base = signals.select(*key, w.alias("w"), d.alias("d"), "driver_kind")
+    n = {x: F.lit(0) for x in ("input", "flip", "wide_out", "narrow")}
+    if pairs is not None:
+        other = signals.select(*[c for c in key if c != "name"], F.col("name").alias("other"), S.width_class(F.col("width")).alias("ow"), F.col("direction").alias("od"))
+        met = pairs.select(*key, "other").distinct().join(other, [*[c for c in key if c != "name"], "other"]).join(signals.select(*key, w.alias("w"), d.alias("d")), key)
+        count = lambda x, name: F.count_if(x).alias(name)
+        met = met.groupBy(*key).agg(
+            count((F.col("ow") == "1bit") & (F.col("od") == "input"), "input"), count((F.col("w") == "1bit") & (F.col("ow") == "1bit") & (F.col("d") != F.col("od")) & F.col("d").isin("output", "input") & F.col("od").isin("output", "input"), "flip"),
+            count((F.col("ow") == "wide") & (F.col("d") == "output") & (F.col("od") == "output"), "wide_out"), count(F.col("ow").isin("1bit", "small") & (F.col("d") == F.col("od")) & F.col("d").isin("output", "input"), "narrow"))
+        base = base.join(met, key, "left").na.fill(0, list(n))
+        n = {x: F.col(x) for x in n}
+    w, d = F.col("w"), F.col("d")
+    one, small, wide, out, inp, both = w == "1bit", w == "small", w == "wide", d == "output", d == "input", d == "inout"
+    alone = F.when(n["input"] == 0, n["wide_out"]).otherwise(0)
     score = {
-        "valid": F.when(one & out, F.when(F.col("driver_kind") == "register", 50).otherwise(30)).when(one & (d == "inout"), 5).otherwise(0),
-        "ready": F.when(one & inp, F.when(F.col("driver_kind") == "wire", 40).otherwise(30)).when(one & (d == "inout"), 5).otherwise(0),
-        "data": F.when(w == "wide", 30).otherwise(0),
-        "addr": F.when((w == "wide") & d.isin("output", "inout"), 30).otherwise(0),
-        "resp": F.when((w == "small") & inp, 40).otherwise(0),
-        "ctrl": F.when((w == "small") & ~inp, 30).otherwise(0),
+        "valid": F.when(one & out, F.when(F.col("driver_kind") == "register", 50).otherwise(30) + 20 * n["flip"] - 25 * alone).when(one & both, 5).otherwise(0),
+        "ready": F.when(one & inp, F.when(F.col("driver_kind") == "wire", 40).otherwise(30) + 20 * n["flip"]).when(one & both, 5).otherwise(0),
+        "data": F.when(wide, 30 + 10 * n["narrow"]).otherwise(0),
+        "addr": F.when(wide & (out | both), 30).otherwise(0),
+        "resp": F.when(small & inp, 40).otherwise(0),
+        "ctrl": F.when(small & ~inp, 30 - 10 * alone).otherwise(0),
+        "strb": F.when(one & out, 10).when(small & out, 30 * alone).otherwise(0),
+        "last": F.when(one & out, 10 + 35 * alone).otherwise(0),
     }
+    score = {k: F.greatest(F.lit(0), F.least(F.lit(100), score[k])) for k in ROLES}
     best = F.greatest(*score.values())
-    role = F.when(best < 30, "")
+    role = F.when(best < LEAST_ROLE, "")
     for k, v in score.items():
         role = role.when(v == best, k)
-    return signals.select("name", *[v.cast("bigint").alias(k) for k, v in score.items()], role.alias("role"))
+    return base.select(*key, *[v.cast("bigint").alias(k) for k, v in score.items()], role.alias("role"))
 
 
 def valid_ready_pairs(ports: DataFrame) -> DataFrame:
-    """ports (module, name, width) → (module, base, valid, ready): one-bit valid and ready of equal base in one module."""
+    """ports (module, name, width; direction if they have it) → (module, base, valid, ready): one-bit valid and ready of equal base
+    in one module, of opposite directions."""
+    if "direction" in ports.columns:
+        found = valid_ready_pairs(ports.drop("direction"))
+        of = lambda x: ports.select("module", F.col("name").alias(x), F.col("direction").alias(x[0])).distinct()
+        return found.join(of("valid"), ["module", "valid"]).join(of("ready"), ["module", "ready"]).where("v != r").select("module", "base", "valid", "ready")
     x = ports.where("width = 1").select("module", "name", F.lower("name").alias("n"))
     v = x.where(F.col("n").endswith("valid")).select("module", F.regexp_replace("n", "_?valid$", "").alias("base"), F.col("name").alias("valid"))
     r = x.where(F.col("n").endswith("ready")).select("module", F.regexp_replace("n", "_?ready$", "").alias("base"), F.col("name").alias("ready"))

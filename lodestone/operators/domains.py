@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..graph import PropertyGraph
-from ..storage import stored
+from ..storage import counted, stored
 from .traverse import reach
 
 
@@ -82,3 +82,63 @@ def register_steps(g: PropertyGraph) -> DataFrame:
     e = g.edges.where(~F.col("kind").isin("CLOCK", "RESET")).select("src", "dst").distinct()
     e = e.join(kinds.select(F.col("id").alias("src"), F.col("kind").alias("sk")), "src").join(kinds.select(F.col("id").alias("dst"), F.col("kind").alias("dk")), "dst")
     return e.where("dk = 'REG' and sk in ('REG', 'PORT_IN', 'SIGNAL')").select("src", "dst")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (src, dst) → (id, component: its least vertex) of the strongly connected components of two vertices or more; other
+    vertices are components of their own and not returned.
+
+    Vertices without a way in or a way out are taken off until none is left. Of the rest each gets the least vertex that
+    reaches it; that vertex and those of its colour that reach it back are a component, and the others go round again.
+    """
+    left, n = counted(edges.where("src != dst").select("src", "dst").distinct())
+    done = left.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    while n:
+        before = n
+        # A vertex that only leaves or only enters is on no cycle.
+        left, n = counted(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if n < before:
+            continue
+        colour = left.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id"))
+        while True:
+            told = left.join(colour.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "c")
+            new, changed = counted(colour.withColumnRenamed("c", "old").join(told.groupBy("id").agg(F.min("c").alias("c")), "id").where("c < old").select("id", "c"))
+            if not changed:
+                break
+            colour = stored(colour.join(new.withColumnRenamed("c", "n"), "id", "left").select("id", F.least("c", "n").alias("c")))
+        same = left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst").where("a = b")
+        roots = colour.where("id = c").select(F.col("id").alias("root"), "id")
+        found = stored(reach(same.select("src", "dst"), roots, reverse=True).select("id", F.col("root").alias("component")).union(roots.select("id", F.col("root").alias("component"))).distinct())
+        done = done.union(found)
+        taken = found.select("id")
+        left, n = counted(left.join(taken.withColumnRenamed("id", "src"), "src", "left_anti").join(taken.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+    sizes = done.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return done.join(sizes, "component", "left_semi").select("id", "component")
+
+
+def condensed(edges: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(src, dst): the edges between components, which are named by their least vertices; an acyclic graph."""
+    of = stored(components(edges)) if found is None else found
+    name = lambda end: of.select(F.col("id").alias(end), F.col("component").alias(end[0]))
+    out = edges.select("src", "dst").join(name("src"), "src", "left").join(name("dst"), "dst", "left")
+    return out.select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst")).where("src != dst").distinct()
+
+
+def conditions_of(g: PropertyGraph, id: str) -> DataFrame:
+    """(src, condition) of the edges with a condition into a vertex."""
+    return g.edges.where((F.col("dst") == id) & (F.col("condition") != "")).select("src", "condition").distinct()
+
+
+def unfinished(blocks: DataFrame, kind: str) -> DataFrame:
+    """blocks (id, kind, has_else): if-blocks without an else, case-blocks without a default."""
+    return blocks.where((F.col("kind") == kind) & ~F.col("has_else"))
+
+
+def steering(blocks: DataFrame, control: list[str], data: list[str]) -> DataFrame:
+    """blocks (id, variables: array): those with one of the control variables and one of the data variables."""
+    return blocks.where(F.arrays_overlap("variables", F.array(*map(F.lit, control))) & F.arrays_overlap("variables", F.array(*map(F.lit, data))))
+
+
+def dependent_conditions(conditions: DataFrame, name: str) -> DataFrame:
+    """conditions (condition): those that a name stands in."""
+    return conditions.where(F.array_contains(S.condition_signals(F.col("condition")), name))

@@ -85,3 +85,26 @@ def ancestors(parents: DataFrame, max_depth: int | None = None) -> DataFrame:
     steps = parents.select(F.col("id").alias("src"), F.col("parent").alias("dst")).where("dst is not null")
     starts = steps.select(F.col("src").alias("root"), F.col("src").alias("id"))
     return reach(steps, starts, max_depth).select(F.col("root").alias("id"), F.col("id").alias("ancestor"), "level")
+
+
+def subclasses(parents: DataFrame, of: str) -> DataFrame:
+    return parents.where(F.col("parent") == of).select("id")
+
+
+def descendants(parents: DataFrame, of: str, max_depth: int | None = None) -> DataFrame:
+    """(id, level): all that lie below."""
+    steps = parents.select(F.col("parent").alias("src"), F.col("id").alias("dst")).where("src is not null")
+    return reach(steps, roots(parents.sparkSession, [of]), max_depth).select("id", "level")
+
+
+def depths(parents: DataFrame) -> DataFrame:
+    """(id, depth, top): how far each lies below its topmost ancestor, and that; a root is its own, at depth 0."""
+    up = ancestors(parents).groupBy("id").agg(F.max("level").alias("depth"), F.max_by("ancestor", "level").alias("top"))
+    every = parents.select("id").union(parents.select("parent")).where("id is not null").distinct()
+    return every.join(up, "id", "left").select("id", F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"), F.coalesce("top", "id").alias("top"))
+
+
+def is_ancestor(parents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (ancestor, descendant) → those that are."""
+    a = ancestors(parents).select(F.col("id").alias("descendant"), "ancestor")
+    return pairs.join(a, ["ancestor", "descendant"], "left_semi")

@@ -5,7 +5,7 @@ import os
 import oracle
 import pytest
 
-from lodestone.plans import catalog
+from lodestone.plans import catalog, reports  # noqa: F401  reports adds its queries
 
 SF = "/root/testdata/sf0.001"
 
