@@ -317,13 +317,13 @@ def uncovered(spark, sf_dir):
     return coverage.uncovered(tables.table(spark, sf_dir, "documents").select("doc_id", "lang"), tables.table(spark, sf_dir, "labels"), "doc_id")
 
 
-@table_query("missing_cross", """WITH p AS (SELECT DISTINCT least(c_mktsegment, o_orderpriority) AS a, greatest(c_mktsegment, o_orderpriority) AS b FROM orders JOIN customer ON c_custkey = o_custkey), x AS (SELECT DISTINCT least(c_mktsegment, o_orderpriority) AS a, greatest(c_mktsegment, o_orderpriority) AS b FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' AND c_nationkey = 7)
+@table_query("missing_cross", """WITH p AS (SELECT DISTINCT least(c_mktsegment, o_orderpriority) AS a, greatest(c_mktsegment, o_orderpriority) AS b FROM orders JOIN customer ON c_custkey = o_custkey), x AS (SELECT DISTINCT least(c_mktsegment, o_orderpriority) AS a, greatest(c_mktsegment, o_orderpriority) AS b FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' AND c_nationkey = 7 AND c_acctbal < 1000)
 SELECT a, b FROM p EXCEPT SELECT a, b FROM x""")
 def missing_cross(spark, sf_dir):
     o = tables.table(spark, sf_dir, "orders").join(tables.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    pairs = o.select(F.col("c_mktsegment").alias("a"), F.col("o_orderpriority").alias("b"), "o_orderstatus", "c_nationkey")
+    pairs = o.select(F.col("c_mktsegment").alias("a"), F.col("o_orderpriority").alias("b"), "o_orderstatus", "c_nationkey", "c_acctbal")
     points = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    return coverage.missing_crosses(pairs.select("a", "b").distinct(), points, pairs.where("o_orderstatus = 'P' and c_nationkey = 7").select("a", "b"))
+    return coverage.missing_crosses(pairs.select("a", "b").distinct(), points, pairs.where("o_orderstatus = 'P' and c_nationkey = 7 and c_acctbal < 1000").select("a", "b"))
 
 
 @table_query("search_context", """WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),

@@ -80,7 +80,8 @@ graph_query("port_edges", "SELECT src AS port, 'input' AS side, dst AS src, src
 
 
 def _reversed(g: PropertyGraph) -> PropertyGraph:
-    return PropertyGraph(g.vertices, g.edges.withColumnsRenamed({"src": "dst", "dst": "src"}).select(*g.edges.columns))
+    back = {"src": F.col("dst").alias("src"), "dst": F.col("src").alias("dst")}
+    return PropertyGraph(g.vertices, g.edges.select(*[back.get(c, F.col(c)) for c in g.edges.columns]))
 
 
 graph_query("module_report", """, a AS (SELECT e.*, x.module AS sm, y.module AS dm FROM e JOIN v x ON x.id = e.src JOIN v y ON y.id = e.dst)
