@@ -294,7 +294,7 @@ def answers_of(chunks: DataFrame, per: DataFrame) -> DataFrame:
 
     The buckets are of `part`, so that alone is a key of the join; the chunk is compared in a form that is no second key.
     """
-    return chunks.join(per.hint("shuffle_hash"), (F.col("part") == F.col("p_")) & (F.col("chunk") - F.col("c_") == 0), "left").drop("p_", "c_", "part")
+    return chunks.join(per.hint("shuffle_hash"), (F.col("part") == F.col("p_")) & (F.col("chunk") - F.col("c_") == 0), "left").drop("p_", "c_")
 
 
 def unpack(df: DataFrame, others: list[str], results: dict[str, str]) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import answered, back, buckets, met, pack, sent_array, unpack
+from .common import answered, answers_of, back, buckets, met, pack, places_of, sent_array, unpack
 
 MIN_COUNT, MU = 2, 2.0
 CHUNK, BUCKET_BYTES = 4 << 20, 4 << 20
@@ -47,12 +47,30 @@ def by_bucket(keys: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
     return list(zip(found.tolist(), np.split(order[by], starts[1:]), strict=True)) if len(keys) else []
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as 64 bits by byte, the lowest first: what is zero in all of them compresses to nothing."""
+    return np.ascontiguousarray(x).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Sorted keys, as the steps between them."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unsteps(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(raw), dtype=np.uint64)
+
+
 def sent(keys: np.ndarray, counts: np.ndarray, n: int) -> pa.Array:
     """Keys and their counts (a row for each model), by bucket."""
     import zstandard
 
     zip_ = zstandard.ZstdCompressor(level=1)
-    return sent_array([(b, zip_.compress(keys[at].astype("<u8").tobytes() + counts[:, at].astype("<u4").tobytes())) for b, at in by_bucket(keys, n)], n)
+    return sent_array([(b, zip_.compress(steps(keys[at]) + planes(counts[:, at].ravel()))) for b, at in by_bucket(keys, n)], n)
 
 
 def sums_of(got: list[dict], keys: np.ndarray, n: int) -> np.ndarray:
@@ -61,7 +79,7 @@ def sums_of(got: list[dict], keys: np.ndarray, n: int) -> np.ndarray:
 
     unzip, blobs, out = zstandard.ZstdDecompressor(), {x["bucket"]: x["blob"] for x in got}, np.zeros((2, len(keys)), np.int64)
     for b, at in by_bucket(keys, n):
-        out[:, at] = np.frombuffer(unzip.decompress(blobs[b]), "<i8").reshape(2, -1)
+        out[:, at] = unplanes(unzip.decompress(blobs[b])).astype(np.int64).reshape(2, -1)
     return out
 
 
@@ -125,7 +143,7 @@ def score(df: DataFrame, target: Column, text_col: str = "text", min_count: int
     others = [c for c in df.columns if c != text_col]
     flagged = df.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(others)], F.coalesce(target, F.lit(False)).alias("target"), F.col(f"`{text_col}`").alias("text"))
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("bigint"))).first()[0] or 0
-    n = buckets(spark, total, BUCKET_BYTES)
+    n, places = buckets(spark, total, BUCKET_BYTES), places_of(spark, total)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
     place = len(others)
 
@@ -134,22 +152,32 @@ def score(df: DataFrame, target: Column, text_col: str = "text", min_count: int
         import zstandard
 
         number: dict[bytes, int] = {}
-        words = [[number.setdefault(w, len(number) + 3) for w in (t or b"").split()] for t in texts]
+        words = [[number.setdefault(w, len(number)) for w in (t or b"").split()] for t in texts]
         flags = np.array(rows.field(place).to_pylist(), bool)
-        keys = np.concatenate((np.array(MARKS, np.uint64), np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))))
         with np.errstate(over="ignore"):
-            keys = mix(keys)
-        t = Tokens(np.array([x for w in words for x in (*w, END)], np.int64), np.array([len(w) + 1 for w in words], np.int64), flags, keys)
+            keys = mix(np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number)))
+        order = np.argsort(keys, kind="stable")  # words are numbered by their keys, behind the marks
+        new = np.empty(len(order) + 1, np.int64)
+        new[order], new[-1] = np.arange(len(order)) + len(MARKS), END
+        token = new[np.array([x for w in words for x in (*w, -1)], np.int64)]
         z = zstandard.ZstdCompressor(level=1).compress
-        cells = {"token": z(planes(t.token)), "lens": z(planes(t.lens)), "flags": flags.tobytes(), "keys": keys.astype("<u8").tobytes()}
-        return {k: pa.array([v], pa.binary()) for k, v in cells.items()} | {"sent": sent(keys, t.counts(), n)}
+        cells = {"token": z(planes(token)), "lens": z(planes(np.array([len(w) + 1 for w in words]))), "flags": flags.tobytes(), "keys": z(steps(keys[order]))}
+        return {k: pa.array([v], pa.binary()) for k, v in cells.items()}
 
     def chunk_of(batch: pa.RecordBatch, row: int) -> tuple[Tokens, dict]:
         import zstandard
 
         cells = {c: batch.column(i)[row].as_py() for i, c in enumerate(batch.schema.names) if c != "rows"}
         unzip = zstandard.ZstdDecompressor().decompress
-        return Tokens(unplanes(unzip(cells["token"])), unplanes(unzip(cells["lens"])), np.frombuffer(cells["flags"], bool), np.frombuffer(cells["keys"], "<u8")), cells
+        with np.errstate(over="ignore"):
+            keys = np.concatenate((mix(np.array(MARKS, np.uint64)), unsteps(unzip(cells["keys"]))))
+        return Tokens(unplanes(unzip(cells["token"])).astype(np.int64), unplanes(unzip(cells["lens"])).astype(np.int64), np.frombuffer(cells["flags"], bool), keys), cells
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                t, _ = chunk_of(batch, row)
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("chunk")).slice(row, 1), sent(t.keys, t.counts(), n)], names=["chunk", "sent"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -161,33 +189,35 @@ def score(df: DataFrame, target: Column, text_col: str = "text", min_count: int
             for row in range(batch.num_rows):
                 got = batch.column(1)[row].as_py()
                 raw = [unzip.decompress(x["blob"]) for x in got]
-                sizes = [len(x) // 16 for x in raw]
-                all_keys, at = np.unique(np.concatenate([np.frombuffer(x, "<u8", k) for x, k in zip(raw, sizes, strict=True)]), return_inverse=True)
-                sums = np.stack([np.bincount(at, np.concatenate([np.frombuffer(x, "<u4", k, 8 * k + 4 * k * j) for x, k in zip(raw, sizes, strict=True)]), len(all_keys)).astype(np.int64) for j in (0, 1)])
+                sizes = [len(x) // 24 for x in raw]
+                all_keys, at = np.unique(np.concatenate([unsteps(x[: 8 * k]) for x, k in zip(raw, sizes, strict=True)]), return_inverse=True)
+                counts = np.concatenate([unplanes(x[8 * k :]).reshape(2, -1) for x, k in zip(raw, sizes, strict=True)], axis=1)
+                sums = np.stack([np.bincount(at, c, len(all_keys)).astype(np.int64) for c in counts])
                 ends = np.cumsum(sizes)
-                out = [zip_.compress(sums[:, at[b - k : b]].astype("<i8").tobytes()) for b, k in zip(ends.tolist(), sizes, strict=True)]
+                out = [zip_.compress(planes(sums[:, at[b - k : b]].ravel())) for b, k in zip(ends.tolist(), sizes, strict=True)]
                 # Totals, of use in the pass over words: known words, their tokens, those of rare ones, begin marks.
                 mark = np.isin(all_keys, marks)
                 known, rare = ~mark & (sums[0] >= min_count), ~mark & (sums[0] < min_count)
                 facts = [int(known.sum())] + [int(x) for m in (known, rare, all_keys == marks[BEGIN]) for x in sums[:, m].sum(axis=1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([[x["chunk"] for x in got]], pa.list_(pa.int64())), pa.array([out], pa.list_(pa.binary())), pa.array([facts], pa.list_(pa.int64()))], names=["bucket", "chunks", "answers", "facts"])
 
-    def summed(chunks: DataFrame, name: str) -> DataFrame:
-        out = met(chunks.select("chunk", "sent"), n, count, tasks).mapInArrow(add, "bucket int, chunks array<bigint>, answers array<binary>, facts array<bigint>")
+    def summed(asked: DataFrame, name: str) -> DataFrame:
+        out = met(asked, n, count, tasks).mapInArrow(add, "bucket int, chunks array<bigint>, answers array<binary>, facts array<bigint>")
         return answered(out, n, count, name, extra=("facts",))
 
     cols = ("token", "lens", "flags", "keys")
-    chunks = pack(flagged, "text", CHUNK, made=(split, ", ".join(f"{c} binary" for c in cols) + f", sent {common.SENT}"))
+    sent_type = f"chunk bigint, sent {common.SENT}"
+    chunks = pack(flagged, "text", CHUNK, places, (split, ", ".join(f"{c} binary" for c in cols)))
     count = chunks.count()
-    ones = summed(chunks, "words")
+    ones = summed(chunks.select("chunk", *cols).mapInArrow(ask_words, sent_type), "words")
     facts = [int(x or 0) for x in ones.where("facts is not null").agg(*[F.sum(F.col("facts")[i]) for i in range(7)]).first()]
     rare = np.array(facts[3:5])
     # In all rows, in target rows: tokens, end marks included, of which each row has one.
     tokens = np.array(facts[1:3]) + rare + np.array(facts[5:7])
     size = facts[0] + 2
     scale = tokens[1] / (tokens[0] - tokens[1]) if 0 < tokens[1] < tokens[0] else 1.0
-    per = back(ones, n, tasks).withColumnRenamed("chunk", "c_").withColumnRenamed("got", "words")
-    whole = chunks.drop("sent").join(per, F.col("chunk") == F.col("c_"), "left").drop("c_")
+    # Chunks stay where they lie; only answers are shuffled to them.
+    whole = answers_of(chunks, back(ones, n, tasks, places)).withColumnRenamed("got", "words")
 
     def with_words(batch: pa.RecordBatch, row: int) -> tuple[Tokens, np.ndarray, dict]:
         t, cells = chunk_of(batch, row)
@@ -219,18 +249,8 @@ def score(df: DataFrame, target: Column, text_col: str = "text", min_count: int
                 made += [pa.array([[None if x else float(v) for v, x in zip(col, empty, strict=True)]], pa.list_(pa.float64())) for col in (loss[0], loss[1], loss[0] - loss[1])]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("rows")).slice(row, 1), *made], names=["rows", "n", "t", "b", "s"])
 
-    slim = whole.select("chunk", *cols, "words").where("words is not null")
-    twos = summed(slim.mapInArrow(ask, f"chunk bigint, sent {common.SENT}"), "pairs")
-    per = back(twos, n, tasks).withColumnRenamed("chunk", "p_").withColumnRenamed("got", "pairs")
-    out = whole.join(per, F.col("chunk") == F.col("p_"), "left").select("rows", *cols, "words", "pairs")
+    twos = summed(whole.select("chunk", *cols, "words").mapInArrow(ask, sent_type), "pairs")
+    out = answers_of(whole, back(twos, n, tasks, places)).select("rows", *cols, "words", F.col("got").alias("pairs"))
     out = out.mapInArrow(join, f"rows {chunks.schema['rows'].dataType.simpleString()}, n array<bigint>, t array<double>, b array<double>, s array<double>")
     return unpack(out, others, {"n_tokens": "n", "h_target": "t", "h_background": "b", "score": "s"})
 
-
-def planes(x: np.ndarray) -> bytes:
-    """Numbers below 2^32 by byte, the lowest first: what is zero in all of them compresses to nothing."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
