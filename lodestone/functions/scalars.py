@@ -66,14 +66,21 @@ def width_class(width: Column) -> Column:
     return F.when(width <= 0, "unknown").when(width == 1, "1bit").when(width <= 8, "small").otherwise("wide")
 
 
-def normalise(name: Column) -> Column:
-    """The last segment of a name without subscripts, infixes, prefixes (as often as one is found), one suffix and underscores."""
-    x = F.regexp_replace(F.substring_index(name, ".", -1), r"\[[^\]]*\]", "")
-    for infix in INFIXES:
+def normalised(name: Column, prefixes: tuple[str, ...] = PREFIXES, suffixes: tuple[str, ...] = SUFFIXES, infixes: tuple[str, ...] = INFIXES, last: bool = True, subscripts: bool = True, underscores: bool = True) -> Column:
+    """The last segment of a name without subscripts, infixes, prefixes (as often as one is found), one suffix and underscores.
+    Infixes are taken out one after the other, the longest first. last, subscripts and underscores turn their steps off."""
+    x = F.substring_index(name, ".", -1) if last else name
+    x = F.regexp_replace(x, r"\[[^\]]*\]", "") if subscripts else x
+    for infix in sorted(infixes, key=len, reverse=True):
         x = F.replace(x, F.lit(infix), F.lit("_"))
-    x = F.regexp_replace(x, rf"^(?:{_any_of(PREFIXES)})+(?=.)", "")
-    x = F.regexp_replace(x, rf"(?<=.)(?:{_any_of(SUFFIXES)})$", "")
-    return F.replace(x, F.lit("_"), F.lit(""))
+    x = F.regexp_replace(x, rf"^(?:{_any_of(prefixes)})+(?=.)", "") if prefixes else x
+    x = F.regexp_replace(x, rf"(?<=.)(?:{_any_of(suffixes)})$", "") if suffixes else x
+    return F.replace(x, F.lit("_"), F.lit("")) if underscores else x
+
+
+def normalise(name: Column) -> Column:
+    """normalised() by the built-in affixes."""
+    return normalised(name)
 
 
 def current_state(condition: Column, state: str) -> Column:

@@ -27,14 +27,15 @@ def node_class(control: tuple[str, ...] = S.CONTROL_NAMES, data: tuple[str, ...]
     return cls.otherwise("UNKNOWN"), conf.otherwise(0)
 
 
-def nodes(g: PropertyGraph) -> DataFrame:
-    cls, conf = node_class()
+def nodes(g: PropertyGraph, control: tuple[str, ...] = S.CONTROL_NAMES, data: tuple[str, ...] = S.DATA_NAMES) -> DataFrame:
+    """(id, class, confidence in hundredths); control and data: what names of each class contain (sources.config.patterns)."""
+    cls, conf = node_class(control, data)
     return g.vertices.select("id", cls.alias("class"), conf.cast("bigint").alias("confidence"))
 
 
-def edges(g: PropertyGraph) -> DataFrame:
+def edges(g: PropertyGraph, control: tuple[str, ...] = S.CONTROL_NAMES, data: tuple[str, ...] = S.DATA_NAMES) -> DataFrame:
     """(src, dst, kind, condition, class, key_control, confidence in hundredths) of every edge."""
-    n = nodes(g)
+    n = nodes(g, control, data)
     e = g.edges.join(n.select(F.col("id").alias("src"), F.col("class").alias("s")), "src", "left").join(n.select(F.col("id").alias("dst"), F.col("class").alias("d")), "dst", "left").na.fill("UNKNOWN", ["s", "d"])
     s, d, kind = F.col("s"), F.col("d"), F.col("kind")
     rules = [
