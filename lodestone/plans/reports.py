@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..graph import PropertyGraph
-from ..operators import domains, handshake, passes, ports, reports, traverse
-from ..sources import tables
+from ..operators import decompose, domains, handshake, passes, ports, reports, traverse
+from ..sources import export, tables
 from .catalog import CLASS, DOM, EDGE_CLASS, G, big, graph_query, starts, table_query
 
 PORTS = "prt AS (SELECT DISTINCT 's.'||l_suppkey||'.p.'||l_partkey AS inst_port, 's.'||l_suppkey AS instance, 'p.'||l_partkey AS internal FROM lineitem)"
@@ -213,3 +213,26 @@ table_query("expression_atoms", "SELECT p_partkey, 'a' || p_size || '[3:0],b.c,'
 table_query("name_colours", "SELECT n_name, '#' || CASE WHEN r + g + b < 350 THEN printf('%02x%02x%02x', greatest(r, 80), greatest(g, 80), greatest(b, 80)) ELSE printf('%02x%02x%02x', r, g, b) END AS colour FROM (SELECT n_name, CAST('0x' || substr(md5(n_name), 1, 2) AS INT) AS r, CAST('0x' || substr(md5(n_name), 3, 2) AS INT) AS g, CAST('0x' || substr(md5(n_name), 5, 2) AS INT) AS b FROM nation)")(lambda spark, sf_dir: tables.table(spark, sf_dir, "nation").select("n_name", S.colour(F.col("n_name")).alias("colour")))
 graph_query("data_flow", EDGE_CLASS.replace("SELECT class, kind, key_control, confidence, count(*) AS n FROM (", "SELECT class, kind, count(*) AS n FROM (").replace("GROUP BY 1, 2, 3, 4", "WHERE class = 'DATA' OR key_control GROUP BY 1, 2"))(lambda g: reports.data_flow(g).groupBy("class", "kind").agg(F.count("*").alias("n")))
 graph_query("data_path", CLASS + "SELECT id FROM cls WHERE class IN ('DATA', 'CONTROL')")(reports.data_path)
+
+# Atoms, evidence, views
+
+
+@graph_query("signal_atoms", """, f AS (SELECT DISTINCT dst AS root, unnest(regexp_extract_all(condition, '[A-Za-z_$][A-Za-z0-9_$.]*')) AS atom FROM top WHERE condition <> '' UNION SELECT dst, src FROM top WHERE condition <> ''),
+a(root, id, level) AS (SELECT root, atom, CAST(0 AS BIGINT) FROM f UNION SELECT a.root, t.src, a.level + 1 FROM a JOIN v ON v.id = a.id AND NOT v.is_port JOIN top t ON t.dst = a.id)
+SELECT root, id AS atom, min(level) AS level FROM a GROUP BY 1, 2""")
+def signal_atoms(g: PropertyGraph) -> DataFrame:
+    """Every vertex as a signal, each edge's expression being its source's name."""
+    return decompose.atoms(PropertyGraph(g.vertices, g.edges.withColumn("expression", F.col("src"))), g.vertices.select(F.col("id").alias("root")), None)
+
+
+@table_query("order_evidence", """SELECT id, expression, CAST(1 AS BIGINT) AS snippets, x AS matches_expression, n AS matches_name, CAST(2 + CASE WHEN x THEN 4 ELSE 0 END + CASE WHEN n THEN 2 ELSE 0 END + CASE WHEN x AND n THEN 2 ELSE 0 END AS BIGINT) AS credibility, x OR n AS verified
+FROM (SELECT 'o.'||o_orderkey AS id, expression, contains(t, expression) AS x, contains(t, CAST(o_orderkey AS VARCHAR)) AS n FROM (SELECT o_orderkey, o_orderpriority AS expression, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority || ' F' ELSE o_orderkey || ' ' || o_orderstatus END AS t FROM orders))""")
+def order_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order; finished ones have a snippet with their priority, others one with their key."""
+    o = tables.table(spark, sf_dir, "orders").withColumn("id", F.concat(F.lit("o."), "o_orderkey"))
+    text = F.when(F.col("o_orderstatus") == "F", F.concat("o_orderpriority", F.lit(" F"))).otherwise(F.concat_ws(" ", "o_orderkey", "o_orderstatus"))
+    return decompose.evidence(tables.trade(spark, sf_dir), o.select("id"), o.select("id", F.lit("always").alias("kind"), text.alias("text")))
+
+
+graph_query("view_nodes", CLASS + "SELECT v.id, v.kind, CAST(greatest(0, width_msb - width_lsb + 1) AS BIGINT) AS width, c.class, CASE WHEN greatest(fan_in, fan_out) >= 5 THEN 'HIGH' WHEN greatest(fan_in, fan_out) >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM v JOIN cls c ON c.id = v.id JOIN deg ON deg.id = v.id")(
+    lambda g: export.view_nodes(g).select("id", "kind", "width", "class", "risk"))
