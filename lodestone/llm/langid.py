@@ -19,6 +19,7 @@ DIMS = 1 << 13
 #: Bound of the sample that a model is fitted on: distinct texts of each language. Longer texts than so many bytes are taken
 #: only where a language has too few others.
 TRAIN_PER_LANG, TRAIN_TEXT_BYTES = 600, 20_000
+LANES = 16  # in which a label's texts are ranked first; the last step reads at most LANES * TRAIN_PER_LANG of each label
 CENTROIDS, ROUNDS = 4, 12
 
 
@@ -108,8 +109,11 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", centroids
     named = usable.select("l", "t", F.xxhash64("t").alias("h"))
     # Distinct texts are ranked by their hashes; texts themselves are only read again for those that are chosen.
     distinct = named.select("l", "h", (F.octet_length("t") > TRAIN_TEXT_BYTES).alias("long")).distinct()
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("long", "h"))
-    chosen = distinct.withColumn("r", rank).where(F.col("r") <= TRAIN_PER_LANG).select("l", "h")
+    # The first of a label are among the first of its lanes, so no task ranks a whole label.
+    chosen = distinct.withColumn("lane", F.pmod("h", F.lit(LANES)))
+    for by in (("l", "lane"), ("l",)):
+        chosen = chosen.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("long", "h"))).where(F.col("r") <= TRAIN_PER_LANG)
+    chosen = chosen.select("l", "h")
     sample = named.join(chosen, ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
 
     def run(batches):
