@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lm, quality, simhash, substring_dedup, suffix_dedup, token_files, warc
+from . import bpe, decontaminate, langid, lm, quality, simhash, substring_dedup, suffix_dedup, token_files, trie, warc
 from .common import read
 
 
@@ -95,6 +95,45 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.count_documents(spark, docs, *vocabulary()).select("doc_id", "n_tokens")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation begins with the first h turns of the one whose id is the multiple of five below, h by its own id."""
+    c = F.col("c")
+    heads = F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(9))
+    return trie.trie(*trie.rebuilt(trie.turns(read(spark, sf_dir, "conversations")), c - c % 5, heads, 8)).drop("n_ends")
+
+
+#: Nodes are met by the list of their turns' hashes; a node's subtree is found by the conversations that stand for its nodes.
+OP11_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS dig, strlen(coalesce(text, '')) AS size, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, dig, size, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, dig) AS p FROM t),
+h AS (
+  SELECT c, c - c % 5 AS b, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, x: list_reduce(list_concat([xor(crc, x)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 9 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+taken AS (SELECT h.c, n.p, n.dig, n.size FROM h JOIN n ON n.c = h.b AND n.p <= h.h),
+k AS (SELECT c, count(*) AS k FROM taken GROUP BY c),
+r AS (
+  SELECT * FROM taken
+  UNION ALL SELECT n.c, n.p - h.h + coalesce(k.k, 0), n.dig, n.size FROM n JOIN h ON h.c = n.c AND n.p > h.h LEFT JOIN k ON k.c = n.c),
+chain AS (
+  SELECT c, p AS d, size, sha256(string_agg(dig, '') OVER w) AS node, p = max(p) OVER (PARTITION BY c) AS last FROM r WINDOW w AS (PARTITION BY c ORDER BY p)
+  UNION ALL SELECT c, 0, 0, 'root', c NOT IN (SELECT c FROM r) FROM h),
+links AS (SELECT c, d, size, node, last, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent FROM chain),
+nodes AS (
+  SELECT node, min(c) AS conv_id, any_value(d) AS depth, any_value(parent) AS parent, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256
+  FROM links GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+  SELECT l.node, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves, sum((m.n_convs - 1) * m.size) AS saved
+  FROM nodes m JOIN links l ON l.c = m.conv_id AND l.d <= m.depth LEFT JOIN kids ON kids.node = m.node GROUP BY l.node)
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, a.n_convs, coalesce(kids.n, 0) AS n_children, below.n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM nodes a JOIN below ON below.node = a.node LEFT JOIN kids ON kids.node = a.node LEFT JOIN nodes p ON p.node = a.parent
+"""
+
+
 #: Name: query, DuckDB SQL or None.
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_quality": (op1_quality, None),
@@ -107,4 +146,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_decontamination": (op8_decontamination, None),
     "op9_language": (op9_language, None),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
 }
