@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lm, quality, simhash, substring_dedup, suffix_dedup, token_files, trie, warc
+from . import ann, bpe, decontaminate, langid, lm, quality, simhash, substring_dedup, suffix_dedup, token_files, trie, warc
 from .common import read
 
 
@@ -134,6 +134,10 @@ FROM nodes a JOIN below ON below.node = a.node LEFT JOIN kids ON kids.node = a.n
 """
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 #: Name: query, DuckDB SQL or None.
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_quality": (op1_quality, None),
@@ -147,4 +151,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_language": (op9_language, None),
     "op10_token_counts": (op10_token_counts, None),
     "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
+    "op12_neighbours": (op12_neighbours, None),
 }
