@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, langid, lm, quality, simhash, substring_dedup, suffix_dedup, token_files, trie, warc
+from . import ann, bpe, decontaminate, langid, lm, phrases, quality, simhash, substring_dedup, suffix_dedup, token_files, trie, warc
 from .common import read
 
 
@@ -138,6 +138,30 @@ def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+#: Every contiguous sequence of up to five words of a piece is counted; the rest is the contract's arithmetic in 128 bits.
+OP13_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+ws AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: list_slice(w, i, i + m - 1))) AS g FROM ws, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM ws GROUP BY lang),
+inner_ AS (SELECT lang, list_slice(g, s, s + m - 1) AS g, max(f) AS most FROM (SELECT lang, g, f, unnest([1, 2]) AS s, m - 1 AS m FROM f WHERE m > 2) GROUP BY ALL),
+kept AS (SELECT f.* FROM f LEFT JOIN inner_ i ON i.lang = f.lang AND i.g = f.g WHERE f.m > 1 AND (i.most IS NULL OR i.most < f.f)),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, c.k, x.f AS l, y.f AS r, CAST(n.n AS BIGINT) AS n, 1000::HUGEINT * c.f * CAST(n.n AS HUGEINT) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept) c JOIN n ON n.lang = c.lang
+  JOIN f x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, c.k) JOIN f y ON y.lang = c.lang AND y.g = list_slice(c.g, c.k + 1, c.m)),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+out AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM best)
+SELECT * FROM out WHERE rank <= 2000
+"""
+
+
 #: Name: query, DuckDB SQL or None.
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_quality": (op1_quality, None),
@@ -152,4 +176,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op10_token_counts": (op10_token_counts, None),
     "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
     "op12_neighbours": (op12_neighbours, None),
+    "op13_collocations": (op13_collocations, OP13_SQL),
 }
