@@ -129,9 +129,9 @@ def _projected(tokens: bytes, own: np.ndarray, ids: np.ndarray, fs: np.ndarray,
     padded, heat = np.concatenate((word, np.zeros(longest, np.int64))), np.concatenate((warm, np.zeros(longest, bool)))
     rows = np.stack([padded[starts + j] for j in range(longest)], axis=1)
     rows[np.cumsum(rows == 0, axis=1) > 0] = 0
-    # The prefix: words up to the first that isn't hot, or all.
+    # The prefix: words up to the first that isn't hot, or all. Where a row ends before that, what ends it is part of the prefix.
     hots = np.stack([heat[starts + j] for j in range(longest)], axis=1) & (rows > 0)
-    depth = np.minimum(np.cumprod(hots, axis=1).sum(axis=1) + 1, (rows > 0).sum(axis=1))
+    depth = np.minimum(np.cumprod(hots, axis=1).sum(axis=1) + 1, longest)
     order = np.lexsort(rows.T[::-1])
     rows, depth = rows[order], depth[order]
     new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1))))
