@@ -1,9 +1,11 @@
 """Phrases of words that stand together more often than chance has it, found by growing frequent prefixes.
 
-Words are counted in the whole corpus, by language; frequent ones get numbers. A chunk of documents then projects the corpus:
-each occurrence of a frequent word becomes a pointer that carries the frequent words right of it in its piece (four at most),
-equal ones are counted once, and pointers go to the task of their prefix. A task extends its prefixes to the right, depth
-first: pointers are sorted by their next word, each run that is frequent is a phrase, and its pointers are extended in turn.
+Words are counted in the whole corpus, by language; frequent ones get numbers. Then pairs of them are counted: a chunk of
+documents sends its distinct pairs to buckets and gets a bit back for each. Then it projects the corpus: each occurrence of a
+frequent pair that another one follows becomes a pointer, which carries the words right of it as far as they are frequent
+pairs (five words at most). Equal ones are counted once, and pointers go to the task of their prefix. A task extends its
+prefixes to the right, depth first: pointers are sorted by their next word, each run that is frequent is a phrase, and its
+pointers are extended in turn.
 
 A prefix belongs to one task, and no task has more than HOT pointers of one prefix: a pointer's prefix is its first word, or as
 many words as it takes until one of them is found at most HOT times. Counts of phrases that are shorter than that are partial
@@ -20,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import buckets, met, pack, sent_array, written
+from .common import answered, answers_of, back, buckets, met, pack, part, places_of, sent_array, written
+from .lm import planes, unplanes
 
 #: Occurrences that make a phrase frequent, words of the longest, phrases of a language that are returned.
 LEAST, LONGEST, MOST = 100, 5, 2000
@@ -47,33 +50,62 @@ def phrases(df: DataFrame, text_col: str, lang_col: str, least: int, longest: in
     n = buckets(spark, size, BUCKET_BYTES)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
     kinds = "langs array<string>, numbers array<int>, words array<binary>, counts array<bigint>, tokens binary"
-    chunks = pack(slim, "text", CHUNK, made=(_tokens, kinds))
+    places = places_of(spark, size)
+    kinds = "langs array<string>, numbers array<int>, words array<binary>, counts array<bigint>, tokens binary"
+    chunks = pack(slim, "text", CHUNK, places, (_tokens, kinds))
     count = chunks.count()
     each = chunks.select("chunk", F.posexplode(F.arrays_zip("numbers", "words", "counts")).alias("i", "w"), "langs")
     each = each.select("chunk", "i", F.get("langs", F.col("w.numbers")).alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("k"))
     sums = written(each.groupBy("lang", "word").agg(F.sum("k").alias("f")), "words")
     totals = sums.groupBy("lang").agg(F.sum("f").alias("n"))
     words = _numbered(sums.where(F.col("f") >= least))
-    # What a chunk's own numbers of words are in the corpus, and how often these are found; a chunk's frequent words only.
-    known = each.join(words, ["lang", "word"]).groupBy("chunk").agg(F.collect_list("i").alias("own"), F.collect_list("id").alias("ids"), F.collect_list("f").alias("fs"))
-    known = known.select(F.col("chunk").alias("c_"), "own", "ids", "fs")
+    # What a chunk's own numbers of words are in the corpus, hot ones below zero; a chunk's frequent words only.
+    known = each.join(words, ["lang", "word"]).select("chunk", "i", F.when(F.col("f") > hot, -F.col("id")).otherwise(F.col("id")).alias("id"))
+    known = known.withColumn("p_", part()).repartition(places, "p_").groupBy("p_", F.col("chunk").alias("c_")).agg(F.collect_list("i").alias("own"), F.collect_list("id").alias("ids"))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                tokens, own, ids = (batch.column(i)[row] for i in range(2, 5))
+                coded = _coded(tokens.as_py(), *((x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64)) for x in (own, ids)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([coded], pa.binary())], names=["chunk", "part", "words"])
+
+    coded = answers_of(chunks.select("chunk", "part", "tokens"), known).select("chunk", "part", "tokens", "own", "ids")
+    coded = written(coded.mapInArrow(code, "chunk bigint, part int, words binary"), "coded", (places, "part"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), sent_array(Pairs(batch.column(1)[row].as_py(), n).sent(), n)], names=["chunk", "sent"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                got = batch.column(1)[row].as_py()
+                answers, ids, fs = _frequent_pairs([x["blob"] for x in got], least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([[x["chunk"] for x in got]], pa.list_(pa.int64())), pa.array([answers], pa.list_(pa.binary())), pa.array([ids], pa.list_(pa.list_(pa.int64()))), pa.array([fs], pa.list_(pa.int64()))], names=["bucket", "chunks", "answers", "ids", "fs"])
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                tokens, own, ids, fs = (batch.column(i)[row] for i in range(1, 5))
-                got = _projected(tokens.as_py(), *(x.values.to_numpy(zero_copy_only=False) for x in (own, ids, fs)), longest, hot, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), sent_array(got, n)], names=["chunk", "sent"])
+                pairs = Pairs(batch.column(1)[row].as_py(), n)
+                found = _projected(pairs, pairs.frequent(batch.column(2)[row].as_py() or []), longest, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), sent_array(found, n)], names=["chunk", "sent"])
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 yield from _grown([x["blob"].as_py() for x in batch.column(0)[row]], longest, least)
 
-    pointers = chunks.join(known, F.col("chunk") == F.col("c_")).select("chunk", "tokens", "own", "ids", "fs").mapInArrow(project, f"chunk bigint, sent {common.SENT}")
+    sent_type = f"chunk bigint, sent {common.SENT}"
+    asked = met(coded.select("chunk", "words").mapInArrow(ask, sent_type), n, count, tasks)
+    asked = asked.mapInArrow(add, "bucket int, chunks array<bigint>, answers array<binary>, ids array<array<bigint>>, fs array<bigint>")
+    twos = answered(asked, n, count, "pairs", extra=("ids", "fs"))
+    pairs = twos.where("ids is not null").select(F.explode(F.arrays_zip("ids", "fs")).alias("x")).select("x.ids", F.col("x.fs").alias("a"))
+    pointers = answers_of(coded, back(twos, n, tasks, places)).select("chunk", "words", "got").mapInArrow(project, sent_type)
     got = met(pointers, n, count, tasks).select("met").mapInArrow(grow, "ids array<bigint>, a bigint")
-    found = got.groupBy("ids").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
-    return words, totals, written(found, "phrases")
+    longer = got.groupBy("ids").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    return words, totals, written(pairs.unionByName(longer) if longest > 2 else pairs, "phrases")
 
 
 def _tokens(texts: list[bytes | None], rows: pa.StructArray) -> dict[str, pa.Array]:
@@ -112,41 +144,111 @@ def _numbered(words: DataFrame) -> DataFrame:
     return written(out.select("lang", "word", (F.col("first") + F.col("i_") + 1).alias("id"), "f"), "frequent")
 
 
-def _projected(tokens: bytes, own: np.ndarray, ids: np.ndarray, fs: np.ndarray, longest: int, hot: int, n: int) -> list[tuple[int, bytes]]:
-    """(bucket, pointers) of a chunk: distinct rows of `longest` ids, 0 behind the last, how often each is found, and how many
-    of its words are its prefix. A word that isn't frequent ends the row, and rows of one word are left out."""
+def _coded(tokens: bytes, own: np.ndarray, ids: np.ndarray) -> bytes:
+    """A chunk's words by their numbers in the corpus, 0 where there is none, one after the other."""
     import zstandard
 
-    zip_, t = zstandard.ZstdCompressor(level=1), np.frombuffer(zstandard.ZstdDecompressor().decompress(tokens), "<i4").astype(np.int64)
-    number = np.zeros(int(max(t.max(initial=-1), own.max(initial=-1))) + 2, np.int64)
+    t = np.frombuffer(zstandard.ZstdDecompressor().decompress(tokens), "<i4")
+    number = np.zeros(int(max(t.max(initial=-1), own.max(initial=-1))) + 2, np.int64)  # -1 is the last place
     number[own] = ids
-    rank = np.zeros(len(number), bool)
-    rank[own] = fs > hot
-    word, warm = number[t], rank[t]  # -1 is the last place, which is 0
-    starts = np.flatnonzero((word[:-1] > 0) & (word[1:] > 0))
-    if not len(starts):
+    word = number[t]
+    kind = "<i4" if np.abs(word).max(initial=0) < 1 << 31 else "<i8"
+    return kind.encode() + zstandard.ZstdCompressor(level=1).compress(word.astype(kind).tobytes())
+
+
+def _mixed(columns: list[np.ndarray], n: int) -> np.ndarray:
+    """Buckets of rows of numbers."""
+    key = np.zeros(len(columns[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for c in columns:
+            key = (key ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+    return ((key >> np.uint64(11)) % np.uint64(n)).astype(np.int64)
+
+
+def _by(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(bucket, its places)."""
+    order = np.argsort(bucket, kind="stable")
+    found, at = np.unique(bucket[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, at[1:]), strict=True)) if len(bucket) else []
+
+
+class Pairs:
+    """The words of a chunk, where two frequent ones stand together, and the distinct pairs of these."""
+
+    def __init__(self, words: bytes, n: int) -> None:
+        import zstandard
+
+        word = np.frombuffer(zstandard.ZstdDecompressor().decompress(words[3:]), words[:3].decode()).astype(np.int64)
+        self.word, self.hot = np.abs(word), word < 0
+        self.starts = np.flatnonzero((self.word[:-1] > 0) & (self.word[1:] > 0))
+        own, local = np.unique(self.word, return_inverse=True)
+        pair, self.pair, self.counts = np.unique(local[self.starts] * len(own) + local[self.starts + 1], return_inverse=True, return_counts=True)
+        self.left, self.right = own[pair // len(own)], own[pair % len(own)]
+        self.by = _by(_mixed([self.left, self.right], n)) if len(pair) else []
+
+    def sent(self) -> list[tuple[int, bytes]]:
+        import zstandard
+
+        zip_ = zstandard.ZstdCompressor(level=1)
+        return [(b, zip_.compress(b"".join(planes(x) for x in (np.diff(self.left[at], prepend=0), self.right[at], self.counts[at])))) for b, at in self.by]
+
+    def frequent(self, got: list[dict]) -> np.ndarray:
+        """Whether a frequent pair begins at each place, by the buckets' answers."""
+        blobs = {x["bucket"]: x["blob"] for x in got}
+        yes = np.zeros(len(self.left), bool)
+        for b, at in self.by:
+            yes[at] = np.unpackbits(np.frombuffer(blobs[b], np.uint8), count=len(at)).astype(bool)
+        out = np.zeros(len(self.word), bool)
+        out[self.starts] = yes[self.pair]
+        return out
+
+
+def _frequent_pairs(blobs: list[bytes], least: int) -> tuple[list[bytes], list[list[int]], list[int]]:
+    """For each chunk's pairs a bit, whether they are frequent in all; the frequent pairs and their counts."""
+    import zstandard
+
+    unzip, cols = zstandard.ZstdDecompressor(), []
+    for blob in blobs:
+        raw = unzip.decompress(blob)
+        left, right, counts = (unplanes(raw[i * len(raw) // 3 : (i + 1) * len(raw) // 3]).astype(np.int64) for i in range(3))
+        cols.append((np.cumsum(left), right, counts))
+    left, right, counts = (np.concatenate(x) for x in zip(*cols, strict=True))
+    order = np.lexsort((right, left))
+    a, b = left[order], right[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    sums = np.add.reduceat(counts[order], first)
+    yes = np.zeros(len(left), bool)
+    yes[order] = np.repeat(sums >= least, np.diff(np.append(first, len(order))))
+    ends = np.cumsum([len(x[0]) for x in cols])
+    some = sums >= least
+    return [np.packbits(x).tobytes() for x in np.split(yes, ends[:-1])], np.stack((a[first][some], b[first][some]), axis=1).tolist(), sums[some].tolist()
+
+
+def _projected(pairs: Pairs, frequent: np.ndarray, longest: int, n: int) -> list[tuple[int, bytes]]:
+    """(bucket, pointers) of a chunk: distinct rows of three to `longest` ids, 0 behind the last, how often each is found, and how
+    many of its words are its prefix. A row ends where its words are no frequent pair."""
+    import zstandard
+
+    zip_ = zstandard.ZstdCompressor(level=1)
+    starts = np.flatnonzero(frequent[:-1] & frequent[1:])
+    if not len(starts) or longest < 3:
         return []
-    padded, heat = np.concatenate((word, np.zeros(longest, np.int64))), np.concatenate((warm, np.zeros(longest, bool)))
-    rows = np.stack([padded[starts + j] for j in range(longest)], axis=1)
-    rows[np.cumsum(rows == 0, axis=1) > 0] = 0
+    pad = lambda x: np.concatenate((x, np.zeros(longest, x.dtype)))
+    word, hot, pair = pad(pairs.word), pad(pairs.hot), pad(frequent)
+    goes = np.cumprod(np.stack([pair[starts + j] for j in range(longest - 1)], axis=1), axis=1)
+    rows = np.stack([word[starts + j] for j in range(longest)], axis=1)
+    rows[:, 1:] *= goes
     # The prefix: words up to the first that isn't hot, or all. Where a row ends before that, what ends it is part of the prefix.
-    hots = np.stack([heat[starts + j] for j in range(longest)], axis=1) & (rows > 0)
+    hots = np.stack([hot[starts + j] for j in range(longest)], axis=1) & (rows > 0)
     depth = np.minimum(np.cumprod(hots, axis=1).sum(axis=1) + 1, longest)
     order = np.lexsort(rows.T[::-1])
     rows, depth = rows[order], depth[order]
     new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1))))
     counts, rows, depth = np.diff(np.append(new, len(rows))), rows[new], depth[new]
-    key = np.zeros(len(rows), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(longest):
-            key = np.where(depth > j, (key ^ rows[:, j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15), key)
-            key ^= key >> np.uint64(29)
-    bucket = ((key >> np.uint64(11)) % np.uint64(n)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    found, at = np.unique(bucket[by], return_index=True)
     kind = "<i4" if rows.max() < 1 << 31 else "<i8"
     out = []
-    for b, where in zip(found.tolist(), np.split(by, at[1:]), strict=True):
+    for b, where in _by(_mixed([np.where(depth > j, rows[:, j], 0) for j in range(longest)], n)):
         raw = rows[where]
         raw[:, 0] = np.diff(raw[:, 0], prepend=0)
         out.append((b, kind.encode() + zip_.compress(b"".join((depth[where].astype("<i1").tobytes(), counts[where].astype("<i4").tobytes(), _planes(raw.astype(kind)))))))
@@ -172,8 +274,8 @@ def _pointers(blob: bytes, longest: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _grown(blobs: list[bytes], longest: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Phrases and their counts among the pointers of a task: all frequent ones under its prefixes, and of those that are
-    shorter than their pointers' prefix whatever is there, as other tasks have more."""
+    """Phrases of three words or more and their counts among the pointers of a task: all frequent ones under its prefixes, and of
+    those that are shorter than their pointers' prefix whatever is there, as other tasks have more."""
     rows, counts, depth = (np.concatenate(x) for x in zip(*(_pointers(b, longest) for b in blobs), strict=True))
     out, sums, held = [], [], 0
 
@@ -193,7 +295,7 @@ def _grown(blobs: list[bytes], longest: int, least: int) -> Iterator[pa.RecordBa
         ends = np.append(first[1:], len(at))
         for i in go.tolist():
             longer = [*prefix, int(word[first[i]])]
-            if done:
+            if done > 1:
                 out.append(longer)
                 sums.append(int(sums_[i]))
                 held += 1
