@@ -60,7 +60,8 @@ def phrases(df: DataFrame, text_col: str, lang_col: str, least: int, longest: in
     totals = sums.groupBy("lang").agg(F.sum("f").alias("n"))
     words = _numbered(sums.where(F.col("f") >= least))
     # What a chunk's own numbers of words are in the corpus, hot ones below zero; a chunk's frequent words only.
-    known = each.join(words, ["lang", "word"]).select("chunk", "i", F.when(F.col("f") > hot, -F.col("id")).otherwise(F.col("id")).alias("id"))
+    # Words grow with the corpus, so they are joined by a shuffle at every size, never broadcast while they are few.
+    known = each.join(words.hint("merge"), ["lang", "word"]).select("chunk", "i", F.when(F.col("f") > hot, -F.col("id")).otherwise(F.col("id")).alias("id"))
     known = known.withColumn("p_", part()).repartition(places, "p_").groupBy("p_", F.col("chunk").alias("c_")).agg(F.collect_list("i").alias("own"), F.collect_list("id").alias("ids"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
