@@ -137,8 +137,14 @@ def _set(spark: SparkSession, confs: dict[str, str]) -> Iterator[None]:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    scratch_root(df.sparkSession)
-    return df.checkpoint()
+    """df.checkpoint(); its files are scratch like others, and removed with them."""
+    spark = df.sparkSession
+    scratch_root(spark)
+    out = df.checkpoint()
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _made.append((spark, file.get()))
+    return out
 
 
 def buckets(spark: SparkSession, total_bytes: int, per_bucket: int) -> int:

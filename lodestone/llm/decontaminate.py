@@ -57,7 +57,7 @@ def _window(w: Column, pos: Column, size: Column) -> Column:
 
 def hits(docs: DataFrame, table: DataFrame, sizes: list[int]) -> DataFrame:
     """docs (key, w: words), table (gram_id, size, gram; broadcast) → (key, n_words, pos, size, gram_id), a row for each
-    occurrence of a gram of the sizes, and one with pos -1 for each document, so that texts are split in one scan only."""
+    occurrence of a gram of the sizes, and one with pos -1 for each document. Texts are split once for each size."""
     if not sizes:
         return docs.select("key", F.size("w").cast("bigint").alias("n_words"), F.lit(-1).alias("pos"), F.lit(0).alias("size"), F.lit(None).cast("bigint").alias("gram_id"))
     # The outer form: the plain one would split texts once more in a filter.
@@ -94,8 +94,8 @@ def shuffled_hits(docs: DataFrame, table: DataFrame, sizes: list[int]) -> DataFr
     found = probes[0]
     for p in probes[1:]:
         found = found.unionByName(p)
-    # The places of one row: at most its own words, for each size.
-    places = found.groupBy("row").agg(F.collect_list(F.struct("pos", "size")).alias("at"))
+    # The places of one row, each once however often the row is repeated: at most its own words, for each size.
+    places = found.distinct().groupBy("row").agg(F.collect_list(F.struct("pos", "size")).alias("at"))
     texts = docs.select("key", "w", row.alias("row")).join(places.hint("merge"), "row")
     seen = F.transform(F.filter("at", lambda x: x["pos"] + x["size"] <= F.size("w")), lambda x: F.struct(x["pos"].alias("pos"), x["size"].alias("size"), _window(F.col("w"), x["pos"], x["size"]).alias("gram")))
     seen = texts.select("key", F.size("w").cast("bigint").alias("n_words"), F.explode(seen).alias("x")).select("key", "n_words", "x.pos", "x.size", "x.gram")

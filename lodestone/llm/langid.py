@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 
 from .common import ship, written
 
-LETTER = re.compile(r"[^\W\d_]")
 #: Buckets of hashed byte trigrams.
 DIMS = 1 << 13
 #: Bound of the sample that a model is fitted on: distinct texts of each language. Longer texts than so many bytes are taken
@@ -31,6 +29,11 @@ class Model:
     least: np.ndarray  # of each centroid: below this cosine a text is rejected
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter (Unicode's category L, as in fit(): numerals such as the half sign or Roman ones aren't)."""
+    return any(map(str.isalpha, text))
+
+
 def counts(texts: list[bytes]) -> np.ndarray:
     """Hashed trigram counts of whole texts, a row each."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -153,7 +156,7 @@ def classify(texts: list[str | None], m: Model) -> tuple[list[str], list[float],
     for texts without a letter, and for a model without languages. Of equal cosines the first label counts."""
     langs, scores, far = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
     for g in _groups(texts):
-        g = [i for i in g if m.langs and texts[i] is not None and LETTER.search(texts[i])]
+        g = [i for i in g if m.langs and texts[i] is not None and has_letter(texts[i])]
         if not g:
             continue
         near = vectors(counts([prepared(texts[i]) for i in g]), m.idf) @ m.centroids.T

@@ -87,11 +87,15 @@ def shared_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return counts.alias("c").join(sizes.alias("s"), F.col("c.host").eqNullSafe(F.col("s.host"))).where(F.col("n_docs") > min_share * F.col("host_docs")).select("c.host", "h", "n_docs")
 
 
+def _text_key(text) -> Column:
+    return F.struct(F.xxhash64(text).alias("hash"), F.octet_length(text).alias("bytes"))
+
+
 def line_hashes(df: DataFrame, id_col: str, text_col: str, host_col: str, fold_digits: bool = FOLD_DIGITS) -> DataFrame:
-    """(host, doc, h, line): each line of a row that has a word, and the hash of its normalised form."""
+    """(host, doc, row, h, line): each line of a row that has a word, and the hash of its normalised form; row names the text."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    lines = df.select(F.col(f"`{host_col}`").alias("host"), F.col(f"`{id_col}`").alias("doc"), F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return lines.select("host", "doc", F.xxhash64(normalised(F.col("line"), fold_digits)).alias("h"), "line")
+    lines = df.select(F.col(f"`{host_col}`").alias("host"), F.col(f"`{id_col}`").alias("doc"), _text_key(text).alias("row"), F.explode(F.split(text, "\n")).alias("line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return lines.select("host", "doc", "row", F.xxhash64(normalised(F.col("line"), fold_digits)).alias("h"), "line")
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -101,18 +105,18 @@ MADE = (*BASE, "removed_lines", "n_left", "clean_text", "kept")
 def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, least_left: float = LEAST_LEFT, fold_digits: bool = FOLD_DIGITS) -> DataFrame:
     """df with the figures of base_rules and of the cross-document rule, a row for each row:
 
-    removed_lines (hashes of its lines that are above the limits in its host), n_left (words in the other lines),
+    removed_lines (hashes of the row's own lines that are above the limits in its host, whatever other rows share its id), n_left (words in the other lines),
     clean_text (the text without those lines; null stays null), kept (false if base_failed or if n_left is under
     least_left of n_words). Columns of df with these names are replaced; others may have any names. An empty df gives no rows.
     """
     shared = shared_lines(df, id_col, text_col, host_col, min_docs, min_share, fold_digits)
     found = line_hashes(df, id_col, text_col, host_col, fold_digits).alias("l").join(shared.alias("s"), (F.col("l.h") == F.col("s.h")) & F.col("l.host").eqNullSafe(F.col("s.host")))
-    removed = found.groupBy("l.doc", "l.host").agg(F.collect_set("l.h").alias("r")).alias("g")
+    removed = found.groupBy("l.doc", "l.host", "l.row").agg(F.collect_set("l.h").alias("r")).alias("g")
     # Columns by place from here on; the last ones are read by their own names.
     names = [c for c in df.columns if c not in MADE or c in (id_col, text_col, host_col)]
     at = {c: f"c{i}" for i, c in enumerate(names)}
     base = df.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()]).alias("d")
-    joined = base.join(removed, F.col(at[id_col]).eqNullSafe(F.col("g.doc")) & F.col(at[host_col]).eqNullSafe(F.col("g.host")), "left").select("d.*", "g.r")
+    joined = base.join(removed, F.col(at[id_col]).eqNullSafe(F.col("g.doc")) & F.col(at[host_col]).eqNullSafe(F.col("g.host")) & (_text_key(F.coalesce(F.col(at[text_col]), F.lit(""))) == F.col("g.row")), "left").select("d.*", "g.r")
     text = F.col(at[text_col])
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(F.array_contains("r", F.xxhash64(normalised(x, fold_digits))) & x.rlike(r"[^\x20\x09-\x0D]"))), "\n")
     out = base_rules(joined.withColumn("clean_text", F.when(F.col("r").isNull(), text).otherwise(left)), at[text_col])

@@ -198,3 +198,46 @@ def test_phrases_equal_plain(spark, monkeypatch, hot, chunk):
 def test_phrases_of_nothing(spark):
     assert phrases.collocations(spark.createDataFrame([], "text string, lang string")).collect() == []
     assert phrases.collocations(spark.createDataFrame([(None, None), ("a b", "en")], "text string, lang string")).collect() == []
+
+
+def test_texts_without_letters_are_und():
+    from lodestone.llm import langid
+
+    assert [langid.has_letter(x) for x in ("½", "²", "Ⅷ", "12 _", "", "aß", "日", "ª")] == [False, False, False, False, False, True, True, True]
+
+
+def test_removed_lines_are_the_rows_own(spark):
+    from lodestone.llm import quality
+
+    shared = "this very line stands everywhere"
+    rows = [(i, f"{shared}\nown words of {'abcdefghij'[i % 10]} {'klm' * (i + 1)}", "h") for i in range(40)]
+    rows += [(None, shared + "\nnull one", "h"), (None, "other text alone", "h"), (3, "again three", "h")]
+    out = quality.clean(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), min_docs=5, min_share=0.2).collect()
+    assert {r["text"] if "text" in r else r["clean_text"]: len(r["removed_lines"]) for r in out if r["doc_id"] is None} == {shared + "\nnull one": 1, "other text alone": 0}
+    assert sorted(len(r["removed_lines"]) for r in out if r["doc_id"] == 3) == [0, 1]
+
+
+def test_far_path_is_linear_in_copies(spark, monkeypatch):
+    from lodestone.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "BROADCAST_GRAMS", 0)
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text)] * 800 + [(2, text + " more"), (3, "clean")], "doc_id bigint, text string")
+    items = spark.createDataFrame([("a", text)], "item_id string, text string")
+    got = decontaminate.scan(docs, items)
+    assert got.groupBy("doc_id", "n_hit", "n_items").count().orderBy("doc_id").collect() == [(1, 40, 1, 800), (2, 40, 1, 1), (3, 0, 0, 1)]
+
+
+def test_checkpoints_are_freed(spark):
+    from pathlib import Path
+
+    from lodestone.llm import common
+
+    root = Path(common.scratch_root(spark).removeprefix("file://"))
+    files = lambda: {p for p in root.rglob("part-*")}
+    before = files()
+    keep = common.scratch(spark, "kept")
+    with common.freed(spark, keep):
+        common.checkpointed(spark.range(5)).write.parquet(keep)
+        assert len(files() - before) > 1
+    assert {str(p.parent).rsplit("/", 1)[1] for p in files() - before} == {keep.rsplit("/", 1)[1]}
