@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..graph import PropertyGraph
-from ..storage import counted, stored
+from ..storage import Segments, counted, stored
 
 DATA_KINDS = ("DRIVER", "CONNECTION")
 
@@ -18,24 +18,23 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, rev
 
     descend: a condition on the column id; vertices that fail it are reached but not left. Each level is written, so no
     level's plan holds another's, and is joined with the edges: a small frontier is broadcast by its known size and
-    nothing else is shuffled, a large one is shuffled; visited vertices leave by an anti join.
+    nothing else is shuffled, a large one is shuffled; visited vertices leave by an anti join. Levels are merged as they grow many.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     steps = edges.select(F.col(a).alias("id"), F.col(b).alias("next"))
     frontier = stored(starts.select("root", "id").distinct())
-    seen, level = frontier.select("root", "id", F.lit(0).cast("bigint").alias("level")).limit(0), 0
+    seen, level = Segments(frontier.select("root", "id", F.lit(0).cast("bigint").alias("level")).limit(0), 0), 0
     while max_depth is None or level < max_depth:
         level += 1
         found = frontier.join(steps, "id").select("root", F.col("next").alias("id")).distinct()
         if level > 1:
-            found = found.join(seen.select("root", "id"), ["root", "id"], "left_anti")
+            found = found.join(seen.table().select("root", "id"), ["root", "id"], "left_anti")
         found, n = counted(found)
         if not n:
             break
-        new = found.withColumn("level", F.lit(level).cast("bigint"))
-        seen = new if level == 1 else seen.unionByName(new)
+        seen.add(found.withColumn("level", F.lit(level).cast("bigint")), n)
         frontier = found if descend is None else found.where(descend)
-    return seen
+    return seen.table()
 
 
 def roots(spark, ids: list[str]) -> DataFrame:

@@ -34,10 +34,53 @@ def stored(df: DataFrame, by: str | None = None, order: str | None = None) -> Da
     _made.append((spark, path))
     names = df.columns
     out = df if order is None else df.sortWithinPartitions(*([by] if by else []), order)
-    w = out.write if by is None else out.write.partitionBy(by)
-    w.parquet(path)
-    schema = df.schema if by is None else type(df.schema)([f for f in df.schema if f.name != by] + [df.schema[by]])
-    return spark.read.schema(schema).parquet(path).select(*names)
+    if by is None:
+        out.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path).select(*names)
+    # A folder's name can't tell an empty string from null, so the value itself stays in the files too.
+    out.withColumn("by_", F.concat(F.lit("="), F.col(by))).write.partitionBy("by_").parquet(path)
+    return spark.read.schema(type(df.schema)([*df.schema.fields])).parquet(path).select(*names)
+
+
+def bucketed(df: DataFrame, by: str, per_bucket: int = 2_000_000) -> DataFrame:
+    """df, written in buckets of a column and sorted by it, so that a join on the column neither shuffles nor sorts it; as many
+    buckets as the session's shuffles have partitions, more where rows are many."""
+    spark = df.sparkSession
+    held, n = counted(df)
+    path = f"{root(spark)}/lodestone-graph/{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    table = f"lodestone_{uuid.uuid4().hex}"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // per_bucket))
+    held.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name only: the files lie outside the warehouse, and out is resolved
+    return out
+
+
+class Segments:
+    """Rows that grow level by level. Levels are merged once there are many, small ones first, so that a row is written again a
+    logarithmic number of times and a plan that reads them all stays short."""
+
+    MOST = 6
+
+    def __init__(self, df: DataFrame, n: int) -> None:
+        self.parts, self.empty = [(df, n)] if n else [], df
+
+    def add(self, df: DataFrame, n: int) -> None:
+        if n:
+            self.parts.append((df, n))
+        while len(self.parts) > self.MOST:
+            i = min(range(len(self.parts) - 1), key=lambda i: self.parts[i][1] + self.parts[i + 1][1])
+            (a, k), (b, m) = self.parts[i : i + 2]
+            self.parts[i : i + 2] = [(stored(a.unionByName(b)), k + m)]
+
+    def table(self) -> DataFrame:
+        if not self.parts:
+            return self.empty
+        out = self.parts[0][0]
+        for df, _ in self.parts[1:]:
+            out = out.unionByName(df)
+        return out
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
