@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
-from ..operators import search, statements, timing
+from ..operators import elaborate, search, statements, timing
 from ..sources import tables
 from .catalog import G, big, graph_query, table_query
 
@@ -183,3 +183,64 @@ walk AS (
   UNION SELECT root, goes FROM walk JOIN rule ON rule.at = walk.id WHERE goes IS NOT NULL)
 SELECT DISTINCT root, adds AS id FROM walk JOIN rule ON rule.at = walk.id WHERE adds IS NOT NULL AND adds <> root
 """)(lambda g: search.drivers(g.kept("driver rules", lambda: search.driver_rules(g)), g.vertices.where("id in ('p.2', 'p.3', 'o.5', 'c.9', 's.4')").select(F.col("id").alias("root"), "id")))
+
+
+# Elaboration: an order's parts, as wide as their quantity, from its suppliers, each five bits for a line's number.
+
+CONCAT = """
+WITH p AS (
+  SELECT l_orderkey AS assign, 'lhs' AS side, l_linenumber AS position, 'p.' || l_partkey AS name, CAST(l_quantity AS BIGINT) AS width FROM lineitem
+  UNION ALL SELECT l_orderkey, 'rhs', -l_linenumber, 's.' || l_suppkey, 5 * l_linenumber FROM lineitem),
+o AS (SELECT *, sum(width) OVER (PARTITION BY assign, side ORDER BY position DESC, name DESC, width DESC ROWS UNBOUNDED PRECEDING) AS hi FROM p),
+r AS (SELECT *, hi - width AS lo FROM o)
+SELECT l.assign, r.name AS src, l.name AS dst, CAST(least(l.hi, r.hi) - 1 - r.lo AS BIGINT) AS src_msb, CAST(greatest(l.lo, r.lo) - r.lo AS BIGINT) AS src_lsb,
+       CAST(least(l.hi, r.hi) - 1 - l.lo AS BIGINT) AS dst_msb, CAST(greatest(l.lo, r.lo) - l.lo AS BIGINT) AS dst_lsb
+FROM r l JOIN r ON r.assign = l.assign AND r.side = 'rhs' AND l.side = 'lhs' AND l.lo < r.hi AND r.lo < l.hi
+"""
+
+
+@table_query("concatenations", CONCAT)
+def order_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = tables.table(spark, sf_dir, "lineitem")
+    lhs = line.select(F.col("l_orderkey").alias("assign"), F.lit("lhs").alias("side"), F.col("l_linenumber").cast("bigint").alias("position"), F.concat(F.lit("p."), "l_partkey").alias("name"), F.col("l_quantity").cast("bigint").alias("width"))
+    rhs = line.select("l_orderkey", F.lit("rhs"), -F.col("l_linenumber").cast("bigint"), F.concat(F.lit("s."), "l_suppkey"), 5 * F.col("l_linenumber").cast("bigint"))
+    return elaborate.concatenations(lhs.union(rhs))
+
+
+INHERIT = """
+WITH c AS (
+  SELECT 'c.' || c_custkey AS class, 'n.' || n_nationkey AS above, 'r.' || n_regionkey AS top, c_custkey % 3 = 0 AS b, n_nationkey % 2 = 0 AS a FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'n.' || n_nationkey, NULL, 'r.' || n_regionkey, false, n_nationkey % 2 = 0 FROM nation
+  UNION ALL SELECT NULL, NULL, 'r.' || r_regionkey, false, false FROM region),
+f AS (
+  SELECT coalesce(class, top) AS class, 'a' AS name, CASE WHEN NOT a THEN top WHEN above IS NULL THEN class ELSE above END AS origin,
+         CASE WHEN class IS NULL THEN 0 WHEN a THEN CASE WHEN above IS NULL THEN 0 ELSE 1 END WHEN above IS NULL THEN 1 ELSE 2 END AS level FROM c
+  UNION ALL SELECT coalesce(class, top), 'b', CASE WHEN b THEN class ELSE top END, CASE WHEN class IS NULL OR b THEN 0 WHEN above IS NULL THEN 1 ELSE 2 END FROM c)
+"""
+
+
+def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers below nations below regions; regions constrain a and b, even nations a anew, every third customer b. A constraint
+    is a tree of three nodes."""
+    t = lambda n: tables.table(spark, sf_dir, n)
+    id_ = lambda p, c: F.concat(F.lit(f"{p}."), c)
+    classes = t("nation").select(id_("n", "n_nationkey").alias("id"), id_("r", "n_regionkey").alias("parent")).union(t("customer").select(id_("c", "c_custkey"), id_("n", "c_nationkey")))
+    own = t("region").select(id_("r", "r_regionkey").alias("class"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("name"))
+    own = own.union(t("nation").where("n_nationkey % 2 = 0").select(id_("n", "n_nationkey"), F.lit("a"))).union(t("customer").where("c_custkey % 3 = 0").select(id_("c", "c_custkey"), F.lit("b")))
+    own = own.withColumn("id", F.concat_ws(".", "class", "name"))
+    top, middle = F.col("id"), F.concat("id", F.lit(".x"))
+    nodes = own.select(top.alias("id"), F.lit(None).cast("string").alias("parent"), F.col("name").alias("text")).union(own.select(middle, top, F.lit("x"))).union(own.select(F.concat("id", F.lit(".y")), middle, F.lit("y")))
+    return classes, own, nodes
+
+
+table_query("inherited_constraints", INHERIT + "SELECT class, name, origin || '.' || name AS id, origin, CAST(level AS BIGINT) AS level FROM f")(lambda spark, sf_dir: elaborate.inherited(*hierarchy(spark, sf_dir)[:2]))
+
+
+@table_query("copied_constraints", INHERIT + """
+SELECT class, class || '::' || origin || '.' || name || suffix AS id, CASE WHEN suffix = '' THEN NULL ELSE class || '::' || origin || '.' || name || above END AS parent,
+       origin || '.' || name || suffix AS "of", CASE WHEN suffix = '' THEN name ELSE substr(suffix, 2) END AS text
+FROM f, (VALUES ('', ''), ('.x', ''), ('.y', '.x')) AS n(suffix, above) WHERE level > 0
+""")
+def copied_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, own, nodes = hierarchy(spark, sf_dir)
+    return elaborate.copied(elaborate.inherited(classes, own), nodes)

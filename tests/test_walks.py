@@ -9,7 +9,7 @@ import pytest
 import test_graph
 
 from lodestone import storage
-from lodestone.operators import search, statements, timing, traverse
+from lodestone.operators import elaborate, search, statements, timing, traverse
 
 
 def got(df, *cols):
@@ -225,3 +225,21 @@ def test_segments_merge(spark):
     for i in range(1, 30):
         parts.add(spark.range(i, i + 1), 1)
     assert len(parts.parts) <= storage.Segments.MOST and sorted(r[0] for r in parts.table().collect()) == list(range(30))
+
+
+def test_concatenations(spark):
+    rows = [("x", "lhs", 0, "a", 4), ("x", "lhs", 1, "b", 0), ("x", "lhs", 2, "c", 3), ("x", "rhs", 0, "p", 2), ("x", "rhs", 1, "q", 4), ("y", "lhs", 0, "a", 1), ("z", "rhs", 0, "a", 1), ("w", "lhs", 0, "s", 8), ("w", "rhs", 0, "s", 8)]
+    found = elaborate.concatenations(spark.createDataFrame(rows, "assign string, side string, position int, name string, width int"))
+    bits = {(a, d, i): (s, j) for a, s, d, sm, sl, dm, dl in map(tuple, found.collect()) for i, j in zip(range(dl, dm + 1), range(sl, sm + 1), strict=True)}
+    lay = lambda side, a: [(n, i) for x, s, _, n, w in reversed(rows) if x == a and s == side for i in range(w)]
+    want = {(a, *d): s for a in "xyzw" for d, s in zip(lay("lhs", a), lay("rhs", a), strict=False)}
+    assert bits == want and found.count() == 4
+
+
+def test_inherited_and_copied_constraints(spark):
+    classes = spark.createDataFrame([("kid", "mid"), ("mid", "top"), ("other", "top"), ("x", "y"), ("y", "x")], "id string, parent string")
+    constraints = spark.createDataFrame([("top", "a", "t.a"), ("top", "b", "t.b"), ("mid", "a", "m.a"), ("mid", "a", "m.z"), ("kid", "c", "k.c"), ("y", "q", "y.q")], "class string, name string, id string")
+    held = elaborate.inherited(classes, constraints)
+    assert got(held, "class", "id", "level") == [("kid", "k.c", 0), ("kid", "m.a", 1), ("kid", "t.b", 2), ("mid", "m.a", 0), ("mid", "t.b", 1), ("other", "t.a", 1), ("other", "t.b", 1), ("top", "t.a", 0), ("top", "t.b", 0), ("x", "y.q", 1), ("y", "y.q", 0)]
+    nodes = spark.createDataFrame([("m.a", None, 1), ("n1", "m.a", 2), ("n2", "n1", 3), ("t.b", None, 4), ("k.c", None, 5), ("n3", "k.c", 6)], "id string, parent string, v int")
+    assert got(elaborate.copied(held, nodes).where("class = 'kid'"), "id", "parent", "of", "v") == [("kid::m.a", None, "m.a", 1), ("kid::n1", "kid::m.a", "n1", 2), ("kid::n2", "kid::n1", "n2", 3), ("kid::t.b", None, "t.b", 4)]
