@@ -1,4 +1,5 @@
-"""More registered graph queries: register depth and paths, conditions of statements, searches between sets, folding of constants."""
+"""More registered graph queries: register depth and paths, conditions of statements, searches between sets, folding of constants,
+inlining of calls, schedules of operators."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
-from ..operators import elaborate, search, statements, timing
+from ..operators import constants, elaborate, inline, search, statements, timing
 from ..sources import tables
 from .catalog import G, big, graph_query, table_query
 
@@ -244,3 +245,88 @@ FROM f, (VALUES ('', ''), ('.x', ''), ('.y', '.x')) AS n(suffix, above) WHERE le
 def copied_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes, own, nodes = hierarchy(spark, sf_dir)
     return elaborate.copied(elaborate.inherited(classes, own), nodes)
+
+
+# Constants: regions are parameters of a package, a nation's is made of its region's, a customer's of its nation's; orders' widths
+# are in the scope of their customer. Quotients and remainders are rounded down.
+
+def constant_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = lambda n: tables.table(spark, sf_dir, n)
+    region = t("region").select(F.lit("pkg").alias("scope"), F.format_string("R%d", "r_regionkey").alias("name"), F.format_string("%d + 4'd3", "r_regionkey").alias("text"))
+    nation = t("nation").select(F.format_string("n%d", "n_nationkey"), F.lit("BASE"), F.format_string("pkg::R%d * 2 + %d", "n_regionkey", "n_nationkey"))
+    c = t("customer").withColumn("scope", F.format_string("c%d", "c_custkey"))
+    wide = c.select("scope", F.lit("W"), F.format_string("n%d::BASE - %d %% 5", "c_nationkey", "c_custkey"))
+    deep = c.select("scope", F.lit("D"), F.lit("(W + 2) * (W - 40) / 7"))
+    loop = c.where("c_custkey % 4 = 0").select("scope", F.explode(F.array(F.struct(F.lit("X").alias("name"), F.lit("Y + 1").alias("text")), F.struct(F.lit("Y").alias("name"), F.lit("X - 1").alias("text")))).alias("p")).select("scope", "p.name", "p.text")
+    o = t("orders")
+    text = F.when(F.col("o_orderstatus") == "P", F.lit("X + D")).when(F.col("o_orderstatus") == "O", F.format_string("$clog2(D + W * W) - -%d %% 11", "o_orderkey")).otherwise(F.format_string("W-1 - (D / -%d)", "o_orderkey"))
+    return region.union(nation).union(wide).union(deep).union(loop), o.select("o_orderkey", F.format_string("c%d", "o_custkey").alias("scope"), text.alias("text"))
+
+
+CONSTANTS = """
+WITH n AS (SELECT n_nationkey, n_regionkey, (n_regionkey + 3) * 2 + n_nationkey AS base FROM nation),
+c AS (SELECT c_custkey, base - c_custkey % 5 AS w FROM customer JOIN n ON c_nationkey = n_nationkey),
+d AS (SELECT *, CAST(floor((w + 2) * (w - 40) / 7) AS BIGINT) AS d FROM c),
+p AS (
+  SELECT 'pkg' AS scope, 'R' || r_regionkey AS name, r_regionkey || ' + 4''d3' AS text, r_regionkey + 3 AS value FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'BASE', 'pkg::R' || n_regionkey || ' * 2 + ' || n_nationkey, base FROM n
+  UNION ALL SELECT 'c' || c_custkey, 'W', 'n' || c_nationkey || '::BASE - ' || c_custkey || ' % 5', w FROM c JOIN customer USING (c_custkey)
+  UNION ALL SELECT 'c' || c_custkey, 'D', '(W + 2) * (W - 40) / 7', d FROM d
+  UNION ALL SELECT 'c' || c_custkey, name, text, NULL FROM customer, (VALUES ('X', 'Y + 1'), ('Y', 'X - 1')) AS loop(name, text) WHERE c_custkey % 4 = 0)
+"""
+
+table_query("constant_parameters", CONSTANTS + "SELECT scope, name, text, CAST(value AS BIGINT) AS value FROM p")(lambda spark, sf_dir: constants.resolve(constant_rows(spark, sf_dir)[0]))
+
+
+@table_query("constant_widths", CONSTANTS + """
+SELECT o_orderkey, CAST(CASE o_orderstatus WHEN 'P' THEN NULL
+  WHEN 'O' THEN CASE WHEN d + w * w <= 1 THEN 0 ELSE length(bin(d + w * w - 1)) END - (11 - o_orderkey % 11) % 11
+  ELSE w - 1 - coalesce(floor(-d / nullif(o_orderkey, 0)), 0) END AS BIGINT) AS value
+FROM orders JOIN d ON o_custkey = c_custkey
+""")
+def constant_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parameters, expressions = constant_rows(spark, sf_dir)
+    return constants.fold(expressions, constants.resolve(parameters)).select("o_orderkey", "value")
+
+
+# Inlining: customers call the function of a region, which calls one for each of its nations, three of which call each other in a ring.
+
+def call_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    t = lambda n: tables.table(spark, sf_dir, n)
+    f, lit = F.format_string, F.lit
+    c = t("customer").select(f("k%d", "c_custkey").alias("call"), f("f%d", F.col("c_custkey") % 5).alias("callee"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(lit("is_"), F.lower(F.substring("c_mktsegment", 1, 4)))).alias("condition"), "c_custkey")
+    n = t("nation").select(f("f%d", "n_regionkey").alias("owner"), f("t%d", "n_nationkey").alias("t"), f("u%d", "n_nationkey").alias("u"), f("n%d", "n_nationkey").alias("call"), f("g%d", F.col("n_nationkey") % 3).alias("callee"), "n_nationkey")
+    ring = t("nation").select((F.col("n_nationkey") % 3).alias("g")).distinct().select(f("g%d", "g").alias("owner"), f("g%d", (F.col("g") + 1) % 3).alias("callee"))
+    calls = c.select(lit("").alias("owner"), "call", "callee", "condition").union(n.select("owner", "call", "callee", lit("sel"))).union(ring.select("owner", lit("again"), "callee", lit(None)))
+    two = lambda df, *pairs: df.withColumn("p", F.explode(F.array(*[F.struct(lit(k).alias("formal"), v.alias("actual")) for k, v in pairs]))).select("owner", "call", "p.formal", "p.actual")
+    bindings = two(c.withColumn("owner", lit("")), ("x", f("c%d", "c_custkey")), ("sel", f("a%d + 1", "c_custkey")), ("y", f("out%d", "c_custkey")))
+    bindings = bindings.union(two(n, ("x", F.col("t")), ("y", F.col("u")))).union(two(ring.withColumn("call", lit("again")), ("x", lit("x")), ("y", lit("z"))))
+    edges = n.select("owner", lit("x").alias("src"), F.col("t").alias("dst"), f("sel == %d", "n_nationkey").alias("condition")).union(n.select("owner", "t", lit("y"), lit(None)))
+    edges = edges.union(n.select("owner", lit("sel"), lit("y"), lit("")).distinct()).union(ring.select("owner", lit("x"), lit("y"), lit("k.en && x > 4")))
+    return calls, bindings, edges
+
+
+table_query("inlined_calls", """
+WITH c AS (
+  SELECT c_custkey AS c, 'k' || c_custkey AS i, 'f' || c_custkey % 5 AS f, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'is_' || lower(substr(c_mktsegment, 1, 4)) || ' && ' END AS own,
+         '(a' || c_custkey || ' + 1)' AS sel FROM customer),
+n AS (SELECT c.*, n_nationkey AS n, i || '.t' || n_nationkey AS t FROM c JOIN nation ON n_regionkey = c % 5)
+SELECT i AS instance, f AS function, 1::BIGINT AS level, 'c' || c AS src, t AS dst, own || sel || ' == ' || n AS condition FROM n
+UNION ALL SELECT i, f, 1, t, 'out' || c, CASE WHEN own = '' THEN '' ELSE left(own, length(own) - 4) END FROM n
+UNION ALL SELECT DISTINCT i, f, 1, 'a' || c, 'out' || c, CASE WHEN own = '' THEN '' ELSE left(own, length(own) - 4) END FROM n
+UNION ALL SELECT i || '.n' || n || more, 'g' || (n + k) % 3, 2 + k, t, i || y, own || sel || ' && k.en && ' || t || ' > 4'
+FROM (SELECT *, repeat('.again', k::INT) AS more, CASE k WHEN 0 THEN '.u' || n ELSE '.n' || n || repeat('.again', k::INT - 1) || '.z' END AS y FROM n, (VALUES (0), (1), (2)) AS three(k))
+""")(lambda spark, sf_dir: inline.inlined(*call_rows(spark, sf_dir)))
+table_query("recursive_calls", "SELECT DISTINCT 'g' || n_nationkey % 3 AS owner, 'again' AS call, 'g' || (n_nationkey + 1) % 3 AS callee FROM nation")(lambda spark, sf_dir: inline.recursive(call_rows(spark, sf_dir)[0]))
+
+
+# A schedule: customers are sums of a wire's, orders compare, parts are added or multiplied by the lines' flags.
+
+OPS = "CASE WHEN dst LIKE 'c.%' THEN 'Subtract' WHEN dst LIKE 'o.%' AND kind = 'DRIVER' THEN 'Equality' WHEN dst LIKE 'p.%' AND condition = 'A' THEN 'Add' WHEN dst LIKE 'p.%' AND condition = 'R' THEN 'Multiply' WHEN dst LIKE 'p.%' AND condition = 'N' THEN 'Shuffle' END"
+
+graph_query("operator_schedule", VISITS.format(touching=ALL) + f""",
+op AS (SELECT DISTINCT src, dst, {OPS} AS op FROM e WHERE kind <> 'CLOCK')
+SELECT dst, op, CASE op WHEN 'Subtract' THEN '−' WHEN 'Equality' THEN '=' WHEN 'Add' THEN '+' WHEN 'Multiply' THEN '×' ELSE op END AS symbol,
+       CAST(max(depth) - max((dst LIKE 'o.%')::INT) AS BIGINT) AS cycle, CAST(1 + max((src LIKE 'c.%')::INT) AS BIGINT) AS step, count(*) AS n_inputs
+FROM op JOIN deep d ON d.id = dst WHERE op IS NOT NULL GROUP BY dst, op
+""")(lambda g: timing.schedule(g, F.expr(OPS), all_depths(g)))
