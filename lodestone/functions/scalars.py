@@ -140,7 +140,7 @@ def clean_name(name: Column) -> Column:
 
 def condition_names(condition: Column) -> Column:
     """The first name of each term of a condition, each once, in order: state == READY gives state."""
-    first = F.transform(split_condition(condition), lambda t: F.trim(F.get(F.split(t, r"\s*(?:==|!=|<=|>=|<|>|\+|-|\*|/|\(|\)|\[|\])\s*"), F.lit(0))))
+    first = F.transform(split_condition(condition), lambda t: F.trim(F.regexp_extract(t, r"^([\s\S]*?)(?:[=!<>]=|[-+*/<>()\[\]]|$)", 1)))
     return F.array_distinct(F.filter(first, lambda x: x != ""))
 
 
@@ -189,8 +189,9 @@ KEYWORDS = ("logic", "wire", "reg", "input", "output", "inout", "module", "alway
 
 
 def atomics(expression: Column) -> Column:
-    """The signals of an expression with their bits, each once, in order; numbers and keywords are none."""
-    clean = F.regexp_replace(expression, r"\b\d+'s?[dhbHoO][0-9a-fA-FxXzZ?]+\b", " ")
+    """The signals of an expression with their bits, each once, in order; keywords and numbers are none, based ones (8'hFF, 'SB1x_0) with
+    or without a size and in either case included."""
+    clean = F.regexp_replace(expression, r"(?i)(?:\b\d[\d_]*\s*)?'s?[bodh]\s*[\da-f_xz?]+", " ")
     found = F.regexp_extract_all(clean, F.lit(r"([A-Za-z_$][\w$.]*(?:\[\s*\d+(?:\s*:\s*\d+)?\s*\])?)"))
     return F.array_distinct(F.filter(found, lambda x: ~x.isin(*KEYWORDS)))
 

@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import scalars
 from lodestone.operators import constants
 
 
@@ -84,3 +85,9 @@ def test_no_parameters(spark):
     empty = spark.createDataFrame([], "scope string, name string, text string")
     assert constants.resolve(empty).collect() == []
     assert [r.value for r in constants.fold(spark.createDataFrame([("s", "4 * 4")], "scope string, text string"), constants.resolve(empty)).collect()] == [16]
+
+
+def test_based_numbers_are_no_signals(spark):
+    texts = ["a & 8'B1010", "x[3:0] + 4'hF - 'b0 & 12'sD5 | y_d.z[2]", "8'b1x_0 ^ q ^ 16'SHffz?", "if (a_b or 32'd100)"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", scalars.atomics(F.col("t"))).orderBy("i").collect()
+    assert [r[1] for r in rows] == [["a"], ["x[3:0]", "y_d.z[2]"], ["q"], ["a_b"]]
