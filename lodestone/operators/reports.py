@@ -172,14 +172,6 @@ def cdc_report(g: PropertyGraph) -> DataFrame:
 # Timing and pipelines
 
 
-def timing_report(depths: DataFrame, most: int = 10) -> DataFrame:
-    """depths (id, depth, score) → (paths, max_cycles, avg_tenths, critical, high, medium, low) of the `most` highest scores."""
-    top = depths.orderBy(F.desc("score"), "id").limit(most)
-    level = F.when(F.col("score") >= 60, "CRITICAL").when(F.col("score") >= 40, "HIGH").when(F.col("score") >= 20, "MEDIUM").otherwise("LOW")
-    n = lambda x: F.count_if(F.col("l") == x).alias(x.lower())
-    return top.withColumn("l", level).agg(F.count("*").alias("paths"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_cycles"), F.coalesce(F.floor(F.sum("depth") * 10 / F.count("*") + 0.5), F.lit(0)).cast("bigint").alias("avg_tenths"), n("CRITICAL"), n("HIGH"), n("MEDIUM"), n("LOW"))
-
-
 def pipeline_registers(g: PropertyGraph) -> DataFrame:
     """(id, role): state registers (that drive themselves, or whose name says so), control registers (of one bit, of the class
     CONTROL) and pipeline registers; clocks and resets are none."""

@@ -211,16 +211,6 @@ w AS (SELECT DISTINCT dst AS root, dst AS id FROM cdc UNION SELECT w.root, s.dst
 SELECT root AS dst, count(DISTINCT id) AS n_regs, CASE WHEN count(DISTINCT id) = 1 THEN 'NONE' ELSE count(DISTINCT id) || '-FLOP' END AS sync FROM w GROUP BY root""")(lambda g: domains.synchronisers(g, domains.crossings(g)))
 graph_query("reg_depth", """, w AS (SELECT 'c.'||c_custkey AS id, 0 AS depth FROM customer UNION SELECT e.dst, depth + 1 FROM w JOIN e ON e.src = w.id JOIN v ON v.id = e.dst AND v.kind = 'REG' WHERE e.kind = 'DRIVER')
 SELECT id, CAST(max(depth) AS BIGINT) AS depth FROM w GROUP BY id""")(lambda g: paths.longest_depth(domains.register_steps(g).where("src not like 'r.%' and src not like 'n.%'"), g.vertices.where("id like 'c.%'"), g.vertices.select("id", F.when(F.col("kind") == "REG", 1).otherwise(0).cast("bigint").alias("w"))))
-graph_query("critical_paths", """, d AS (SELECT id, fan_in * 10 + (CASE WHEN kind = 'REG' THEN 15 ELSE 0 END) AS score FROM deg JOIN v USING (id))
-SELECT id, score, CASE WHEN score >= 60 THEN 'high' WHEN score >= 40 THEN 'medium' WHEN score >= 20 THEN 'low' ELSE 'safe' END AS risk FROM d ORDER BY score DESC, id LIMIT 25""")(lambda g: critical(g))
-
-
-def critical(g: PropertyGraph) -> DataFrame:
-    score = F.col("fan_in") * 10 + F.when(F.col("kind") == "REG", 15).otherwise(0)
-    out = g.degrees().join(g.vertices.select("id", "kind"), "id").select("id", big("score", score)).orderBy(F.desc("score"), "id").limit(25)
-    return out.withColumn("risk", F.when(F.col("score") >= 60, "high").when(F.col("score") >= 40, "medium").when(F.col("score") >= 20, "low").otherwise("safe"))
-
-
 graph_query("fsm_transitions", plain=tables.SQL + "SELECT src AS from_state, dst AS to_state, '1' AS condition FROM ev", graph=tables.events)(domains.state_machine)
 
 

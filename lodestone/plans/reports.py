@@ -99,9 +99,6 @@ graph_query("cdc_report", DOM + """, same AS (SELECT DISTINCT e.src, e.dst FROM
 w AS (SELECT DISTINCT dst AS root, dst AS id FROM cdc UNION SELECT w.root, s.dst FROM w JOIN same s ON s.src = w.id), n AS (SELECT root, count(DISTINCT id) AS n FROM w GROUP BY 1)
 SELECT src_domain, dst_domain, CASE WHEN n.n = 1 THEN 'NONE' ELSE n.n || '-FLOP' END AS sync, count(*) AS n, count(*) FILTER (n.n = 1) AS high_risk FROM cdc JOIN n ON n.root = cdc.dst GROUP BY 1, 2, 3""")(reports.cdc_report)
 port_query("clock_nets", "SELECT 'domain.' || lower(split_part(id, '.', 2)) AS domain, id FROM v WHERE is_clock")(lambda g, p: ports.clock_nets(g, p))
-graph_query("timing_report", """, d AS (SELECT id, fan_in AS depth, fan_in * 10 + (CASE WHEN kind = 'REG' THEN 15 ELSE 0 END) AS score FROM deg JOIN v USING (id)), t AS (SELECT * FROM d ORDER BY score DESC, id LIMIT 10)
-SELECT count(*) AS paths, max(depth) AS max_cycles, CAST(floor(sum(depth) * 10 / count(*) + 0.5) AS BIGINT) AS avg_tenths, count(*) FILTER (score >= 60) AS critical, count(*) FILTER (score BETWEEN 40 AND 59) AS high, count(*) FILTER (score BETWEEN 20 AND 39) AS medium, count(*) FILTER (score < 20) AS low FROM t""")(
-    lambda g: reports.timing_report(g.degrees().join(g.vertices.select("id", "kind"), "id").select("id", big("depth", F.col("fan_in")), big("score", F.col("fan_in") * 10 + F.when(F.col("kind") == "REG", 15).otherwise(0)))))
 EVENT_REACH = ", w AS (SELECT src, dst FROM ev UNION SELECT w.src, ev.dst FROM w JOIN ev ON ev.src = w.dst)"
 graph_query("scc", plain=tables.SQL + EVENT_REACH + " SELECT a.src AS id, min(a.dst) AS component FROM w a JOIN w b ON b.src = a.dst AND b.dst = a.src GROUP BY 1", graph=tables.events)(lambda g: domains.components(g.edges))
 graph_query("scc_of_trade", "SELECT id, id AS component FROM v WHERE false")(lambda g: domains.components(g.edges))

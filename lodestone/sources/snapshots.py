@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..graph import PropertyGraph
+from ..operators import diff
 
 NODE = "id string, name string, module string, kind string, width array<int>, bit_range string, file string, line int, is_clock boolean, is_reset boolean, is_enable boolean, is_port boolean, parent string"
 EDGE = "src string, dst string, kind string, assign_type string, condition string, clock_domain string, modport_dir string, confidence string"
@@ -33,6 +34,11 @@ def tags(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/meta").select("tag", "node_count", "edge_count", "git_commit", "created_at")
 
 
+def compare(spark: SparkSession, root: str, old: str, new: str) -> DataFrame:
+    """diff.compare() of the graphs of two tags."""
+    return diff.compare(load(spark, root, old), load(spark, root, new))
+
+
 def delete(spark: SparkSession, root: str, tag: str) -> bool:
     done = False
     for part in ("vertices", "edges", "meta"):

@@ -5,7 +5,7 @@ import os
 import oracle
 import pytest
 
-from lodestone.plans import catalog, reports, walks  # noqa: F401  reports and walks add their queries
+from lodestone.plans import catalog, checks, reports, walks  # noqa: F401  the others add their queries
 
 SF = "/root/testdata/sf0.001"
 
