@@ -42,6 +42,19 @@ def fanout_rank(g: PropertyGraph, kind: str = "DRIVER") -> DataFrame:
     return n.join(v, n["src"] == v["id"]).select("id", "kind", "fanout", suggestion(F.substring_index("id", ".", -1), F.col("fanout"), F.col("is_clock"), F.col("is_reset")).alias("suggestion"))
 
 
+def fanout_loads(g: PropertyGraph) -> DataFrame:
+    """(id, rank, load): the loads that fanout_rank() counts, for each source in order."""
+    e = g.edges.where("kind = 'DRIVER'").select(F.col("src").alias("id"), F.col("dst").alias("load")).distinct()
+    return e.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("load")).cast("bigint")).select("id", "rank", "load")
+
+
+def net_fanouts(g: PropertyGraph, kind: str = "DRIVER") -> DataFrame:
+    """(clock_fanout, reset_fanout): the largest fan-outs of a clock and of a reset over edges of the kind, 0 if there is none."""
+    n = g.edges.where(F.col("kind") == kind).select("src", "dst").distinct().groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    of = lambda c: F.coalesce(F.max(F.when(F.col(f"is_{c}"), F.col("n"))), F.lit(0)).cast("bigint").alias(f"{c}_fanout")
+    return n.join(g.vertices.select("id", "is_clock", "is_reset"), "id").agg(of("clock"), of("reset"))
+
+
 def level(score: Column) -> Column:
     """Level of a score in tenths."""
     return F.when(score >= 400, "CRITICAL").when(score >= 250, "HIGH").when(score >= 150, "MEDIUM").otherwise("LOW")

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
-from ..operators import diff, impact, protocol, randomize, timing, traverse
+from ..operators import diff, impact, machines, paths, protocol, randomize, reports, search, stats, timing, traverse
 from ..sources import tables
 from .catalog import DIFF, G, REACH, big, graph_query, starts, table_query, versions
+from .reports import wide
 from .walks import ALL, STEP, TOP_PATHS, VISITS, all_depths
 
 # Risks by register depth
@@ -210,3 +211,70 @@ def deadlock_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = o.select(F.concat(F.lit("n."), F.col("o_custkey") % 25).alias("request"), ready.alias("response"))
     rules = spark.createDataFrame([("R1", "no_combinational_loop"), ("R2", "no_cross_channel_loop"), ("R3", "response_after_request"), ("R4", "fifo_depth")], "id string, kind string")
     return protocol.deadlocks(tables.trade(spark, sf_dir), rules, pairs, requests)
+
+
+# Segments: all edges between suppliers or orders and parts; stages of the paths from a region to a part.
+
+graph_query("segments_of_pair", """
+SELECT src, dst, row_number() OVER (PARTITION BY src, dst ORDER BY length(condition), condition, clock_domain, kind, expression) - 1 AS pos,
+       expression, condition, condition AS effective_condition, clock_domain, '' AS assign_type
+FROM e WHERE dst LIKE 'p.%'
+""")(lambda g: paths.parallel_segments(g, g.edges.where("dst like 'p.%'")))
+
+graph_query("stage_breakdown", """,
+pair AS (SELECT DISTINCT src, dst FROM e),
+walk AS (
+  SELECT ['r.3'] AS path, 'r.3' AS cur
+  UNION ALL SELECT list_append(path, pair.dst), pair.dst FROM walk JOIN pair ON pair.src = walk.cur WHERE cur <> 'p.9' AND len(path) < 6 AND NOT list_contains(path, pair.dst)),
+w AS (SELECT 'c.' || c_custkey AS id, 0 AS d FROM customer UNION SELECT e.dst, d + 1 FROM w JOIN e ON e.src = w.id JOIN v ON v.id = e.dst AND v.kind = 'REG' WHERE e.kind = 'DRIVER'),
+stage AS (SELECT id, CAST(min(d) AS BIGINT) AS stage FROM w WHERE id LIKE 'o.%' GROUP BY id),
+step AS (SELECT path, unnest(range(len(path) - 1)) AS pos FROM walk WHERE cur = 'p.9'),
+s AS (SELECT array_to_string(path, '>') AS path, CAST(pos AS INT) AS pos, path[pos + 1] AS src, path[pos + 2] AS dst FROM step)
+SELECT path, pos, src, dst, x.stage AS from_stage, y.stage AS to_stage, a.kind AS from_kind, b.kind AS to_kind, b.kind = 'REG' AS is_reg_boundary
+FROM s JOIN v a ON a.id = src JOIN v b ON b.id = dst LEFT JOIN stage x ON x.id = src LEFT JOIN stage y ON y.id = dst
+""")(lambda g: paths.stage_breakdown(search.signal_paths(g, "r.3", "p.9", 5), g, reports.pipeline_stages(wide(g)).where("id like 'o.%'")).withColumn("path", F.array_join("path", ">")))
+
+graph_query("fanout_loads", "SELECT id, row_number() OVER (PARTITION BY id ORDER BY load) AS rank, load FROM (SELECT DISTINCT src AS id, dst AS load FROM e WHERE kind = 'DRIVER')")(stats.fanout_loads)
+graph_query("net_fanouts", "SELECT max(n) AS clock_fanout, CAST(0 AS BIGINT) AS reset_fanout FROM (SELECT count(DISTINCT dst) AS n FROM e WHERE kind = 'CLOCK' GROUP BY src)")(lambda g: stats.net_fanouts(g, "CLOCK"))
+
+
+# State machines: a register for each nation, which its customers' orders drive.
+
+MOVES = """
+WITH d AS (
+  SELECT DISTINCT 'n' || c_nationkey || '.state' AS signal, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE 'S' || (o_custkey % 4) END AS from_state, o_orderstatus || (o_orderkey % 2) AS to_state,
+         CASE o_orderstatus WHEN 'P' THEN '!rst_n' WHEN 'O' THEN 'en' || (o_orderkey % 3) ELSE '!!rst_n' END AS condition, o_orderstatus = 'P' AS resets
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+every AS (SELECT signal, from_state AS state FROM d WHERE from_state IS NOT NULL UNION SELECT signal, to_state FROM d),
+s AS (SELECT e.signal, e.state, e.state = coalesce((SELECT min(to_state) FROM d WHERE d.signal = e.signal AND resets), (SELECT min(state) FROM every x WHERE x.signal = e.signal)) AS is_reset FROM every e)
+"""
+
+
+def nation_machines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = tables.table(spark, sf_dir, "orders").join(tables.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    here, status = F.format_string("state == S%d", F.col("o_custkey") % 4), F.col("o_orderstatus")
+    condition = F.when(status == "P", "!rst_n").when(status == "O", F.concat(here, F.format_string(" && en%d", F.col("o_orderkey") % 3))).otherwise(F.concat(F.lit("!!rst_n && "), here))
+    e = o.select(F.concat(F.format_string("n%d.", "c_nationkey"), status, F.col("o_orderkey") % 2).alias("src"), F.format_string("n%d.state", "c_nationkey").alias("dst"), condition.alias("condition"))
+    return machines.moves(PropertyGraph.of(spark.createDataFrame([], "id string"), e, placeholders=False))
+
+
+table_query("machine_moves", MOVES + "SELECT * FROM d")(nation_machines)
+table_query("machine_states", MOVES + "SELECT * FROM s")(lambda spark, sf_dir: machines.states(nation_machines(spark, sf_dir)))
+table_query("machine_summary", MOVES + """
+SELECT signal, split_part(signal, '.', 1) AS module, count(*) AS n_states, (SELECT count(*) FROM d WHERE d.signal = s.signal AND NOT resets) AS n_transitions, min(state) FILTER (is_reset) AS reset_state
+FROM s GROUP BY signal
+""")(lambda spark, sf_dir: machines.summary(nation_machines(spark, sf_dir)))
+
+
+@table_query("case_machines", """
+WITH n AS (SELECT c_custkey AS k, 'k' || c_custkey AS id, unnest([lower(c_mktsegment), 'v' || c_nationkey]) AS variable FROM customer),
+f AS (SELECT variable, min(id) AS id FROM n GROUP BY variable)
+SELECT variable, 'case (' || id || ')' AS from_state, o_orderpriority AS to_state, o_orderstatus AS condition FROM f JOIN orders ON 'k' || o_custkey = id WHERE o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW'
+""")
+def case_machines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = tables.table(spark, sf_dir, "customer"), tables.table(spark, sf_dir, "orders")
+    k, t = F.format_string("k%d", "c_custkey"), F.format_string("t%d", "o_orderkey")
+    nodes = c.select(k.alias("id"), F.lit("CONDITION").alias("kind"), F.array(F.lower("c_mktsegment"), F.format_string("v%d", "c_nationkey")).alias("variables"), F.format_string("case (k%d)", "c_custkey").alias("expression"), F.lit("").alias("state_value"))
+    nodes = nodes.union(o.select(t, F.lit("STATEMENT"), F.array().cast("array<string>"), F.lit(""), F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise(F.col("o_orderpriority"))))
+    edges = o.select(F.format_string("k%d", "o_custkey").alias("src"), t.alias("dst"), F.when(F.col("o_orderstatus") == "P", "SEQUENCE").otherwise("CASE_MATCH").alias("kind"), F.col("o_orderstatus").alias("condition"))
+    return machines.of_cases(nodes, edges)

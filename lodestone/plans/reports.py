@@ -147,7 +147,6 @@ def _customer_paths(g: PropertyGraph) -> DataFrame:
     return e.where("src like 'c.1%'").select("src", F.col("dst").alias("mid")).join(e.where("dst like 'p.%'").select(F.col("src").alias("mid"), "dst"), "mid").select(F.array("src", "mid", "dst").alias("path"))
 
 
-graph_query("segments_of_pair", "SELECT src, dst, kind, condition FROM e WHERE src = 's.2' AND dst IN (SELECT dst FROM e WHERE src = 's.2')")(lambda g: g.edges.where("src = 's.2'").select("src", "dst", "kind", "condition"))
 
 # Passes
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from lodestone.graph import PropertyGraph
-from lodestone.operators import diff, impact, randomize, timing, traverse
+from lodestone.operators import diff, impact, machines, paths, randomize, stats, timing, traverse
 from lodestone.sources import snapshots
 
 EDGES = "src string, dst string, kind string, condition string, assign_type string"
@@ -134,3 +134,51 @@ def test_random_reachability(spark):
     assert got(randomize.totals(found)) == [("c", 2, 1, 1), ("d", 2, 1, 1)]
     assert randomize.reachability(v.where("false"), calls, refs, points).collect() == []
     assert got(randomize.reachability(v.where("class = 'd'"), calls.where("false"), refs, points), "name", "randomized") == [("a_very_long_name", 0), ("x", 0)]
+
+
+def test_parallel_segments(spark):
+    rows = [("a", "b", "DRIVER", "state == S1 && go", ""), ("a", "b", "DRIVER", "en", "nonblocking"), ("a", "b", "DRIVER", "rst_n", ""), ("u.p", "b", "CONNECTION", "", ""), ("in.p", "in.q", "DRIVER", "rst_n && k", "")]
+    g = PropertyGraph.of(frame(spark, [], "id string"), frame(spark, rows, EDGES))
+    pairs = frame(spark, [("a", "b"), ("a", "b"), ("b", "a"), ("u.p", "b"), ("u.p", "x.q")], "src string, dst string")
+    found = got(paths.parallel_segments(g, pairs), "src", "dst", "pos", "condition", "effective_condition")
+    # A reset alone comes first, then the shorter condition.
+    assert found == [("a", "b", 0, "rst_n", "rst_n"), ("a", "b", 1, "en", "en"), ("a", "b", 2, "state == S1 && go", "go"), ("u.p", "b", 0, "", "")]
+    inside = frame(spark, [("u.p", "in.p"), ("u.p", "z"), ("x.q", "in.q")], "id string, internal string")
+    found = got(paths.parallel_segments(g, pairs.where("src = 'u.p'"), inside), "src", "dst", "pos", "condition", "effective_condition")
+    assert found == [("u.p", "b", 0, "", ""), ("u.p", "x.q", 0, "rst_n && k", "k")]  # u.p to b is there only as it stands
+
+
+def test_stage_breakdown(spark):
+    g = pipeline(spark)
+    stages = frame(spark, [("t.r1", 1), ("t.r2", 2)], "id string, stage bigint")
+    p = frame(spark, [(["t.in", "t.r1", "t.r2", "t.w"],)], "path array<string>")
+    found = got(paths.stage_breakdown(p, g, stages).drop("path"))
+    assert found == [(0, "t.in", "t.r1", None, 1, "PORT_IN", "REG", True), (1, "t.r1", "t.r2", 1, 2, "REG", "REG", True), (2, "t.r2", "t.w", 2, None, "REG", "WIRE", False)]
+
+
+def test_fanout_loads_and_nets(spark):
+    v = frame(spark, [("clk", True, False), ("rst", False, True), ("a", False, False)], "id string, is_clock boolean, is_reset boolean")
+    rows = [("clk", "x", "DRIVER", "", ""), ("clk", "x", "DRIVER", "en", ""), ("clk", "y", "DRIVER", "", ""), ("rst", "y", "DRIVER", "", ""), ("rst", "z", "RESET", "", ""), ("a", "b", "DRIVER", "", "")]
+    g = PropertyGraph.of(v, frame(spark, rows, EDGES))
+    assert got(stats.fanout_loads(g)) == [("a", 1, "b"), ("clk", 1, "x"), ("clk", 2, "y"), ("rst", 1, "y")]
+    assert got(stats.net_fanouts(g)) == [(2, 1)] and got(stats.net_fanouts(g, "CLOCK")) == [(0, 0)]
+
+
+def test_state_machines(spark):
+    rows = [("m.IDLE", "m.state", "DRIVER", "!rst_n", ""), ("m.REQ", "m.state", "DRIVER", "!!rst_n && state == IDLE && go", ""), ("m.IDLE", "m.state", "DRIVER", "state === REQ", "")]
+    rows += [("m.DONE", "m.state", "DRIVER", "", ""), ("clk", "m.state", "CLOCK", "", ""), ("B", "state", "DRIVER", "state == A", ""), ("C", "n.state", "DRIVER", "!rst_n || x", ""), ("q", "m.substate", "DRIVER", "", "")]
+    found = machines.moves(PropertyGraph.of(frame(spark, [], "id string"), frame(spark, rows, EDGES))).cache()
+    # A term taken from between two others leaves both of its signs, as the scalar function has it.
+    assert got(machines.transitions(found)) == [("m.state", "IDLE", "REQ", "!!rst_n && && go"), ("m.state", "REQ", "IDLE", "1"), ("state", "A", "B", "1")]
+    assert got(machines.states(found).where("is_reset"), "signal", "state") == [("m.state", "IDLE"), ("n.state", "C"), ("state", "A")]
+    assert got(machines.summary(found)) == [("m.state", "m", 3, 2, "IDLE"), ("n.state", "n", 1, 0, "C"), ("state", "", 2, 1, "A")]
+    g = PropertyGraph.of(frame(spark, [], "id string"), frame(spark, rows, EDGES))
+    assert {r["signal"] for r in machines.moves(g, module="m").collect()} == {"m.state"} and machines.moves(g, "other").collect() == []
+
+
+def test_case_machines(spark):
+    nodes = [("c2", "CONDITION", ["s"], "case (s2)", ""), ("c1", "CONDITION", ["s", "t"], "case (s1)", ""), ("x", "STATEMENT", ["s"], "", "IDLE"), ("y", "STATEMENT", None, "", "REQ"), ("z", "STATEMENT", [], "", None)]
+    n = frame(spark, nodes, "id string, kind string, variables array<string>, expression string, state_value string")
+    e = frame(spark, [("c1", "x", "CASE_MATCH", "0"), ("c1", "y", "CASE_MATCH", None), ("c1", "z", "CASE_MATCH", "2"), ("c1", "y", "SEQUENCE", "3"), ("c2", "y", "CASE_MATCH", "4")], "src string, dst string, kind string, condition string")
+    want = [(v, "case (s1)", to, c) for v in ("s", "t") for to, c in (("IDLE", "0"), ("REQ", ""))]
+    assert got(machines.of_cases(n, e)) == want
