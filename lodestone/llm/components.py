@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, shuffled
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -15,7 +15,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     else:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     low = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = near.join(low, "u")
+    joined = near.join(shuffled(low), "u")
     out = joined.where(F.col("v") != F.col("m") if small else F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     if small:
         out = out.union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))

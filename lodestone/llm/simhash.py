@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jvm
-from .common import checkpointed
+from .common import checkpointed, shuffled
 from .components import components
 
 
@@ -34,7 +34,7 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     variants = spread.select("fp", F.explode(F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: F.col("fp").bitwiseXOR(m))).alias("v"))
     met = variants.groupBy("v").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = variants.join(met, "v").where("fp != low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    pairs = variants.join(shuffled(met), "v").where("fp != low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
@@ -43,7 +43,7 @@ def classes(fps: DataFrame, radius: int = 2) -> DataFrame:
     edges = checkpointed(links(fps, radius))
     degree = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
     labels = components(edges).withColumnRenamed("node", "fp")
-    return fps.join(labels, "fp", "left").join(degree, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return fps.join(shuffled(labels), "fp", "left").join(shuffled(degree), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
@@ -56,10 +56,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     fps = checkpointed(fingerprints(df, id_col, text_col).withColumnRenamed(id_col, "id"))
     distinct = fps.groupBy("fp").agg(F.min("id").alias("id"))
-    found = distinct.join(classes(distinct.select("fp"), radius), "fp")
+    found = distinct.join(shuffled(classes(distinct.select("fp"), radius)), "fp")
     named = found.groupBy("label").agg(F.min("id").alias("component_id"))
-    of = found.join(named, "label").select("fp", "component_id", "n_links")
-    return fps.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    of = found.join(shuffled(named), "label").select("fp", "component_id", "n_links")
+    return fps.join(shuffled(of), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
