@@ -72,12 +72,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     f = jvm.register(df.sparkSession, "lodestone_simhash", "SimHash", "bigint")
     rows = checkpointed(df.select(F.col(f"`{id_col}`").alias("id"), sha.alias("sha"), F.call_function(f, F.col(f"`{text_col}`").cast("binary")).alias("fp")))
     first = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "sha")).alias("first"))
-    found = first.join(classes(first.select("fp"), radius), "fp")
+    found = first.join(shuffled(classes(first.select("fp"), radius)), "fp")
     kept = found.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias("id"), F.col("first.sha").alias("sha"))
     # Id and text name a row's class: a text has one fingerprint, whatever other rows bear its id.
     place = {c: f"c{i}" for i, c in enumerate(df.columns)}
     named = df.select(*[F.col(f"`{c}`").alias(n) for c, n in place.items()], sha.alias("own"))
-    out = named.join(kept, named[place[id_col]].eqNullSafe(kept["id"]) & (F.col("own") == F.col("sha")), "left_semi")
+    out = named.join(shuffled(kept), named[place[id_col]].eqNullSafe(kept["id"]) & (F.col("own") == F.col("sha")), "left_semi")
     # Texts are shuffled once more only if there are rows that are equal in both.
     if rows.groupBy("id", "sha").count().where("count > 1").limit(1).count():
         order = Window.partitionBy(place[id_col], "own").orderBy(F.to_json(F.struct(*place.values())))

@@ -34,3 +34,10 @@ def test_simhash_broadcasts_nothing_that_grows(generous):
     out = simhash.near_duplicates(docs)
     assert joins(out)[0] == 0
     assert sorted((r.doc_id, r.component_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_keep_one_broadcasts_nothing_that_grows(generous):
+    docs = generous.sql(DOCS)
+    out = simhash.keep_one(docs)
+    assert joins(out)[0] == 0
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
