@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.llm import simhash
+from lodestone.llm import common, simhash
 from lodestone.llm.components import _star
 
 
@@ -41,3 +43,13 @@ def test_keep_one_broadcasts_nothing_that_grows(generous):
     out = simhash.keep_one(docs)
     assert joins(out)[0] == 0
     assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_scratch_tables_are_written_in_small_groups(spark, tmp_path):
+    big = spark.range(0, 48, 1, 1).select("id", F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(1 << 14)), lambda i: F.sha2((i + F.col("id") * 100_000).cast("string").cast("binary"), 256))).cast("binary").alias("b"))
+    out = common.written(big, "groups")
+    (file,) = [f.removeprefix("file://") for f in out.inputFiles()]
+    meta = pq.ParquetFile(file).metadata
+    # 48 rows of a megabyte each, half of that as they are compressed.
+    assert meta.num_row_groups > 1 and max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) < 40
+    assert out.agg(F.sum(F.octet_length("b"))).first()[0] == 48 << 20
