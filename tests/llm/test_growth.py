@@ -53,3 +53,11 @@ def test_scratch_tables_are_written_in_small_groups(spark, tmp_path):
     # 48 rows of a megabyte each, half of that as they are compressed.
     assert meta.num_row_groups > 1 and max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) < 40
     assert out.agg(F.sum(F.octet_length("b"))).first()[0] == 48 << 20
+
+
+def test_tasks_hold_one_bucket_and_a_bounded_share_of_chunks(spark):
+    sent = spark.range(40).select(F.col("id").alias("chunk"), F.array(F.struct(F.lit(0).alias("range"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.struct(b.alias("bucket"), F.lit(b"x").alias("blob"))).alias("parts"))).alias("sent"))
+    got = common.met(sent, 32, 40, 32).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 32 == len({r.task for r in got}) and all(len(r.met) == 40 for r in got)
+    rows = spark.range(64).select(F.lit(0).alias("bucket"), F.col("id").alias("chunk"), F.lit(b"x").alias("blob"))
+    assert "REPARTITION_BY_NUM" in common.back(rows, 32, 32)._jdf.queryExecution().executedPlan().toString()
