@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone import storage
+from lodestone.operators import protocol, search, timing
 from lodestone.storage import Segments, placed
 
 
@@ -21,3 +23,21 @@ def test_visited_vertices_are_not_shuffled(spark):
         assert sorted(int(r.id) for r in left.collect()) == list(range(90, 95))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def tables_of(f):
+    """What f() returns, and how many tables it wrote."""
+    before = len(storage._made)
+    return f(), len(storage._made) - before
+
+
+def test_path_searches_do_not_wait_for_what_lies_behind_the_starts(spark):
+    tail = [("s", "m"), ("m", "e"), ("m", "x0"), *((f"x{i}", f"x{i + 1}") for i in range(100)), ("x3", "e2")]
+    edges = storage.stored(spark.createDataFrame(tail, "src string, dst string"))
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    got, n = tables_of(lambda: search.shortest_paths(edges, ids("s"), ids("e", "e2")).collect())
+    want = {("s", "e"): ["s", "m", "e"], ("s", "e2"): ["s", "m", "x0", "x1", "x2", "x3", "e2"]}
+    assert sorted(map(tuple, got)) == sorted((*k, i, x) for k, p in want.items() for i, x in enumerate(p))
+    assert n < 60
+    got, n = tables_of(lambda: search.between(edges, ids("s"), ids("e")).collect())
+    assert sorted(map(tuple, got)) == [("m", "e"), ("s", "m")] and n < 15
