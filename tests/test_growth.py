@@ -41,3 +41,22 @@ def test_path_searches_do_not_wait_for_what_lies_behind_the_starts(spark):
     assert n < 60
     got, n = tables_of(lambda: search.between(edges, ids("s"), ids("e")).collect())
     assert sorted(map(tuple, got)) == [("m", "e"), ("s", "m")] and n < 15
+
+
+def test_steps_to_what_was_visited_are_left_behind(spark, monkeypatch):
+    edges = [("a", "b0"), ("a", "b1"), *((f"b{i}", f"c{j}") for i in range(2) for j in range(5)), ("c0", "d"), ("d", "d1"), *((f"z{i}", "c4") for i in range(9))]
+    sizes, put = [], storage.placed
+
+    def spy(rows, *more):
+        out = put(rows, *more)
+        if "dst" in rows.columns:
+            sizes.append(out[1])
+        return out
+
+    monkeypatch.setattr(timing, "STEPS", 5)
+    monkeypatch.setattr(timing, "placed", spy)
+    counts = spark.createDataFrame([("b0", 1), ("c0", 2), ("d1", 1)], "id string, w int")
+    got = timing.first_visits(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("a",)], "id string"), counts)
+    want = [("a", 0, None, 0), ("b0", 1, "a", 1), ("b1", 1, "a", 0), ("c0", 2, "b0", 3), *((f"c{i}", 2, "b0", 1) for i in range(1, 5)), ("d", 3, "c0", 3), ("d1", 4, "d", 4)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert sizes == [len(edges), 2]
