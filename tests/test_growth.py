@@ -60,3 +60,17 @@ def test_steps_to_what_was_visited_are_left_behind(spark, monkeypatch):
     want = [("a", 0, None, 0), ("b0", 1, "a", 1), ("b1", 1, "a", 0), ("c0", 2, "b0", 3), *((f"c{i}", 2, "b0", 1) for i in range(1, 5)), ("d", 3, "c0", 3), ("d1", 4, "d", 4)]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert sizes == [len(edges), 2]
+
+
+def test_channels_are_followed_as_one_and_no_further_than_needed(spark):
+    import test_graph
+
+    chain = [(f"q{i}", f"q{i + 1}") for i in range(30)]
+    g = test_graph.graph(spark, chain)
+    pairs = spark.createDataFrame([(f"k{i % 3}", f"q{i}") for i in range(31)], "channel string, ready string")
+    got, n = tables_of(lambda: sorted(map(tuple, protocol.cross_channel_loops(g, pairs).collect())))
+    assert got == [("k0", "k1"), ("k0", "k2"), ("k1", "k2")] and n < 12
+    ask = spark.createDataFrame([("q0", "q5"), ("q0", "q11"), ("q7", "q3"), ("zz", "q9")], "request string, response string")
+    assert sorted(map(tuple, protocol.responses_without_request(g, ask).collect())) == [("q0", "q11"), ("q7", "q3"), ("zz", "q9")]
+    many = ask.select(F.col("request").alias("valid"), F.col("response").alias("ready"))
+    assert [tuple(r) for r in protocol.combinational_loops(g, many).collect()] == [("q0", "q5", 5)]
