@@ -56,7 +56,7 @@ def impact(a: PropertyGraph, b: PropertyGraph, changed: DataFrame) -> DataFrame:
     sides = []
     for g in (a, b):
         starts = stored(changed.select("id").distinct().join(g.vertices.select("id"), "id", "left_semi").select(F.lit("").alias("root"), "id"))
-        sides.append((starts, reach(g.edges.where(F.col("kind").isin(*DATA_KINDS)).select("src", "dst").distinct(), starts)))
+        sides.append((starts, reach(stored(g.edges.where(F.col("kind").isin(*DATA_KINDS)).select("src", "dst").distinct()), starts)))
     rounds = []
     for name, (starts, far) in zip(("depth_old", "depth_new"), sides):
         n = far.agg(F.coalesce(F.max("level"), F.lit(0)).alias("l")).join(starts.agg(F.count("*").alias("s")))

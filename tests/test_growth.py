@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone import storage
-from lodestone.operators import protocol, search, timing
+from lodestone.operators import diff, protocol, search, timing, traverse
 from lodestone.storage import Segments, placed
 
 
@@ -74,3 +74,13 @@ def test_channels_are_followed_as_one_and_no_further_than_needed(spark):
     assert sorted(map(tuple, protocol.responses_without_request(g, ask).collect())) == [("q0", "q11"), ("q7", "q3"), ("zz", "q9")]
     many = ask.select(F.col("request").alias("valid"), F.col("response").alias("ready"))
     assert [tuple(r) for r in protocol.combinational_loops(g, many).collect()] == [("q0", "q5", 5)]
+
+
+def test_edges_of_versions_are_made_once(spark, monkeypatch):
+    import test_graph
+
+    walked = []
+    monkeypatch.setattr(diff, "reach", lambda edges, *more: (walked.append(edges), traverse.reach(edges, *more))[1])
+    g = test_graph.graph(spark, [("a", "b"), ("b", "c")])
+    assert tuple(diff.impact(g, g, spark.createDataFrame([("a",)], "id string")).first()) == (0, 0, 2, 3, 3)
+    assert len(walked) == 2 and not any("Exchange" in e._jdf.queryExecution().executedPlan().toString() for e in walked)
