@@ -13,7 +13,7 @@ from .traverse import reach
 
 def assign(g: PropertyGraph) -> DataFrame:
     """(id, domain): registers by the clock that drives them, ties by the smallest."""
-    return g.kept("domains", lambda: _assign(g))
+    return g.kept("domains", lambda: _assign(g), "id")
 
 
 def _assign(g: PropertyGraph) -> DataFrame:
@@ -32,9 +32,15 @@ def spread(g: PropertyGraph, depth: int) -> DataFrame:
 
 def crossings(g: PropertyGraph) -> DataFrame:
     """(src, dst, kind, condition, src_domain, dst_domain): top edges between registers of different domains."""
+    return g.kept("crossings", lambda: _crossings(g))
+
+
+def _crossings(g: PropertyGraph) -> DataFrame:
     d = assign(g)
-    e = g.top_edges().where(~F.col("kind").isin("CLOCK", "RESET"))
-    e = e.join(d.select(F.col("id").alias("src"), F.col("domain").alias("src_domain")), "src").join(d.select(F.col("id").alias("dst"), F.col("domain").alias("dst_domain")), "dst")
+    # Ends come first: edges lie in buckets of them, and only those into registers are shuffled to their sources.
+    e = g.top_into(d).where(~F.col("kind").isin("CLOCK", "RESET")).select("src", "dst", "kind", "condition")
+    e = e.join(d.select(F.col("id").alias("dst"), F.col("domain").alias("dst_domain")), "dst")
+    e = g.parted(e, "src").join(d.select(F.col("id").alias("src"), F.col("domain").alias("src_domain")), "src")
     return e.where("src_domain != dst_domain").select("src", "dst", "kind", "condition", "src_domain", "dst_domain")
 
 
@@ -47,8 +53,8 @@ def synchronisers(g: PropertyGraph, found: DataFrame, depth: int | None = None)
     """(dst, n_regs, sync): registers of the target's own domain that follow a crossing's target over registers of that
     domain only, the target included, to the end of the chain or within `depth` hops; 1 is NONE, n is n-FLOP."""
     d = assign(g)
-    reg = g.edges.where(F.col("kind") == "DRIVER").join(d.select(F.col("id").alias("src"), F.col("domain").alias("x")), "src").join(d.select(F.col("id").alias("dst"), F.col("domain").alias("y")), "dst").where("x = y")
-    reg = stored(reg.select("src", "dst").distinct())
+    reg = g.edges.where(F.col("kind") == "DRIVER").select("src", "dst").distinct().join(d.select(F.col("id").alias("dst"), F.col("domain").alias("y")), "dst")
+    reg = stored(g.parted(reg, "src").join(d.select(F.col("id").alias("src"), F.col("domain").alias("x")), "src").where("x = y").select("src", "dst"))
     targets = stored(found.select("dst").distinct())
     after = reach(reg, targets.select(F.col("dst").alias("root"), F.col("dst").alias("id")), depth).where("root != id").groupBy("root").agg(F.count("*").alias("k"))
     n = F.coalesce("k", F.lit(0)) + 1
@@ -78,10 +84,10 @@ def opposed(g: PropertyGraph) -> DataFrame:
 
 def register_steps(g: PropertyGraph) -> DataFrame:
     """Edges without clocks and resets between registers, or from an input port to a register."""
-    kinds = g.vertices.select("id", "kind")
-    e = g.edges.where(~F.col("kind").isin("CLOCK", "RESET")).select("src", "dst").distinct()
-    e = e.join(kinds.select(F.col("id").alias("src"), F.col("kind").alias("sk")), "src").join(kinds.select(F.col("id").alias("dst"), F.col("kind").alias("dk")), "dst")
-    return e.where("dk = 'REG' and sk in ('REG', 'PORT_IN', 'SIGNAL')").select("src", "dst")
+    regs = g.vertices.where("kind = 'REG'").select(F.col("id").alias("dst"))
+    e = g.edges.where(~F.col("kind").isin("CLOCK", "RESET")).select("src", "dst").distinct().join(regs, "dst", "left_semi")
+    sources = g.vertices.where("kind in ('REG', 'PORT_IN', 'SIGNAL')").select(F.col("id").alias("src"))
+    return g.parted(e, "src").join(sources, "src", "left_semi").select("src", "dst")
 
 
 def components(edges: DataFrame) -> DataFrame:
