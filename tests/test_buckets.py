@@ -102,3 +102,11 @@ def test_longest_paths_shuffle_their_steps_once(shuffled, monkeypatch):
     ones = shuffled.createDataFrame([(x, 1) for x in "abcd"], "id string, w bigint")
     assert got(paths.longest_depth(e, ones.where("id = 'a'").select("id"), ones)) == [("a", 1), ("b", 2), ("c", 3), ("d", 4)]
     assert len(plans) > 3 and all(p.count("Exchange") == 1 for p in plans[2:])
+
+
+def test_steps_between_atoms_are_made_once(spark, monkeypatch):
+    walked = []
+    monkeypatch.setattr(decompose, "reach", lambda e, *more: (walked.append(e), traverse.reach(e, *more))[1])
+    g = test_graph.graph(spark, [("a", "b", "DRIVER", "a"), ("b", "c", "DRIVER", "b")])
+    decompose.atoms(g, g.vertices.select(F.col("id").alias("root")), None).collect()
+    assert len(walked) == 1 and "Exchange" not in plan(walked[0])
