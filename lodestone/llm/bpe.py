@@ -30,14 +30,18 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def by_bucket(words: list[str], n: int) -> list[tuple[int, np.ndarray]]:
-    """(bucket, numbers of its words in order) for every bucket that has one."""
+def buckets_of(words: list[str], n: int) -> np.ndarray:
+    """The bucket of every word."""
     from xxhash import xxh32_intdigest
 
-    bucket = np.fromiter(map(xxh32_intdigest, words), np.int64, len(words)) % n
+    return np.fromiter(map(xxh32_intdigest, words), np.int64, len(words)) % n
+
+
+def by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(bucket, numbers of its words in order) for every bucket that has one."""
     order = np.argsort(bucket, kind="stable")
     found, starts = np.unique(bucket[order], return_index=True)
-    return list(zip(found.tolist(), np.split(order, starts[1:]), strict=True)) if len(words) else []
+    return list(zip(found.tolist(), np.split(order, starts[1:]), strict=True)) if len(bucket) else []
 
 
 #: Texts on whose every pair, joined by a space, a pattern is tried for a lone space that always begins a match.
@@ -111,21 +115,47 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def numbered(units: np.ndarray, parts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """units: numbers of units; parts: numbers of pre-tokens, `sizes` of them for each unit → (units, parts, sizes, words), in which
+    frequent units have small numbers, as these compress best: units as numbers from 1, those that are there more than once
+    first, the most frequent at 1; a unit that is there once is 0 (the next of those, whose parts come last). parts as numbers
+    from 1, in order of their first place, where it is 0. words: the pre-tokens in this order."""
+    found = np.bincount(units, minlength=len(sizes))
+    often = np.flatnonzero(found > 1)
+    often = often[np.argsort(-found[often], kind="stable")]
+    rank = np.zeros(len(sizes), np.int64)
+    rank[often] = np.arange(1, len(often) + 1)
+    order = np.concatenate((often, units[found[units] == 1]))
+    parts = gather(parts, np.cumsum(sizes) - sizes, sizes, order)
+    words, first, parts = np.unique(parts, return_index=True, return_inverse=True)
+    by_place = np.argsort(first, kind="stable")
+    number = np.empty(len(words), np.int64)
+    number[by_place] = np.arange(1, len(words) + 1)
+    parts = number[parts]
+    parts[first] = 0
+    return rank[units], parts, sizes[order], words[by_place]
+
+
+def plain_numbers(units: np.ndarray, parts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """units and parts of numbered() → the same as places in sizes and in words."""
+    once, new = units == 0, parts == 0
+    return np.where(once, len(sizes) - once.sum() + np.cumsum(once), units) - 1, np.where(new, np.cumsum(new), parts) - 1
+
+
+#: What stands between words: a byte that no text has.
+BETWEEN = b"\xff"
+
+
 def _pack_words(words: list[str]) -> bytes:
     import zstandard
 
-    parts = [w.encode("utf-8", "surrogatepass") for w in words]
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts))
+    return zstandard.ZstdCompressor(level=1).compress(BETWEEN.join(w.encode("utf-8", "surrogatepass") for w in words))
 
 
 def _unpack_words(blob: bytes) -> list[str]:
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    at = 4 + 4 * n
-    ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4).astype(np.int64)) + at).tolist()
-    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([at, *ends[:-1]], ends, strict=True)]
+    return [w.decode("utf-8", "surrogatepass") for w in zstandard.ZstdDecompressor().decompress(blob).split(BETWEEN)]
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", decode: bool = True) -> DataFrame:
@@ -140,6 +170,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
     places, n = places_of(spark, total), buckets(spark, total, BUCKET_BYTES)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
     table = spark.sparkContext.broadcast((ranks, pattern))  # the vocabulary: a fixed size, whatever the corpus
+    stored = ("units", "lens", "parts", "sizes", "asked")
 
     def split(texts: list[bytes | None], _: pa.StructArray) -> dict[str, pa.Array]:
         """Units of every text in order, pre-tokens of every unit, and what is sent: the distinct pre-tokens by bucket."""
@@ -149,14 +180,15 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
         rows = pre.number(["" if t is None else t.decode("utf-8", "replace") for t in texts])
         words, parts = list(pre.ids), [p or [] for p in pre.parts]
         del pre
-        order = by_bucket(words, n)
-        sent = [(b, _pack_words([words[i] for i in at.tolist()])) for b, at in order]
-        numbers = {
-            "units": [x for r in rows for x in r], "lens": list(map(len, rows)), "parts": [x for p in parts for x in p], "sizes": list(map(len, parts)),
-            "order": np.concatenate([at for _, at in order]) if order else [], "found": [x for b, at in order for x in (b, len(at))],
-        }
+        array_ = lambda lists: np.array([x for r in lists for x in r], np.int64)
+        sizes = np.array(list(map(len, parts)), np.int64)
+        units, parts, sizes, own = numbered(array_(rows), array_(parts), sizes)
+        words = [words[i] for i in own.tolist()]
+        at_bucket = buckets_of(words, n)
+        sent = [(b, _pack_words([words[i] for i in at.tolist()])) for b, at in by_bucket(at_bucket)]
+        numbers = {"units": units, "lens": np.array(list(map(len, rows)), np.int64), "parts": parts, "sizes": sizes, "asked": at_bucket}
         zip_ = zstandard.ZstdCompressor(level=1)
-        return {k: pa.array([zip_.compress(planes(np.asarray(v, np.int64)))], pa.binary()) for k, v in numbers.items()} | {"sent": sent_array(sent, n)}
+        return {k: pa.array([zip_.compress(planes(v))], pa.binary()) for k, v in numbers.items()} | {"sent": sent_array(sent, n)}
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -195,17 +227,17 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
         for batch in batches:
             for row in range(batch.num_rows):
                 cell = lambda name: batch.column(batch.schema.get_field_index(name))[row].as_py()  # noqa: B023, E731
-                units, per_row, flat, sizes, order, found = (unplanes(unzip.decompress(cell(c))).astype(np.int64) for c in ("units", "lens", "parts", "sizes", "order", "found"))
-                lens, starts, blobs, held, at = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), [], 0, 0
+                units, per_row, flat, sizes, asked = (unplanes(unzip.decompress(cell(c))).astype(np.int64) for c in stored)
+                units, flat = plain_numbers(units, flat, sizes)
+                lens, starts, blobs, held = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64), [], 0
                 got = {x["bucket"]: x["blob"] for x in cell("got") or []}
-                for b, k in found.reshape(-1, 2).tolist():
+                for b, at in by_bucket(asked):
                     numbers = unplanes(unzip.decompress(got[b]))
-                    own = numbers[:k].astype(np.int64)
-                    lens[order[at : at + k]] = own
-                    starts[order[at : at + k]] = held + np.cumsum(own) - own
-                    blobs.append(numbers[k:])
+                    own = numbers[: len(at)].astype(np.int64)
+                    lens[at] = own
+                    starts[at] = held + np.cumsum(own) - own
+                    blobs.append(numbers[len(at) :])
                     held += int(own.sum())
-                    at += k
                 # The ids of a unit: those of its pre-tokens, which stand one after the other.
                 unit_ids = gather(np.concatenate([*blobs, np.zeros(0, "<u4")]), starts, lens, flat)
                 ends = np.concatenate(([0], np.cumsum(lens[flat])))[np.concatenate(([0], np.cumsum(sizes)))]
@@ -217,7 +249,6 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
                     decoded.append(gather(token_bytes, token_starts, token_lens, x.astype(np.int64)).tobytes() if decode else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([made], pa.list_(pa.binary())), pa.array([decoded], pa.list_(pa.binary()))], names=["rows", "ids", "decoded"])
 
-    stored = ("units", "lens", "parts", "sizes", "order", "found")
     chunks = pack(df, text_col, CHUNK, places, (split, ", ".join(f"{c} binary" for c in stored) + f", sent {common.SENT}"))
     count = chunks.count()
     asked = met(chunks.select("chunk", "sent"), n, count, tasks).mapInArrow(answer, "bucket int, chunks array<bigint>, answers array<binary>")

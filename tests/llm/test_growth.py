@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, simhash
+from lodestone.llm import bpe, common, simhash
 from lodestone.llm.components import _star
 
 
@@ -61,3 +64,31 @@ def test_tasks_hold_one_bucket_and_a_bounded_share_of_chunks(spark):
     assert len(got) == 32 == len({r.task for r in got}) and all(len(r.met) == 40 for r in got)
     rows = spark.range(64).select(F.lit(0).alias("bucket"), F.col("id").alias("chunk"), F.lit(b"x").alias("blob"))
     assert "REPARTITION_BY_NUM" in common.back(rows, 32, 32)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_of_chunks_are_the_same_again():
+    rng = np.random.default_rng(3)
+    for n_units, n in ((0, 0), (1, 1), (9, 4), (50, 200), (300, 120)):
+        sizes = rng.integers(0, 4, n_units)
+        parts, units = rng.integers(0, 40, sizes.sum()), rng.integers(0, max(n_units, 1), n if n_units else 0)
+        ends = np.cumsum(sizes)
+        listed = [parts[e - k : e].tolist() for e, k in zip(ends, sizes, strict=True)]
+        a, b, own_sizes, words = bpe.numbered(units, parts, sizes)
+        at, flat = bpe.plain_numbers(a, b, own_sizes)
+        ends = np.cumsum(own_sizes)
+        again = [words[flat[e - k : e]].tolist() for e, k in zip(ends, own_sizes, strict=True)]
+        assert [again[i] for i in at] == [listed[i] for i in units] and len(set(words)) == len(words)
+
+
+def test_bpe_stores_less_than_its_text(spark):
+    """What the chunks of a text of rare and frequent words take: 0.111 of it, where it was 0.120."""
+    rng = np.random.default_rng(7)
+    sound = ["ka", "to", "mi", "re", "sul", "ven", "dor", "pa", "qui", "ze"]
+    names = ["".join(rng.choice(sound, rng.integers(1, 5))) + str(i % 97) * (i % 3 == 0) for i in range(60_000)]
+    rows = [(i, " ".join(names[j] for j in np.minimum(rng.zipf(1.25, 400), len(names)) - 1)) for i in range(900)]
+    first = len(common._made)
+    out = bpe.encode(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), {bytes([i]): i for i in range(256)}, r" ?\w+|\s+", decode=False)
+    text = sum(len(t) for _, t in rows)
+    assert out.agg(F.sum("n_tokens")).first()[0] == text
+    sizes = [sum(Path(f.removeprefix("file://")).stat().st_size for f in spark.read.parquet(path).inputFiles()) for _, path in common._made[first:] if "/chunks-" in path]
+    assert len(sizes) == 1 and sizes[0] < 0.115 * text, sizes[0] / text
