@@ -1,7 +1,7 @@
 """Phrases of words that stand together more often than chance has it, found by growing frequent prefixes.
 
-Words are counted in the whole corpus, by language; frequent ones get numbers. Then pairs of them are counted: a chunk of
-documents sends its distinct pairs to buckets and gets a bit back for each. Then it projects the corpus: each occurrence of a
+Words are counted in the whole corpus, by language: a chunk of documents sends its distinct words to buckets and gets back the
+numbers of frequent ones. Then pairs of them are counted: a chunk sends its distinct pairs and gets a bit back for each. Then it projects the corpus: each occurrence of a
 frequent pair that another one follows becomes a pointer, which carries the words right of it as far as they are frequent
 pairs (five words at most). Equal ones are counted once, and pointers go to the task of their prefix. A task extends its
 prefixes to the right, depth first: pointers are sorted by their next word, each run that is frequent is a phrase, and its
@@ -14,6 +14,8 @@ in each task and are added up afterwards. Where all five words are hotter, point
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import answered, answers_of, back, buckets, met, pack, part, places_of, sent_array, written
+from .common import answered, answers_of, back, buckets, met, pack, places_of, sent_array, written
 from .lm import planes, unplanes
 
 #: Occurrences that make a phrase frequent, words of the longest, phrases of a language that are returned.
@@ -31,6 +33,9 @@ LEAST, LONGEST, MOST = 100, 5, 2000
 HOT, BUCKET_BYTES, CHUNK = 500_000, 8 << 20, 4 << 20
 #: What ends a piece, and the lower case of A-Z.
 ENDS = b".,;:!?\n\x0b\x0c\r"
+#: What a bucket says of its words: the frequent ones, and how often those of a language are found.
+FREQUENT = pa.list_(pa.struct([("lang", pa.string()), ("word", pa.binary()), ("id", pa.int64()), ("f", pa.int64())]))
+SUMS = pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))
 LOWER = bytes.maketrans(bytes(range(65, 91)) + ENDS + b"\t", bytes(range(97, 123)) + b"\n" * len(ENDS) + b" ")
 
 
@@ -49,29 +54,29 @@ def phrases(df: DataFrame, text_col: str, lang_col: str, least: int, longest: in
     size = slim.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     n = buckets(spark, size, BUCKET_BYTES)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
-    kinds = "langs array<string>, numbers array<int>, words array<binary>, counts array<bigint>, tokens binary"
     places = places_of(spark, size)
-    kinds = "langs array<string>, numbers array<int>, words array<binary>, counts array<bigint>, tokens binary"
-    chunks = pack(slim, "text", CHUNK, places, (_tokens, kinds))
+    chunks = pack(slim, "text", CHUNK, places, (lambda texts, rows: _tokens(texts, rows, n), f"tokens binary, asked binary, sent {common.SENT}"))
     count = chunks.count()
-    each = chunks.select("chunk", F.posexplode(F.arrays_zip("numbers", "words", "counts")).alias("i", "w"), "langs")
-    each = each.select("chunk", "i", F.get("langs", F.col("w.numbers")).alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("k"))
-    sums = written(each.groupBy("lang", "word").agg(F.sum("k").alias("f")), "words")
-    totals = sums.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = _numbered(sums.where(F.col("f") >= least))
-    # What a chunk's own numbers of words are in the corpus, hot ones below zero; a chunk's frequent words only.
-    # Words grow with the corpus, so they are joined by a shuffle at every size, never broadcast while they are few.
-    known = each.join(words.hint("merge"), ["lang", "word"]).select("chunk", "i", F.when(F.col("f") > hot, -F.col("id")).otherwise(F.col("id")).alias("id"))
-    known = known.withColumn("p_", part()).repartition(places, "p_").groupBy("p_", F.col("chunk").alias("c_")).agg(F.collect_list("i").alias("own"), F.collect_list("id").alias("ids"))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                got = batch.column(1)[row].as_py()
+                answers, frequent, sums = _tallied([x["blob"] for x in got], batch.column(0)[row].as_py(), n, least, hot)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([[x["chunk"] for x in got]], pa.list_(pa.int64())), pa.array([answers], pa.list_(pa.binary())), pa.array([frequent], FREQUENT), pa.array([sums], SUMS)], names=["bucket", "chunks", "answers", "frequent", "sums"])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                tokens, own, ids = (batch.column(i)[row] for i in range(2, 5))
-                coded = _coded(tokens.as_py(), *((x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64)) for x in (own, ids)))
+                coded = _coded(*(batch.column(i)[row].as_py() for i in (2, 3, 4)), n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([coded], pa.binary())], names=["chunk", "part", "words"])
 
-    coded = answers_of(chunks.select("chunk", "part", "tokens"), known).select("chunk", "part", "tokens", "own", "ids")
+    # Each word that a chunk asks for gets an answer, frequent or not, so answers grow with the text.
+    tallied = met(chunks.select("chunk", "sent"), n, count, tasks).mapInArrow(tally, "bucket int, chunks array<bigint>, answers array<binary>, frequent array<struct<lang:string, word:binary, id:bigint, f:bigint>>, sums array<struct<lang:string, n:bigint>>")
+    ones = answered(tallied, n, count, "words", extra=("frequent", "sums"))
+    words = written(ones.where("frequent is not null").select(F.explode("frequent").alias("x")).select("x.*"), "frequent")
+    totals = ones.where("sums is not null").select(F.explode("sums").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n"))
+    coded = answers_of(chunks.select("chunk", "part", "tokens", "asked"), back(ones, n, tasks, places)).select("chunk", "part", "tokens", "asked", "got")
     coded = written(coded.mapInArrow(code, "chunk bigint, part int, words binary"), "coded", (places, "part"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,49 +114,83 @@ def phrases(df: DataFrame, text_col: str, lang_col: str, least: int, longest: in
     return words, totals, written(pairs.unionByName(longer) if longest > 2 else pairs, "phrases")
 
 
-def _tokens(texts: list[bytes | None], rows: pa.StructArray) -> dict[str, pa.Array]:
-    """A chunk's texts as numbers of its distinct words, by language, with -1 between pieces."""
+def _tokens(texts: list[bytes | None], rows: pa.StructArray, n: int) -> dict[str, pa.Array]:
+    """A chunk's texts as numbers of its distinct words, by language, with -1 between pieces; the bucket of each word; and what is
+    sent to the buckets."""
     import zstandard
+    from xxhash import xxh32_intdigest
 
     langs = rows.field(0).to_pylist()
     names = sorted(set(langs))
-    seen: dict[str, dict[bytes, int]] = {x: {} for x in names}
-    out, first, numbers, words, counts = [], 0, [], [], []
-    for lang in names:
-        known = seen[lang]
-        known[b"\n"] = -1
+    zip_ = zstandard.ZstdCompressor(level=1)
+    out, kinds, words, counts, asked = [np.zeros(0, np.int64)], [], [], [], [np.zeros(0, np.int64)]
+    for i, lang in enumerate(names):
+        known = {b"\n": -1}
         joined = b"\n".join(t for t, x in zip(texts, langs, strict=True) if x == lang and t)
         split = joined.translate(LOWER).replace(b"\n", b" \n ").split(b" ")
         place = known.setdefault
         ids = np.fromiter((place(w, len(known)) for w in split if w), np.int64)
-        own = np.bincount(ids[ids >= 0], minlength=len(known))[1:] if len(known) > 1 else np.zeros(0, np.int64)
-        out += [np.where(ids > 0, ids - 1 + first, -1), np.array([-1])]
-        words += list(known)[1:]
-        numbers += [names.index(lang)] * (len(known) - 1)
-        counts += own.tolist()
-        first += len(known) - 1
-    tokens = zstandard.ZstdCompressor(level=1).compress(np.concatenate(out).astype("<i4").tobytes())
-    cell = lambda v, kind: pa.array([v], pa.list_(kind))
-    return {"langs": cell(names, pa.string()), "numbers": cell(numbers, pa.int32()), "words": cell(words, pa.binary()), "counts": cell(counts, pa.int64()), "tokens": pa.array([tokens], pa.binary())}
-
-
-def _numbered(words: DataFrame) -> DataFrame:
-    """Words with an id from 1, without gaps: their place in a written table, after what its earlier parts hold."""
-    held = written(words.withColumn("p_", F.spark_partition_id()).withColumn("i_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "frequent")
-    sizes = held.groupBy("p_").agg(F.max("i_").alias("m"))
-    before = F.sum(F.col("m") + 1).over(Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = sizes.select(F.col("p_").alias("q_"), F.coalesce(before, F.lit(0)).alias("first"))  # a row for each task
-    out = held.join(F.broadcast(firsts), F.col("p_") == F.col("q_"))
-    return written(out.select("lang", "word", (F.col("first") + F.col("i_") + 1).alias("id"), "f"), "frequent")
-
-
-def _coded(tokens: bytes, own: np.ndarray, ids: np.ndarray) -> bytes:
-    """A chunk's words by their numbers in the corpus, 0 where there is none, one after the other."""
+        out += [np.where(ids > 0, ids - 1 + len(words), -1), np.array([-1])]
+        own, seed = list(known)[1:], zlib.crc32(lang.encode())
+        counts.append(np.bincount(ids[ids >= 0], minlength=len(known))[1:])
+        asked.append(np.fromiter((xxh32_intdigest(w, seed) for w in own), np.int64, len(own)) % n)
+        kinds.append(np.full(len(own), i))
+        words += own
+    bucket, counts, kinds = np.concatenate(asked), np.concatenate([*counts, np.zeros(0, np.int64)]), np.concatenate([*kinds, np.zeros(0, np.int64)])
+    sent = []
+    for b, at in _by(bucket):
+        of, k = np.unique(kinds[at], return_counts=True)
+        head = json.dumps([[names[i], m] for i, m in zip(of.tolist(), k.tolist(), strict=True)]).encode()
+        sent.append((b, zip_.compress(b"\n".join((head, *(words[i] for i in at.tolist()), planes(counts[at]))))))
+    cell = lambda v: pa.array([zip_.compress(v.astype("<i4").tobytes())], pa.binary())
+    return {"tokens": cell(np.concatenate(out)), "asked": pa.array([zip_.compress(planes(bucket))], pa.binary()), "sent": sent_array(sent, n)}
+
+
+def _tallied(blobs: list[bytes], bucket: int, n: int, least: int, hot: int) -> tuple[list[bytes], list[dict], list[dict]]:
+    """What chunks sent to a bucket → for each chunk's words twice the place, from 1, of a word among the bucket's frequent ones, and
+    one more if it is hot, 0 for others; the frequent words with their ids, which are of the bucket alone; all words by language."""
+    import zstandard
+
+    zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    known: dict[str, dict[bytes, int]] = {}
+    asked: list[list[tuple[str, np.ndarray, np.ndarray]]] = []
+    for blob in blobs:
+        head, rest = unzip.decompress(blob).split(b"\n", 1)
+        langs, own = json.loads(head), []
+        *words, counts = rest.split(b"\n", sum(k for _, k in langs))
+        counts, at = unplanes(counts).astype(np.int64), 0
+        for lang, k in langs:
+            place = known.setdefault(lang, {})
+            own.append((lang, np.fromiter((place.setdefault(w, len(place)) for w in words[at : at + k]), np.int64, k), counts[at : at + k]))
+            at += k
+        asked.append(own)
+    sums = {lang: np.zeros(len(place), np.int64) for lang, place in known.items()}
+    for own in asked:
+        for lang, at, counts in own:
+            sums[lang][at] += counts  # a chunk has a word once
+    frequent, code, before = [], {}, 0
+    for lang, f in sums.items():
+        some = f >= least
+        place = np.cumsum(some) + before
+        code[lang] = np.where(some, 2 * place + (f > hot), 0)
+        before += int(some.sum())
+        names = list(known[lang])
+        frequent += [{"lang": lang, "word": names[i], "id": int(place[i] - 1) * n + bucket + 1, "f": int(f[i])} for i in np.flatnonzero(some).tolist()]
+    answers = [zip_.compress(planes(np.concatenate([code[lang][at] for lang, at, _ in own]))) for own in asked]
+    return answers, frequent, [{"lang": lang, "n": int(f.sum())} for lang, f in sums.items()]
+
+
+def _coded(tokens: bytes, asked: bytes, got: list[dict] | None, n: int) -> bytes:
+    """A chunk's words by their ids in the corpus, hot ones below zero, 0 where there is none, one after the other."""
     import zstandard
 
-    t = np.frombuffer(zstandard.ZstdDecompressor().decompress(tokens), "<i4")
-    number = np.zeros(int(max(t.max(initial=-1), own.max(initial=-1))) + 2, np.int64)  # -1 is the last place
-    number[own] = ids
+    unzip = zstandard.ZstdDecompressor()
+    t, bucket = np.frombuffer(unzip.decompress(tokens), "<i4"), unplanes(unzip.decompress(asked)).astype(np.int64)
+    number = np.zeros(len(bucket) + 1, np.int64)  # -1 is the last place
+    blobs = {x["bucket"]: x["blob"] for x in got or []}
+    for b, at in _by(bucket):
+        code = unplanes(unzip.decompress(blobs[b])).astype(np.int64)
+        number[at] = np.where(code > 0, ((code >> 1) - 1) * n + b + 1, 0) * np.where(code & 1, -1, 1)
     word = number[t]
     kind = "<i4" if np.abs(word).max(initial=0) < 1 << 31 else "<i8"
     return kind.encode() + zstandard.ZstdCompressor(level=1).compress(word.astype(kind).tobytes())

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, common, simhash
+from lodestone.llm import bpe, common, phrases, simhash
 from lodestone.llm.components import _star
 
 
@@ -92,3 +92,17 @@ def test_bpe_stores_less_than_its_text(spark):
     assert out.agg(F.sum("n_tokens")).first()[0] == text
     sizes = [sum(Path(f.removeprefix("file://")).stat().st_size for f in spark.read.parquet(path).inputFiles()) for _, path in common._made[first:] if "/chunks-" in path]
     assert len(sizes) == 1 and sizes[0] < 0.115 * text, sizes[0] / text
+
+
+def test_words_of_phrases_are_answered_not_joined(spark, monkeypatch):
+    """Rows of chunks and words grew 12 times with five times the text, as more words reach the threshold: each word that is asked
+    for gets an answer now, whatever the threshold."""
+    plans = []
+    monkeypatch.setattr(phrases, "answers_of", lambda chunks, per: (plans.append(per._jdf.queryExecution().executedPlan().toString()), common.answers_of(chunks, per))[1])
+    monkeypatch.setattr(phrases, "CHUNK", 300)
+    rows = [(f"a b c{i % 7} d{i}. a b", "en" if i % 2 else None) for i in range(200)]
+    words, totals, _ = phrases.phrases(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 20, 5, 10**6)
+    assert plans and not any("Join" in p for p in plans)
+    got = words.collect()
+    assert len({r.id for r in got}) == len(got) and {(r.lang, bytes(r.word), r.f) for r in got if r.word in (b"a", b"b")} == {(x, w, 200) for x in ("en", "und") for w in (b"a", b"b")}
+    assert sorted(map(tuple, totals.collect())) == [("en", 600), ("und", 600)]
