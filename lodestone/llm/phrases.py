@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import answered, answers_of, back, buckets, met, pack, places_of, sent_array, written
+from .common import answered, answers_of, back, buckets, met, pack, places_of, removed, sent_array, written
 from .lm import planes, unplanes
 
 #: Occurrences that make a phrase frequent, words of the longest, phrases of a language that are returned.
@@ -78,6 +78,7 @@ def phrases(df: DataFrame, text_col: str, lang_col: str, least: int, longest: in
     totals = ones.where("sums is not null").select(F.explode("sums").alias("x")).groupBy("x.lang").agg(F.sum("x.n").alias("n"))
     coded = answers_of(chunks.select("chunk", "part", "tokens", "asked"), back(ones, n, tasks, places)).select("chunk", "part", "tokens", "asked", "got")
     coded = written(coded.mapInArrow(code, "chunk bigint, part int, words binary"), "coded", (places, "part"))
+    removed(chunks)  # its words have their ids, and all that is made of it is written
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,8 +143,11 @@ def _tokens(texts: list[bytes | None], rows: pa.StructArray, n: int) -> dict[str
         of, k = np.unique(kinds[at], return_counts=True)
         head = json.dumps([[names[i], m] for i, m in zip(of.tolist(), k.tolist(), strict=True)]).encode()
         sent.append((b, zip_.compress(b"\n".join((head, *(words[i] for i in at.tolist()), planes(counts[at]))))))
-    cell = lambda v: pa.array([zip_.compress(v.astype("<i4").tobytes())], pa.binary())
-    return {"tokens": cell(np.concatenate(out)), "asked": pa.array([zip_.compress(planes(bucket))], pa.binary()), "sent": sent_array(sent, n)}
+    # Between pieces 1, a word's first place 0, as words are numbered in the order of these: what is frequent compresses best.
+    tokens = np.concatenate(out)
+    new = tokens > np.maximum.accumulate(np.concatenate(([-1], tokens)))[:-1]
+    cell = lambda v: pa.array([zip_.compress(planes(v))], pa.binary())
+    return {"tokens": cell(np.where(new, 0, tokens + 2)), "asked": cell(bucket), "sent": sent_array(sent, n)}
 
 
 def _tallied(blobs: list[bytes], bucket: int, n: int, least: int, hot: int) -> tuple[list[bytes], list[dict], list[dict]]:
@@ -181,19 +185,31 @@ def _tallied(blobs: list[bytes], bucket: int, n: int, least: int, hot: int) -> t
 
 
 def _coded(tokens: bytes, asked: bytes, got: list[dict] | None, n: int) -> bytes:
-    """A chunk's words by their ids in the corpus, hot ones below zero, 0 where there is none, one after the other."""
+    """A chunk's words by their ids in the corpus, hot ones below zero, 0 where there is none: how many ids there are, these from the
+    most frequent on, and of every word which of them it is."""
     import zstandard
 
     unzip = zstandard.ZstdDecompressor()
-    t, bucket = np.frombuffer(unzip.decompress(tokens), "<i4"), unplanes(unzip.decompress(asked)).astype(np.int64)
+    t, bucket = (unplanes(unzip.decompress(x)).astype(np.int64) for x in (tokens, asked))
+    t = np.where(t == 0, np.cumsum(t == 0) - 1, t - 2)
     number = np.zeros(len(bucket) + 1, np.int64)  # -1 is the last place
     blobs = {x["bucket"]: x["blob"] for x in got or []}
     for b, at in _by(bucket):
         code = unplanes(unzip.decompress(blobs[b])).astype(np.int64)
         number[at] = np.where(code > 0, ((code >> 1) - 1) * n + b + 1, 0) * np.where(code & 1, -1, 1)
-    word = number[t]
-    kind = "<i4" if np.abs(word).max(initial=0) < 1 << 31 else "<i8"
-    return kind.encode() + zstandard.ZstdCompressor(level=1).compress(word.astype(kind).tobytes())
+    ids, at, found = np.unique(number[t], return_inverse=True, return_counts=True)
+    order = np.argsort(-found, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    return zstandard.ZstdCompressor(level=1).compress(planes(np.concatenate(([len(ids)], ids[order], rank[at]))))
+
+
+def _words(coded: bytes) -> np.ndarray:
+    """The words of _coded(), one after the other."""
+    import zstandard
+
+    x = unplanes(zstandard.ZstdDecompressor().decompress(coded)).astype(np.int64)
+    return x[1 : 1 + x[0]][x[1 + x[0] :]]
 
 
 def _mixed(columns: list[np.ndarray], n: int) -> np.ndarray:
@@ -217,9 +233,7 @@ class Pairs:
     """The words of a chunk, where two frequent ones stand together, and the distinct pairs of these."""
 
     def __init__(self, words: bytes, n: int) -> None:
-        import zstandard
-
-        word = np.frombuffer(zstandard.ZstdDecompressor().decompress(words[3:]), words[:3].decode()).astype(np.int64)
+        word = _words(words)
         self.word, self.hot = np.abs(word), word < 0
         self.starts = np.flatnonzero((self.word[:-1] > 0) & (self.word[1:] > 0))
         own, local = np.unique(self.word, return_inverse=True)

@@ -101,8 +101,11 @@ def test_words_of_phrases_are_answered_not_joined(spark, monkeypatch):
     monkeypatch.setattr(phrases, "answers_of", lambda chunks, per: (plans.append(per._jdf.queryExecution().executedPlan().toString()), common.answers_of(chunks, per))[1])
     monkeypatch.setattr(phrases, "CHUNK", 300)
     rows = [(f"a b c{i % 7} d{i}. a b", "en" if i % 2 else None) for i in range(200)]
+    first = len(common._made)
     words, totals, _ = phrases.phrases(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 20, 5, 10**6)
     assert plans and not any("Join" in p for p in plans)
+    # What was split is gone once words have their ids; the rest is there.
+    assert not [m for m in common._made[first:] if "/chunks-" in m[1]] and [m for m in common._made[first:] if "/coded-" in m[1]]
     got = words.collect()
     assert len({r.id for r in got}) == len(got) and {(r.lang, bytes(r.word), r.f) for r in got if r.word in (b"a", b"b")} == {(x, w, 200) for x in ("en", "und") for w in (b"a", b"b")}
     assert sorted(map(tuple, totals.collect())) == [("en", 600), ("und", 600)]
