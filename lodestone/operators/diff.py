@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,10 @@ def pairs(a: PropertyGraph, b: PropertyGraph) -> DataFrame:
     return both.where("old != new").select("src", "dst", F.when(F.col("old") == 0, "added").otherwise("removed").alias("change"))
 
 
-def stable_core(a: PropertyGraph, b: PropertyGraph) -> DataFrame:
-    """Vertices of both graphs none of whose pairs came or went: an anti join, rather than lists of neighbours."""
-    changed = pairs(a, b)
+def stable_core(a: PropertyGraph, b: PropertyGraph, changed: DataFrame | None = None) -> DataFrame:
+    """Vertices of both graphs none of whose pairs came or went: an anti join, rather than lists of neighbours. changed: pairs(a, b)
+    where they have been made."""
+    changed = pairs(a, b) if changed is None else changed
     ends = changed.select(F.col("src").alias("id")).union(changed.select("dst"))
     return a.vertices.select("id").join(b.vertices.select("id"), "id", "left_semi").join(ends, "id", "left_anti")
 
@@ -53,10 +56,13 @@ def reachability(a: PropertyGraph, b: PropertyGraph, starts: DataFrame, depth: i
 def impact(a: PropertyGraph, b: PropertyGraph, changed: DataFrame) -> DataFrame:
     """changed (id) → (newly, no_longer, still, depth_old, depth_new): how many vertices all of them together reach in one graph
     or both, and in how many rounds: those of a search level by level until one finds nothing, that one counted; 0 where a graph has none of them."""
-    sides = []
-    for g in (a, b):
+    def walk(g: PropertyGraph) -> tuple[DataFrame, DataFrame]:
         starts = stored(changed.select("id").distinct().join(g.vertices.select("id"), "id", "left_semi").select(F.lit("").alias("root"), "id"))
-        sides.append((starts, reach(stored(g.edges.where(F.col("kind").isin(*DATA_KINDS)).select("src", "dst").distinct()), starts)))
+        return starts, reach(stored(g.edges.where(F.col("kind").isin(*DATA_KINDS)).select("src", "dst").distinct()), starts)
+
+    # Most of a level's time is waiting for its few tasks, so both graphs are walked at the same time.
+    with ThreadPoolExecutor(2) as both_at_once:
+        sides = list(both_at_once.map(walk, (a, b)))
     rounds = []
     for name, (starts, far) in zip(("depth_old", "depth_new"), sides):
         n = far.agg(F.coalesce(F.max("level"), F.lit(0)).alias("l")).join(starts.agg(F.count("*").alias("s")))
@@ -80,7 +86,7 @@ def compare(a: PropertyGraph, b: PropertyGraph) -> DataFrame:
     of = lambda x: F.count_if(F.col("change") == x)
     out = a.vertices.agg(F.count("*").alias("nodes_old")).join(b.vertices.agg(F.count("*").alias("nodes_new")))
     out = out.join(changed.agg(of("added").alias("added"), of("removed").alias("removed"), of("modified").alias("modified")))
-    out = out.join(links.agg(of("added").alias("pairs_added"), of("removed").alias("pairs_removed"))).join(stable_core(a, b).agg(F.count("*").alias("stable")))
+    out = out.join(links.agg(of("added").alias("pairs_added"), of("removed").alias("pairs_removed"))).join(stable_core(a, b, links).agg(F.count("*").alias("stable")))
     out = out.join(impact(a, b, changed))
     n, larger = F.col("added") + F.col("removed") + F.col("modified"), F.greatest("nodes_old", "nodes_new")
     part = lambda x, whole: F.when(whole > 0, F.round(x * 10000 / whole)).otherwise(0).cast("bigint")
